@@ -21,6 +21,35 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "chunks"), "chunk_id", "text", "document_title")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_lines import repeated_lines, repeated_wordings
+
+    h = read(spark, sf_dir, "html_corpus")
+    return repeated_lines(h, repeated_wordings(h)).withColumnRenamed("id", "chunk_id")
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the lines of near-duplicate clusters with high document frequency."""
+    from .site_lines import remove_repeated_lines, repeated_wordings
+
+    h = read(spark, sf_dir, "html_corpus")
+    return remove_repeated_lines(h, repeated_wordings(h, exact=False)).withColumnRenamed("id", "chunk_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_content import layout_lines, layout_paths
+
+    h = read(spark, sf_dir, "html_corpus")
+    return layout_lines(h, *layout_paths(h)).withColumnRenamed("id", "chunk_id")
+
+
+def p3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_content import layout_lines, layout_paths
+
+    h = read(spark, sf_dir, "html_corpus")
+    return layout_lines(h, *layout_paths(h), extract=True).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leaks import find_leaks
 
@@ -60,5 +89,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_extract, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
 SQL: dict[str, str] = {}
