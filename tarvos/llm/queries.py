@@ -50,6 +50,24 @@ def p3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_lines(h, *layout_paths(h), extract=True).withColumnRenamed("id", "chunk_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_hmm import not_prose
+
+    return not_prose(read(spark, sf_dir, "html_corpus")).withColumnRenamed("id", "chunk_id")
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_hmm import quality
+
+    return quality(read(spark, sf_dir, "html_corpus")).withColumnRenamed("id", "chunk_id")
+
+
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_hmm import text_statistics
+
+    return text_statistics(read(spark, sf_dir, "html_corpus")).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leaks import find_leaks
 
@@ -89,5 +107,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_extract, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_extract, p4_found, p4_labels, p4_statistics, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
 SQL: dict[str, str] = {}
