@@ -222,8 +222,8 @@ def quality(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") ->
     """Label shares per row and the label with the largest share (null for rows without lines)."""
     t = symbol_table(df, id_col, text_col)
     s = line_shares(t, fit(t))
-    best = F.array_max(F.array(*[F.struct(F.col(f"{x}_share"), F.lit(x)) for x in LABELS]))
-    return s.withColumn("label", F.when(F.col("n_lines") > 0, best["col2"]))
+    best = F.array_max(F.array(*[F.struct(F.col(f"{x}_share").alias("share"), F.lit(x).alias("name")) for x in LABELS]))
+    return s.withColumn("label", F.when(F.col("n_lines") > 0, best["name"]))
 
 
 def not_prose(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", below: float = 0.45) -> DataFrame:

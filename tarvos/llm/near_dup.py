@@ -94,7 +94,10 @@ def _chunks_of(pdf: pd.DataFrame, n: int = 2000) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[i : i + n]
 
 
-def _sign(shingle: int, bands: int, rows: int):
+def _sign(shingle: int, bands: int, rows: int, whole: bool = False):
+    """Rows ``h, fp, id``: one per band with a null id and one with the id (its h only spreads it). Copies met again in a task
+    send their bands once. With ``whole``: one row ``fp, bands`` per record."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer, done = Signer(shingle, bands, rows), set()
         for big in batches:
@@ -102,19 +105,28 @@ def _sign(shingle: int, bands: int, rows: int):
                 keep, fp, sig = signer([words(t, x) for t, x in zip(pdf["title"], pdf["text"])])
                 if not len(keep):
                     continue
-                h, fps, lists = signer.band_hashes(sig).view(np.int64), fp.view(np.int64), []
-                for i, f in enumerate(fps.tolist()):  # copies within a task send their bands once
-                    lists.append(None if f in done else h[i])
-                    if len(done) > 1_000_000:
-                        done.clear()
-                    done.add(f)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[keep], "fp": fps, "bands": lists})
+                h, fps = signer.band_hashes(sig).view(np.int64), fp.view(np.int64)
+                if whole:
+                    yield pd.DataFrame({"fp": fps, "bands": list(h)})
+                    continue
+                fresh = np.zeros(len(fps), bool)
+                for i, f in enumerate(fps.tolist()):
+                    if f not in done:
+                        fresh[i] = True
+                        if len(done) > 1_000_000:
+                            done.clear()
+                        done.add(f)
+                ids = pdf["id"].to_numpy()[keep]
+                spread = mix64(fp + np.arange(len(fp), dtype=np.uint64)).view(np.int64)
+                n = int(fresh.sum()) * bands
+                yield pd.DataFrame({"h": np.concatenate([spread, h[fresh].ravel()]), "fp": np.concatenate([fps, np.repeat(fps[fresh], bands)]), "id": np.concatenate([ids, np.full(n, None, object)])})
 
     return run
 
 
 def _bucket_pairs(cap: int):
-    """Pairs of each run of equal bucket hashes in a sorted stream; members of runs above the cap come out as (bucket, member)."""
+    """Pairs of each run of equal bucket hashes in a sorted stream (kind 0); members of runs above the cap come out as (bucket,
+    member) (kind 1); rows with an id pass as (fingerprint, id) (kind 2)."""
 
     def pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.triu_indices(len(fps), 1)
@@ -129,7 +141,10 @@ def _bucket_pairs(cap: int):
                 out_a.append(a), out_b.append(b)
 
         for pdf in batches:
-            h, fp = pdf["h"].to_numpy(), pdf["fp"].to_numpy()
+            named = pdf["id"].notna().to_numpy()
+            if named.any():
+                yield pd.DataFrame({"kind": 2, "a": pdf["fp"].to_numpy()[named], "b": 0, "id": pdf["id"].to_numpy()[named]})
+            h, fp = pdf["h"].to_numpy()[~named], pdf["fp"].to_numpy()[~named]
             if not len(h):
                 continue
             fresh = np.ones(len(h), bool)
@@ -165,23 +180,25 @@ def _bucket_pairs(cap: int):
                     a, b = pairs(x)
                     out_a.append(a), out_b.append(b)
             if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "hot": False})
+                yield pd.DataFrame({"kind": 0, "a": np.concatenate(out_a), "b": np.concatenate(out_b), "id": None})
             if hot_h:
-                yield pd.DataFrame({"a": np.concatenate(hot_h), "b": np.concatenate(hot_f), "hot": True})
+                yield pd.DataFrame({"kind": 1, "a": np.concatenate(hot_h), "b": np.concatenate(hot_f), "id": None})
         out_a, out_b = [], []
         flush(out_a, out_b)
         if out_a:
-            yield pd.DataFrame({"a": out_a[0], "b": out_b[0], "hot": False})
+            yield pd.DataFrame({"kind": 0, "a": out_a[0], "b": out_b[0], "id": None})
 
     return run
 
 
-def _hot_pairs(hot: DataFrame, bands: DataFrame, cap: int, rows: int, threshold: float) -> DataFrame:
-    """Pairs of buckets above the cap, block against block; a pair comes out if its share of equal bands can belong to the threshold.
+def _least_bands(bands: int, rows: int, threshold: float) -> int:
+    """Common bands a candidate must have: two where a pair at the threshold can expect six or more, else one."""
+    return 2 if bands * threshold**rows >= 6 else 1
+
 
-    A block pair compares two blocks of at most about ``cap`` members by their band hashes; only pairs with another common band, or
-    any pair when the expected number of common bands at the threshold is below 6, are passed on to the exact check.
-    """
+def _hot_pairs(hot: DataFrame, bands: DataFrame, cap: int, least: int) -> DataFrame:
+    """Pairs of buckets above the cap, block against block: two blocks of about ``cap`` members are compared by their band hashes
+    and pairs with ``least`` common bands are passed on to the exact check."""
     sizes = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("n"))
     m = hot.join(sizes, "h").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).join(bands, "fp")
     # the bucket's members are spread over block pairs (i <= j); each member goes to the n pairs its block takes part in
@@ -193,7 +210,6 @@ def _hot_pairs(hot: DataFrame, bands: DataFrame, cap: int, rows: int, threshold:
         left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
         a, b = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
         fa, fb = left["fp"].to_numpy(), right["fp"].to_numpy()
-        least = 2 if a.shape[1] * threshold**rows >= 12 else 1
         out = []
         for k in range(len(a)):
             ok = ((b == a[k]).sum(1) >= least) & (fb > fa[k] if i == j else fb != fa[k])
@@ -204,20 +220,24 @@ def _hot_pairs(hot: DataFrame, bands: DataFrame, cap: int, rows: int, threshold:
     return m.groupBy("h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 40, rows: int = 4, bucket_cap: int = 256) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 56, rows: int = 4, bucket_cap: int = 256) -> tuple[DataFrame, DataFrame]:
     """(members, links): members ``id, fp`` with one fingerprint per distinct shingle set; links ``a, b, similarity`` between
     fingerprints of different sets whose exact Jaccard similarity is at least ``threshold``."""
     docs = df.select(F.col(id_col).cast("string").alias("id"), (F.col(title_col) if title_col else F.lit(None).cast("string")).cast("string").alias("title"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = materialize(docs.mapInPandas(_sign(shingle, bands, rows), "id string, fp bigint, bands array<bigint>"), "minmax")
-    members = signed.select("id", "fp").distinct()
-    bands_df = signed.where("bands is not null").select("fp", "bands")
-    stream = bands_df.select("fp", F.explode("bands").alias("h")).repartition("h").sortWithinPartitions("h", "fp")
-    found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap), "a bigint, b bigint, hot boolean").distinct(), "candidates")
-    cand = found.where("not hot").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hot = found.where("hot").select(F.col("a").alias("h"), F.col("b").alias("fp"))
+    signed = docs.mapInPandas(_sign(shingle, bands, rows), "h bigint, fp bigint, id string")
+    stream = signed.repartition("h").sortWithinPartitions("h", "fp")
+    found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap), "kind int, a bigint, b bigint, id string"), "candidates")
+    members = found.where("kind = 2").select("id", F.col("a").alias("fp")).distinct()
+    least = _least_bands(bands, rows, threshold)
+    cand = found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+    hot = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("fp"))
     if not hot.isEmpty():
-        cand = cand.unionByName(_hot_pairs(hot, bands_df.dropDuplicates(["fp"]), bucket_cap, rows, threshold))
-    cand = cand.distinct()
+        hot = hot.distinct()
+        again = docs.join(members.join(hot.select("fp").distinct(), "fp", "left_semi").select("id").distinct(), "id", "left_semi")
+        vectors = materialize(again.mapInPandas(_sign(shingle, bands, rows, True), "fp bigint, bands array<bigint>").dropDuplicates(["fp"]), "vectors")
+        # a pair may have one of its common bands in a hot bucket only: pairs with a single small one are counted again there
+        cand = cand.unionByName(_hot_pairs(hot, vectors, bucket_cap, least))
+    cand = materialize(cand.distinct(), "pairs")
     wanted = cand.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     rep = members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
     # an id may have several texts: the text is matched by its own fingerprint in the check, any copy will do
