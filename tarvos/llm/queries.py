@@ -68,6 +68,18 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(read(spark, sf_dir, "html_corpus")).withColumnRenamed("id", "chunk_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ocr_repair import repair
+
+    return repair(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "documents")).withColumnRenamed("id", "chunk_id")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ocr_repair import repair
+
+    return repair(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "documents"), text=True).withColumnRenamed("id", "chunk_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .leaks import find_leaks
 
@@ -107,5 +119,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_extract, p4_found, p4_labels, p4_statistics, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_clean, p3_found, p3_extract, p4_found, p4_labels, p4_statistics, p5_found, p5_repaired, p6_found, p6_report, p7_found, p7_report, p7_draws, p8_found)}
 SQL: dict[str, str] = {}
