@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .site_lines import key, repeated_wordings, rows_of, site, small, with_flags, wording
+from .site_lines import key, rows_of, site, site_sizes, small, with_flags, wording
 
 # Words that head layout blocks of web pages, by kind.
 BREADCRUMB = r"(?:you are here|home\s*[>»/›:]|breadcrumbs?\b)"
@@ -29,75 +29,116 @@ LIST_LABEL = r"(?:popular now|most (?:read|popular|viewed)|see also|also read|re
 LABEL = r"(?:quick poll|trending(?: now)?|sponsored(?: content)?|advertisement|advert|promoted|webcast of|watch live)\b"
 TAGS = r"(?:tags?|keywords|filed under|categories|topics)\s*:"
 PAGER = r"(?:previous|next|older|newer)\s*(?::|page\b|post\b)"
-SHARE = r"(?:share (?:this|on|via)|print\s*\||follow\b.*\bfor updates|follow us|subscribe to|join the .*\bchannel|like what you read|like us|tell a friend|was this page|email this|sign up for)"
-BYLINE = r"(?:posted (?:by|on)\b|published (?:under|by|on)\b|written by\b|last (?:updated|modified|reviewed)\b|page (?:reviewed|updated)\b|updated on\b|visitors? (?:to|count)\b|.*\bstaff reporter\b|by .* staff writer|.*\bread [\d,]+ times)"
-LEGAL = r"(?:©|\(c\) \d{4}|copyright\b|all rights reserved|disclaimer\b\s*:|site managed by|designed and (?:hosted|developed)|content (?:owned|managed|provided) by|powered by|terms (?:of use|and conditions)|privacy policy|.*\bnote: quotations from this page|.*\bterms of use apply$)"
-COOKIE = r".*(?:\bcookies?\b|\baccept all\b|\bmanage choices\b|\bconsent (?:settings|preferences|choices)\b|\byour privacy (?:matters|is important)|\bsession data\b|\bset identifiers\b|\bclick ok to continue|\bclose this banner|\bpreferences may be changed)"
-KINDS = [BREADCRUMB, LIST_LABEL, LABEL, TAGS, PAGER, SHARE, BYLINE, LEGAL, COOKIE]
-LAYOUT = re.compile("|".join(f"(?:{k})" for k in KINDS), re.I)
-TEASER = re.compile(LIST_LABEL, re.I)
-EDGE = re.compile(r"^[\s\-*|»›•·!.,:;>«]+(?=\S)|\s+[|»›!.•·«]*\s*$|[|»›•·«]+$")
+SHARE = r"(?:share (?:this|on|via)|print\s*\||follow us|subscribe to|like what you read|like us|tell a friend|was this page|email this|sign up for)"
+BYLINE = r"(?:posted (?:by|on)\b|published (?:under|by|on)\b|written by\b|last (?:updated|modified|reviewed)\b|page (?:reviewed|updated)\b|updated on\b|visitors? (?:to|count)\b)"
+LEGAL = r"(?:©|\(c\) \d{4}|copyright\b|all rights reserved|disclaimer\b\s*:|site managed by|designed and (?:hosted|developed)|content (?:owned|managed|provided) by|powered by|terms (?:of use|and conditions)|privacy policy)"
+HEADS = re.compile("|".join(f"(?:{k})" for k in (BREADCRUMB, LIST_LABEL, LABEL, TAGS, PAGER, SHARE, BYLINE, LEGAL)))
+INSIDE = ("cookie", "accept all", "manage choices", "consent settings", "consent preferences", "your privacy matters", "your privacy is important", "session data", "set identifiers", "click ok to continue", "close this banner", "preferences may be changed", "staff reporter", "note: quotations from this page")
+INSIDE_RE = re.compile(r"^follow\b.*\bfor updates$|^join the .*\bchannel$|\bread [\d,]+ times$|\bterms of use apply$")
+TEASER = re.compile(LIST_LABEL)
+EDGES = "-*|»›•·!.,:;>«"
+TRAILERS = "|»›!.•·«"
+STOPS = frozenset(".!?।॥。！？")
+CLOSERS = "'\")”’]"
 BULLET = re.compile(r"^\s*[›»>]\s*\S")
-MARKED = re.compile(r"^\s*[\-*•·|]\s+\S")
-ENDS = re.compile(r"[.!?।॥。！？]['\")”’\]]*\s*$")
-SENTENCE = re.compile(r"[a-zऀ-ॿ\d)%][.!?।॥]")
 NUMBERED = re.compile(r"^\d+[.)]\s|\d\s*[KM]B\)\s*$", re.I)
+DIGITS = re.compile(r"\d+")
 FRESH = re.compile(r"\s*\((?:new|updated|hot)\)\s*$|\s+\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}\s*$", re.I)
 
 
 def core(line: str) -> str:
-    return " ".join(EDGE.sub("", line).split())
-
-
-def score(line: str, c: str | None = None) -> float:
-    """A container's own score: negative for layout, positive for content."""
-    c = core(line) if c is None else c
-    if not c:
-        return 0.0
-    s = -3.0 if LAYOUT.match(c) else 0.0
-    n = c.count(" ") + 1
-    if ENDS.search(c) and n >= 6:
-        s += 2.0
-    if n > 25:
-        s += 1.0
-    return s
+    """A line without bullets, bars and stray marks around it."""
+    s = line.strip()
+    if s and s[0] in EDGES:
+        s = s.lstrip(EDGES + " \t") or s
+    while len(s) > 1 and s[-1] in TRAILERS and (s[-1] in "|»›•·«" or s[-2].isspace()):
+        s = s[:-1].rstrip()
+    return " ".join(s.split()) if "  " in s or "\t" in s else s
+
+
+def cue(low: str) -> bool:
+    """Whether a lower-case core opens or reads like layout."""
+    if HEADS.match(low):
+        return True
+    for k in INSIDE:
+        if k in low:
+            return True
+    return len(low) < 200 and INSIDE_RE.search(low) is not None
+
+
+def is_sentence(c: str, n: int) -> bool:
+    last = c[-1] if c[-1] not in CLOSERS else c.rstrip(CLOSERS)[-1:]
+    return n >= 6 and last in STOPS
+
+
+class Reader:
+    """(core, layout cue, sentence, score, wording key, head key) of lines; short lines are remembered, as layout repeats."""
+
+    def __init__(self):
+        self.memo: dict[tuple[str, str], tuple] = {}
+
+    def __call__(self, line: str, names: str) -> tuple:
+        k = (line, names)
+        got = self.memo.get(k)
+        if got is None:
+            got = self.read(line, names)
+            if len(line) < 140:
+                if len(self.memo) > 300_000:
+                    self.memo.clear()
+                self.memo[k] = got
+        return got
+
+    @staticmethod
+    def read(line: str, names: str) -> tuple:
+        c = core(line)
+        if not c:
+            return c, False, False, 0, None, None
+        n = c.count(" ") + 1
+        hint = cue(c.lower())
+        sentence = not hint and is_sentence(c, n)
+        # negative for layout, positive for content
+        value = -1 if hint else 1 if sentence or n > 25 else 0
+        if sentence:
+            return c, hint, sentence, value, None, key(head(c, names))
+        w = wording(c)
+        return c, hint, sentence, value, key(w) if len(w) >= 3 else None, key(head(c, names))
 
 
-def head(c: str, names: set[str]) -> str:
+def head(c: str, name: str) -> str:
     """Generalised head of a line: up to a colon within its first words, else its first two words; the site's name as @, digits as 0."""
-    low = c.lower()
-    for n in names:
-        low = low.replace(n, "@")
-    w = low[:60].split()[:2]
+    low = c[:60].lower()
+    if name:
+        low = low.replace(name, "@")
     k = low.find(":", 0, 24)
-    h = low[:k] if k > 0 and low[:k].count(" ") <= 2 else " ".join(w)
-    return re.sub(r"\d+", "0", h)
+    h = low[:k] if k > 0 and low.count(" ", 0, k) <= 2 else " ".join(low.split(None, 2)[:2])
+    return DIGITS.sub("0", h)
 
 
-def site_name_words(host: str) -> set[str]:
+def site_name(host: str) -> str:
     part = host.split(".")[0]
-    return {part} if len(part) > 3 else set()
+    return part if len(part) > 3 else ""
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Head path -> containers, pages of rows, layout and content scores, aggregated per task."""
-    c: Counter = Counter()
+    """Votes per task: wordings of lines that are no sentences by page (kind 0: page, wording), heads by score (kind 1: score, head)."""
+    read, c = Reader(), Counter()
 
     def out():
         ks = list(c)
-        return pd.DataFrame({"host": [k[0] for k in ks], "head": [k[1] for k in ks], "score": [k[2] for k in ks], "n": [c[k] for k in ks]})
+        return pd.DataFrame({"kind": [k[0] for k in ks], "host": [k[1] for k in ks], "page": [k[2] for k in ks], "k": [k[3] for k in ks], "n": list(c.values())})
 
     for pdf in batches:
-        for h, s, text in zip(pdf["host"], pdf["site"], pdf["text"]):
-            names = site_name_words(s)
+        for h, p, s, text in zip(pdf["host"], pdf["page"], pdf["site"], pdf["text"]):
+            name = site_name(s)
             for line in text.split("\n"):
-                x = core(line)
-                if x and len(x) < 400:
-                    v = score(line, x)
-                    c[h, key(head(x, names)), 1 if v > 0 else -1 if v < 0 else 0] += 1
-        if len(c) > 200_000:
-            yield out()
-            c.clear()
+                x, _, _, value, w, hk = read(line, name)
+                if x:
+                    c[1, h, value, hk] += 1
+                    if w is not None:
+                        c[0, h, p, w] += 1
+            if len(c) > 200_000:
+                yield out()
+                c.clear()
     if c:
         yield out()
 
@@ -106,47 +147,48 @@ def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "te
     """(wordings, heads) that win as layout: wordings ``host, w`` by their share of the site's pages, heads ``w`` by the sites' votes: each
     site votes by the mean score of its containers under the head, and a head wins with at least ``lead`` of the votes of sites with an
     opinion and on at least ``least`` containers."""
-    words = repeated_wordings(df, url_col, text_col, share, least)
-    d = rows_of(df, url_col, url_col, text_col).withColumn("host", F.xxhash64("site"))
-    v = d.select("host", "site", "text").mapInPandas(_votes, "host bigint, head bigint, score int, n bigint")
-    per = v.groupBy("host", "head").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("score")).alias("s"))
-    per = per.groupBy("head").agg(F.sum("n").alias("n"), F.sum((F.col("s") < 0).cast("int")).alias("layout"), F.sum((F.col("s") > 0).cast("int")).alias("content"))
+    d = rows_of(df, url_col, url_col, text_col).select(F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "site", "text")
+    v = d.mapInPandas(_votes, "kind int, host bigint, page bigint, k bigint, n bigint")
+    # one aggregation for both kinds; the distinct count is taken per (host, path, page) first, so no path meets in one task
+    votes = v.groupBy("kind", "host", "k").agg(F.countDistinct("page").alias("n_pages"), F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == 1, F.col("n") * F.col("page"))).alias("s"))
+    votes = materialize(votes.where(f"kind = 1 or n_pages >= {least}"), "votes")
+    sizes = site_sizes(df, url_col, text_col)
+    words = votes.where("kind = 0").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n_pages") >= F.col("site_pages") * share)
+    per = votes.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("s") < 0).cast("int")).alias("layout"), F.sum((F.col("s") > 0).cast("int")).alias("content"))
     won = per.where((F.col("n") >= least) & (F.col("layout") > 0) & (F.col("layout") >= lead * (F.col("layout") + F.col("content"))))
-    return words, materialize(won.select(F.lit(0).cast("bigint").alias("host"), F.col("head").alias("w")), "heads")
+    return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(won.select(F.lit(0).cast("bigint").alias("host"), F.col("k").alias("w")), "heads")
 
 
-def label_lines(lines: list[str], title: str | None, known: set[int], heads: set[int], names: set[str]) -> list[bool]:
+def label_lines(lines: list[str], title: str | None, known: set[int], heads: set[int], name: str, read: Reader) -> list[bool]:
     """True for layout lines."""
     out, teaser = [], False
     t = wording(title or "")
+    t = key(t) if len(t) >= 3 else None
     for line in lines:
-        c = core(line)
-        w = wording(c)
+        c, hint, sentence, value, w, hk = read(line, name)
         if not c:
             out.append(False)
             continue
-        if t and w == t:
+        if t is not None and w == t:
             out.append(False)
             teaser = False
             continue
-        s = score(line, c)
-        sentence = bool(ENDS.search(c)) and c.count(" ") >= 5 and s > 0
-        cells = [p for p in re.split(r"\s*\|\s*", c) if p]
-        bar = len(cells) >= 3 and sum(key(wording(p)) in known for p in cells) >= 0.5 * len(cells)
-        hit = len(w) >= 3 and key(w) in known
-        layout = s < 0 and bool(LAYOUT.match(c)) or bar or (hit and not sentence) or (not sentence and s <= 0 and key(head(c, names)) in heads)
-        if TEASER.match(c):
-            layout = teaser = True
+        layout = hint or (w is not None and w in known) or (not sentence and value <= 0 and hk in heads)
+        if not layout and not sentence and "|" in c:
+            cells = [p for p in c.split("|") if p.strip()]
+            layout = len(cells) >= 3 and sum(key(wording(p)) in known for p in cells) >= 0.5 * len(cells)
+        if hint and TEASER.match(c.lower()):
+            teaser = True
         elif not layout and teaser:
             # items of a teaser list: bulleted or marked as fresh, or bare titles; a sentence or a row of cells ends it
-            bare = not sentence and not ENDS.search(c) and c.count("|") < 2 and c.count(":") < 2 and 2 <= c.count(" ") <= 16 and not NUMBERED.search(c)
+            bare = not sentence and c[-1] not in STOPS and c.count("|") < 2 and c.count(":") < 2 and 2 <= c.count(" ") <= 16 and not NUMBERED.search(c)
             if BULLET.match(line) or FRESH.search(c) or bare:
                 layout = True
             else:
                 teaser = False
         elif layout:
             teaser = False
-        elif BULLET.match(line) and FRESH.search(c):
+        elif not sentence and BULLET.match(line) and FRESH.search(c):
             layout = True
         out.append(layout)
     return out
@@ -163,6 +205,7 @@ def layout_lines(df: DataFrame, words: DataFrame, heads: DataFrame, id_col: str
     won = df.sparkSession.sparkContext.broadcast({r.w for r in heads.select("w").collect()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = Reader()
         for pdf in batches:
             ids, nos, texts = [], [], []
             for i, h, s, t, text, ws in zip(pdf["id"], pdf["host"], pdf["site"], pdf["title"], pdf["text"], pdf["ws"]):
@@ -172,7 +215,7 @@ def layout_lines(df: DataFrame, words: DataFrame, heads: DataFrame, id_col: str
                     continue
                 known = (shared.value.get(h) if shared is not None else set(ws) if ws is not None else None) or set()
                 lines = text.split("\n")
-                flags = label_lines(lines, t, known, won.value, site_name_words(s))
+                flags = label_lines(lines, t, known, won.value, site_name(s), read)
                 if extract:
                     ids.append(i)
                     texts.append("\n".join(x for x, f in zip(lines, flags) if not f))
