@@ -54,7 +54,7 @@ def line_stats(line: str) -> tuple[int, int, float, float, int, int, int]:
         fields = max(fields, len(FIELD.findall(s)))
     if commas >= 2 and n <= 2.6 * (commas + 1):  # values set apart by commas: few words each
         fields = max(fields, commas)
-    damaged = n > 5 and chars < 1.7 * n or chars > 40 and max(map(len, words)) > 40 and not s.startswith("http") or not s.isascii() and len(BROKEN.findall(s)) > 0.02 * len(s)
+    damaged = symbols > 0.5 or n > 5 and chars < 1.7 * n or chars > 40 and max(map(len, words)) > 40 and not s.startswith("http") or not s.isascii() and len(BROKEN.findall(s)) > 0.02 * len(s)
     last = s[-1] if s[-1] not in CLOSERS else s.rstrip(CLOSERS)[-1:]
     bullet = not (s[0].isalpha() and s[1:2] not in ".)") and BULLET.match(s) is not None
     return n, int(last in STOPS), common, symbols, fields, int(damaged), int(bullet)
