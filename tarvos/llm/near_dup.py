@@ -2,8 +2,10 @@
 
 Every permutation gives two signature values, the minimum and the maximum of the permuted shingle hashes, so ``bands * rows``
 values cost half as many hash evaluations. Exact copies (equal shingle sets) are folded to one representative before banding.
-Buckets up to ``bucket_cap`` representatives yield candidate pairs while they stream by in sorted order; larger ones are split in blocks of
-``bucket_cap`` whose block pairs are compared by signature in separate tasks, so that no bucket is held by one task and none is cut.
+Buckets up to ``bucket_cap``
+representatives are compared while they stream by in sorted order, larger ones are split in blocks whose pairs are compared in tasks of
+their own; a pair becomes a candidate if its 128-bit sketches, bits of the same signatures, can belong to the threshold. No bucket is
+held whole above the cap, none is cut.
 
 Defined results: a record with fewer than ``shingle`` words has no shingles and is similar to nothing (own class); nulls count as
 empty text; repeated rows of one id count once; an id with several texts is a member of several; extra columns are ignored; an empty table gives no rows.
@@ -94,9 +96,23 @@ def _chunks_of(pdf: pd.DataFrame, n: int = 2000) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[i : i + n]
 
 
-def _sign(shingle: int, bands: int, rows: int, whole: bool = False):
-    """Rows ``h, fp, id``: one per band with a null id and one with the id (its h only spreads it). Copies met again in a task
-    send their bands once. With ``whole``: one row ``fp, bands`` per record."""
+def sketch_bits(sig: np.ndarray) -> np.ndarray:
+    """128 bits of each signature, one of each of its last values: two records agree in (1 + similarity) / 2 of them on average."""
+    bits = (sig[:, -128:] & np.uint64(1)).astype(np.uint8)
+    if bits.shape[1] < 128:
+        bits = np.pad(bits, ((0, 0), (0, 128 - bits.shape[1])))
+    return np.packbits(bits, axis=1).view(np.uint64).view(np.int64).reshape(len(sig), 2)
+
+
+def least_agreement(threshold: float) -> int:
+    """Bits out of 128 that all but about one in 300 pairs at the threshold agree in, and nearly every pair above it."""
+    p = (1 + threshold) / 2
+    return int(128 * p - 2.7 * (128 * p * (1 - p)) ** 0.5)
+
+
+def _sign(shingle: int, bands: int, rows: int):
+    """Rows ``h, fp, s1, s2, id``: one per band with a null id and one with the id (its h only spreads it). Copies met again in a
+    task send their bands once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer, done = Signer(shingle, bands, rows), set()
@@ -105,10 +121,7 @@ def _sign(shingle: int, bands: int, rows: int, whole: bool = False):
                 keep, fp, sig = signer([words(t, x) for t, x in zip(pdf["title"], pdf["text"])])
                 if not len(keep):
                     continue
-                h, fps = signer.band_hashes(sig).view(np.int64), fp.view(np.int64)
-                if whole:
-                    yield pd.DataFrame({"fp": fps, "bands": list(h)})
-                    continue
+                h, fps, bits = signer.band_hashes(sig).view(np.int64), fp.view(np.int64), sketch_bits(sig)
                 fresh = np.zeros(len(fps), bool)
                 for i, f in enumerate(fps.tolist()):
                     if f not in done:
@@ -118,125 +131,144 @@ def _sign(shingle: int, bands: int, rows: int, whole: bool = False):
                         done.add(f)
                 ids = pdf["id"].to_numpy()[keep]
                 spread = mix64(fp + np.arange(len(fp), dtype=np.uint64)).view(np.int64)
-                n = int(fresh.sum()) * bands
-                yield pd.DataFrame({"h": np.concatenate([spread, h[fresh].ravel()]), "fp": np.concatenate([fps, np.repeat(fps[fresh], bands)]), "id": np.concatenate([ids, np.full(n, None, object)])})
+                n, zero = int(fresh.sum()) * bands, np.zeros(len(fps), np.int64)
+                again = lambda x: np.repeat(x[fresh], bands)
+                yield pd.DataFrame({
+                    "h": np.concatenate([spread, h[fresh].ravel()]), "fp": np.concatenate([fps, again(fps)]), "s1": np.concatenate([zero, again(bits[:, 0])]),
+                    "s2": np.concatenate([zero, again(bits[:, 1])]), "id": np.concatenate([ids, np.full(n, None, object)]),
+                })
 
     return run
 
 
-def _bucket_pairs(cap: int):
-    """Pairs of each run of equal bucket hashes in a sorted stream (kind 0); members of runs above the cap come out as (bucket,
-    member) (kind 1); rows with an id pass as (fingerprint, id) (kind 2)."""
+def _agreeing(x: np.ndarray, y: np.ndarray | None, least: int, step: int = 512) -> np.ndarray:
+    """(a, b) of the pairs within ``x``, or between ``x`` and ``y``, whose sketches agree in ``least`` bits; rows are (fp, s1, s2)."""
+    out = []
+    other = x if y is None else y
+    for lo in range(0, len(x), step):
+        a = x[lo : lo + step]
+        same = 128 - (np.bitwise_count(a[:, None, 1].view(np.uint64) ^ other[None, :, 1].view(np.uint64)).astype(np.int16) + np.bitwise_count(a[:, None, 2].view(np.uint64) ^ other[None, :, 2].view(np.uint64)))
+        i, j = np.nonzero(same >= least)
+        ok = (j > i + lo) if y is None else a[i, 0] != other[j, 0]
+        p = np.stack([a[i[ok], 0], other[j[ok], 0]], 1)
+        out.append(np.stack([p.min(1), p.max(1)], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
 
-    def pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.triu_indices(len(fps), 1)
-        return fps[i], fps[j]
+def _bucket_pairs(cap: int, least: int):
+    """Pairs of each run of equal bucket hashes in a sorted stream whose sketches agree (kind 0: a, b); members of runs above the cap
+    (kind 1: bucket, fingerprint, sketch); rows with an id pass (kind 2: fingerprint, id)."""
+    none = {"s1": 0, "s2": 0, "id": None}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_h, held, hot, last = None, [], False, None
+        held_h, held, size, hot, last = None, [], 0, False, None
+
+        near: list[np.ndarray] = []
 
-        def flush(out_a, out_b):
-            if held_h is not None and not hot and len(held) > 1:
-                a, b = pairs(np.array(held, np.int64))
-                out_a.append(a), out_b.append(b)
+        def small(rows: np.ndarray) -> None:
+            if len(rows) > 1:
+                near.append(_agreeing(rows, None, least))
+
+        def drain() -> Iterator[pd.DataFrame]:
+            p = np.concatenate(near) if near else np.empty((0, 2), np.int64)
+            near.clear()
+            if len(p):
+                yield pd.DataFrame({"kind": 0, "a": p[:, 0], "b": p[:, 1], **none})
+
+        def large(h: int, rows: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"kind": 1, "a": h, "b": rows[:, 0], "s1": rows[:, 1], "s2": rows[:, 2], "id": None})
 
         for pdf in batches:
             named = pdf["id"].notna().to_numpy()
             if named.any():
-                yield pd.DataFrame({"kind": 2, "a": pdf["fp"].to_numpy()[named], "b": 0, "id": pdf["id"].to_numpy()[named]})
-            h, fp = pdf["h"].to_numpy()[~named], pdf["fp"].to_numpy()[~named]
+                yield pd.DataFrame({"kind": 2, "a": pdf["fp"].to_numpy()[named], "b": 0, "s1": 0, "s2": 0, "id": pdf["id"].to_numpy()[named]})
+            h, x = pdf["h"].to_numpy()[~named], pdf[["fp", "s1", "s2"]].to_numpy(np.int64)[~named]
             if not len(h):
                 continue
             fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-            if last == (h[0], fp[0]):
+            fresh[1:] = (h[1:] != h[:-1]) | (x[1:, 0] != x[:-1, 0])
+            if last == (h[0], x[0, 0]):
                 fresh[0] = False
-            last = (h[-1], fp[-1])
-            h, fp = h[fresh], fp[fresh]
+            last = (h[-1], x[-1, 0])
+            h, x = h[fresh], x[fresh]
             if not len(h):
                 continue
             cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            size, out_a, out_b, hot_h, hot_f = np.diff(cut), [], [], [], []
-            inner = [k for k in np.flatnonzero(size > 1) if 0 < k < len(size) - 1]
-            two = np.array([cut[k] for k in inner if size[k] == 2], int)
+            count = np.diff(cut)
+            inner = np.arange(1, len(count) - 1)
+            two = cut[inner[count[inner] == 2]]
             if len(two):
-                out_a.append(fp[two]), out_b.append(fp[two + 1])
-            for k in sorted({0, len(size) - 1, *[k for k in inner if size[k] > 2]}):
-                x, hk = fp[cut[k] : cut[k + 1]], h[cut[k]]
-                if k in (0, len(size) - 1):  # may go on in the batch before or after
-                    if held_h != hk:
-                        flush(out_a, out_b)
-                        held_h, held, hot = hk, [], False
-                    if hot:
-                        hot_h.append(np.full(len(x), hk)), hot_f.append(x)
-                        continue
-                    held.extend(x.tolist())
-                    if len(held) > cap:
-                        hot_h.append(np.full(len(held), hk)), hot_f.append(np.array(held, np.int64))
-                        held, hot = [], True
-                elif len(x) > cap:
-                    hot_h.append(np.full(len(x), hk)), hot_f.append(x)
-                else:
-                    a, b = pairs(x)
-                    out_a.append(a), out_b.append(b)
-            if out_a:
-                yield pd.DataFrame({"kind": 0, "a": np.concatenate(out_a), "b": np.concatenate(out_b), "id": None})
-            if hot_h:
-                yield pd.DataFrame({"kind": 1, "a": np.concatenate(hot_h), "b": np.concatenate(hot_f), "id": None})
-        out_a, out_b = [], []
-        flush(out_a, out_b)
-        if out_a:
-            yield pd.DataFrame({"kind": 0, "a": out_a[0], "b": out_b[0], "id": None})
+                a, b = x[two], x[two + 1]
+                same = 128 - (np.bitwise_count((a[:, 1] ^ b[:, 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64)))
+                p = np.stack([a[:, 0], b[:, 0]], 1)[same >= least]
+                near.append(np.sort(p, axis=1))
+            # runs of one length are compared together
+            for n in np.unique(count[inner][(count[inner] > 2) & (count[inner] <= 32)]):
+                rows = x[cut[inner[count[inner] == n]][:, None] + np.arange(n)]
+                i, j = np.triu_indices(n, 1)
+                for lo in range(0, len(rows), 4096):
+                    a, b = rows[lo : lo + 4096, i], rows[lo : lo + 4096, j]
+                    same = 128 - (np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[..., 2] ^ b[..., 2]).view(np.uint64)))
+                    near.append(np.sort(np.stack([a[..., 0], b[..., 0]], 2)[same >= least], axis=1))
+            for k in sorted({0, len(count) - 1, *inner[count[inner] > 32].tolist()}):
+                rows, hk = x[cut[k] : cut[k + 1]], h[cut[k]]
+                if k not in (0, len(count) - 1):
+                    if len(rows) > cap:
+                        yield large(hk, rows)
+                    else:
+                        small(rows)
+                    continue
+                if held_h != hk:  # the first and last run of a batch may go on in its neighbours
+                    if not hot and held:
+                        small(np.concatenate(held))
+                    held_h, held, size, hot = hk, [], 0, False
+                if hot:
+                    yield large(hk, rows)
+                    continue
+                held.append(rows)
+                size += len(rows)
+                if size > cap:
+                    yield large(hk, np.concatenate(held))
+                    held, hot = [], True
+            if len(near) > 64:
+                yield from drain()
+        if not hot and held:
+            small(np.concatenate(held))
+        yield from drain()
 
     return run
 
 
-def _least_bands(bands: int, rows: int, threshold: float) -> int:
-    """Common bands a candidate must have: two where a pair at the threshold can expect six or more, else one."""
-    return 2 if bands * threshold**rows >= 6 else 1
-
-
-def _hot_pairs(hot: DataFrame, bands: DataFrame, cap: int, least: int) -> DataFrame:
-    """Pairs of buckets above the cap, block against block: two blocks of about ``cap`` members are compared by their band hashes
-    and pairs with ``least`` common bands are passed on to the exact check."""
+def _hot_pairs(hot: DataFrame, cap: int, least: int) -> DataFrame:
+    """Pairs of buckets above the cap: members fall in blocks of about ``cap``, and each pair of blocks is compared in a task of its
+    own by sketches, of which only agreeing pairs come out."""
     sizes = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("n"))
-    m = hot.join(sizes, "h").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).join(bands, "fp")
-    # the bucket's members are spread over block pairs (i <= j); each member goes to the n pairs its block takes part in
+    m = hot.join(sizes, "h").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    m = m.select("h", "fp", "bands", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    m = m.select("h", "fp", "s1", "s2", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-        a, b = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
-        fa, fb = left["fp"].to_numpy(), right["fp"].to_numpy()
-        out = []
-        for k in range(len(a)):
-            ok = ((b == a[k]).sum(1) >= least) & (fb > fa[k] if i == j else fb != fa[k])
-            out.append(np.stack([np.full(ok.sum(), fa[k]), fb[ok]], 1))
-        p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": p.min(1), "b": p.max(1)})
+        side = lambda k: pdf.loc[pdf["blk"] == k, ["fp", "s1", "s2"]].to_numpy(np.int64)
+        p = _agreeing(side(i), None if i == j else side(j), least)
+        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
     return m.groupBy("h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 56, rows: int = 4, bucket_cap: int = 256) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 36, rows: int = 4, bucket_cap: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(members, links): members ``id, fp`` with one fingerprint per distinct shingle set; links ``a, b, similarity`` between
     fingerprints of different sets whose exact Jaccard similarity is at least ``threshold``."""
     docs = df.select(F.col(id_col).cast("string").alias("id"), (F.col(title_col) if title_col else F.lit(None).cast("string")).cast("string").alias("title"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = docs.mapInPandas(_sign(shingle, bands, rows), "h bigint, fp bigint, id string")
+    least = least_agreement(threshold)
+    signed = docs.mapInPandas(_sign(shingle, bands, rows), "h bigint, fp bigint, s1 bigint, s2 bigint, id string")
     stream = signed.repartition("h").sortWithinPartitions("h", "fp")
-    found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap), "kind int, a bigint, b bigint, id string"), "candidates")
+    found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap, least), "kind int, a bigint, b bigint, s1 bigint, s2 bigint, id string"), "candidates")
     members = found.where("kind = 2").select("id", F.col("a").alias("fp")).distinct()
-    least = _least_bands(bands, rows, threshold)
-    cand = found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("fp"))
+    cand = found.where("kind = 0").select("a", "b")
+    hot = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("fp"), "s1", "s2")
     if not hot.isEmpty():
-        hot = hot.distinct()
-        again = docs.join(members.join(hot.select("fp").distinct(), "fp", "left_semi").select("id").distinct(), "id", "left_semi")
-        vectors = materialize(again.mapInPandas(_sign(shingle, bands, rows, True), "fp bigint, bands array<bigint>").dropDuplicates(["fp"]), "vectors")
-        # a pair may have one of its common bands in a hot bucket only: pairs with a single small one are counted again there
-        cand = cand.unionByName(_hot_pairs(hot, vectors, bucket_cap, least))
+        cand = cand.unionByName(_hot_pairs(hot.dropDuplicates(["h", "fp"]), bucket_cap, least))
     cand = materialize(cand.distinct(), "pairs")
     wanted = cand.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     rep = members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
