@@ -141,6 +141,16 @@ def _sign(shingle: int, bands: int, rows: int):
     return run
 
 
+def _same_fingerprint(shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(shingle, 1, 1)
+        for pdf in batches:
+            keep, fp, _ = signer([words(t, x) for t, x in zip(pdf["title"], pdf["text"])])
+            yield pdf.iloc[keep[fp.view(np.int64) == pdf["fp"].to_numpy()[keep]]]
+
+    return run
+
+
 def _agreeing(x: np.ndarray, y: np.ndarray | None, least: int, step: int = 512) -> np.ndarray:
     """(a, b) of the pairs within ``x``, or between ``x`` and ``y``, whose sketches agree in ``least`` bits; rows are (fp, s1, s2)."""
     out = []
@@ -271,9 +281,11 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | Non
         cand = cand.unionByName(_hot_pairs(hot.dropDuplicates(["h", "fp"]), bucket_cap, least))
     cand = materialize(cand.distinct(), "pairs")
     wanted = cand.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    rep = members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
-    # an id may have several texts: the text is matched by its own fingerprint in the check, any copy will do
-    sets = docs.join(rep, "id").dropDuplicates(["fp"])
+    own = members.groupBy("id").agg(F.count("*").alias("n"))
+    rep = members.join(wanted, "fp", "left_semi").join(own, "id").groupBy("fp").agg(F.min(F.struct("n", "id")).alias("r")).select("fp", "r.n", "r.id")
+    sets = docs.join(rep, "id")
+    # an id with several texts: only the text with the wanted fingerprint stands for it
+    sets = sets.where("n = 1").unionByName(sets.where("n > 1").mapInPandas(_same_fingerprint(shingle), sets.schema)).dropDuplicates(["fp"])
 
     def jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -82,3 +82,9 @@ def test_minmax_estimates_are_unbiased():
     x, y = nd.shingle_set(None, " ".join(a), 1), nd.shingle_set(None, " ".join(b), 1)
     _, _, sig = nd.Signer(1, 250, 4)([a, b])
     assert abs(np.mean(sig[0] == sig[1]) - len(x & y) / len(x | y)) < 0.05
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = [" ".join(f"{x}{i}" for i in range(40)) for x in "pq"]
+    rows = [("two", a, None, 1, 2), ("two", b, None, 1, 2), ("x", a + " more", None, 1, 2), ("y", b + " more", None, 1, 2)]
+    assert found(spark, rows, threshold=0.5, shingle=3) == {("two", "x"), ("two", "y")}
