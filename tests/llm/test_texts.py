@@ -166,3 +166,8 @@ def test_skip_gram_vectors_group_words_of_like_contexts():
     w, _ = ocr_repair.skip_gram_vectors((m + m.T).astype(float), 4)
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert cos(w[0], w[5]) > 0.9 > 0.5 > cos(w[0], w[30])
+
+
+def test_misreadings_are_told_by_ratio_not_by_count():
+    lex = ocr_repair.Lexicon({"shall": 1_000_000, "sliall": 9_000, "hall": 300_000, "office": 50}, 1)
+    assert lex.correct("sliall", []) == "shall" and lex.correct("hall", []) is None and lex.correct("officc", []) == "office" and lex.correct("CS185", []) is None
