@@ -29,7 +29,8 @@ def test_leaks_match_brute_force(spark):
             w = leaks.tokens(t or "")
             for k in range(len(w) - 11):
                 grams.setdefault(tuple(w[k : k + 12]), set()).add(i)
-    want = {(d, i) for d, t in docs if t for k in range(len(leaks.tokens(t)) - 11) for i in grams.get(tuple(leaks.tokens(t)[k : k + 12]), ())}
+    split = {d: leaks.tokens(t) for d, t in docs if t}
+    want = {(d, i) for d, w in split.items() for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "id string, passage string, question string")
     for limit in (8_000_000, 4_000):  # one shard, several shards
         assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(dd, ii, max_index_chars=limit).collect()} == want
