@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, grid, html, http, lines, manifest, quality, retrieval, urls
+from .operators import chunking, classify, grid, html, http, lines, manifest, quality, retrieval, urls
 from .plans import pipeline
 from .sources import io
 
@@ -479,6 +479,36 @@ def corpus_rollup(spark, sf):
 
 SQL["corpus_rollup"] = "select source, lang, count(*) as n, sum(n_chars)::bigint as chars from (select coalesce(source, '-') as source, lower(coalesce(lang, '-')) as lang, n_chars from documents) group by rollup (source, lang)"
 
+# ---- classification
+
+
+def _signal(c: str, pattern: str, least: int) -> str:
+    return f"regexp_matches({c}, '{pattern}')::int" if least == 1 else f"(len(regexp_extract_all({c}, '{pattern}')) >= {least})::int"
+
+
+CLASS = "case " + " ".join(f"when {' + '.join(_signal(chr(123) + '0' + chr(125), p.replace('{', '{{').replace('}', '}}'), k) for p, k in sig)} >= {need} then '{label}'" for label, need, sig in classify.RULES) + " else 'skip' end"
+
+
+@query(f"select chunk_id, source_url, {CLASS.format('text')} as page_class from (select chunk_id, source_url, coalesce(text, '') as text from {CHUNKS})")
+def page_classify_signals(spark, sf):
+    return quality.current(Tables(spark, sf).chunks).select("chunk_id", "source_url", classify.classify_page(F.col("text")).alias("page_class"))
+
+
+@query(f"with p as (select source_url, coalesce(chunk_index, 0) as page, {CLASS.format('text')} as label from (select source_url, chunk_index, coalesce(text, '') as text from {CHUNKS})), c as (select source_url, label, count(*) as n, min(page) as f from p group by 1, 2), a as (select source_url, sum(n) filter (where label <> 'skip') as kept, arg_max(label, (n, -f)) filter (where label <> 'skip') as best, sum(n) filter (where label = 'policy') as np, sum(n) filter (where label = 'syllabus') as ns from c group by 1) select source_url, case when np > 0.4 * kept then 'policy' when ns > 0.3 * kept then 'syllabus' else coalesce(best, 'skip') end as document_class from a")
+def document_class_vote(spark, sf):
+    p = quality.current(Tables(spark, sf).chunks).select("source_url", F.coalesce("chunk_index", F.lit(0)).alias("page"), classify.classify_page(F.col("text")).alias("label"))
+    return classify.document_vote(p, "source_url", "page", "label")
+
+
+GLYPHS = "(select o_custkey as doc, o_orderkey % 97 * 1.3 as top, 8 + o_orderkey % 5 as size, substring(o_orderstatus, 1, 1) as char, o_orderkey as x from orders)"
+
+
+@query(f"select doc, round_even(top / 2, 0) * 2 as line_top, round(avg(size), 6) as font, string_agg(char, '' order by x, char) as line from (select doc, top::double as top, size, char, x from {GLYPHS}) group by 1, 2")
+def pdf_line_fonts(spark, sf):
+    g = Tables(spark, sf).orders.select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 97 * F.expr("cast(1.3 as decimal(2, 1))")).cast("double").alias("top"), (8 + F.col("o_orderkey") % 5).alias("size"), F.substring("o_orderstatus", 1, 1).alias("char"), F.col("o_orderkey").alias("x"))
+    return classify.line_fonts(g, ["doc"]).select("doc", "line_top", F.round("font", 6).alias("font"), "line")
+
+
 # ---- joins
 
 

@@ -174,3 +174,22 @@ def test_retire_rules_are_disjoint_from_what_stays(spark):
     left = {r.chunk_id for r in quality.retire(c, old, flood).collect()}
     gone = {r.chunk_id for r in old.collect()} | {r.chunk_id for r in flood.collect()}
     assert left.isdisjoint(gone) and len(left | gone) == 20 and flood.count() == 17
+
+
+def test_page_rules_and_document_vote(spark):
+    from tarvos.operators import classify
+
+    d = spark.createDataFrame([("CS-101 and CS 102, 4 credits",), ("nothing here",), (None,), ("The warden of the hostel shall shall shall see the rules",)], "t string")
+    assert [r[0] for r in d.select(classify.classify_page(F.col("t"))).collect()] == ["syllabus", "skip", "skip", "hostel"]
+    p = spark.createDataFrame([("a", 0, "policy"), ("a", 1, "notice"), ("b", 0, "form"), ("b", 1, "notice"), ("c", 0, "skip"), ("d", 0, "syllabus"), ("d", 1, "form"), ("d", 2, "form"), ("d", 3, "skip")], "doc string, page int, label string")
+    got = {r.doc: r.document_class for r in classify.document_vote(p, "doc", "page", "label").collect()}
+    assert got == {"a": "policy", "b": "form", "c": "skip", "d": "syllabus"}
+
+
+def test_claimed_tables(spark):
+    from tarvos.operators import classify
+
+    s = spark.createDataFrame([("u", 1, "s1"), ("u", 1, "s2")], "url string, page int, section string")
+    t = spark.createDataFrame([("u", 1, "t1"), ("u", 2, "t2")], "url string, page int, tab string")
+    taken, left = classify.claim_tables(s, t, ["url", "page"], "section")
+    assert [(r.tab, r.section) for r in taken.collect()] == [("t1", "s1")] and [r.tab for r in left.collect()] == ["t2"]
