@@ -142,11 +142,19 @@ def _sign(shingle: int, bands: int, rows: int):
 
 
 def _same_fingerprint(shingle: int):
+    """Rows of ids with one text (n = 1) pass; of the others only the text with the wanted fingerprint."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(shingle, 1, 1)
         for pdf in batches:
-            keep, fp, _ = signer([words(t, x) for t, x in zip(pdf["title"], pdf["text"])])
-            yield pdf.iloc[keep[fp.view(np.int64) == pdf["fp"].to_numpy()[keep]]]
+            several = pdf["n"].to_numpy() > 1
+            if several.any():
+                at = np.flatnonzero(several)
+                keep, fp, _ = signer([words(t, x) for t, x in zip(pdf["title"].iloc[at], pdf["text"].iloc[at])])
+                good = ~several
+                good[at[keep[fp.view(np.int64) == pdf["fp"].to_numpy()[at][keep]]]] = True
+                pdf = pdf[good]
+            yield pdf
 
     return run
 
@@ -285,7 +293,7 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | Non
     rep = members.join(wanted, "fp", "left_semi").join(own, "id").groupBy("fp").agg(F.min(F.struct("n", "id")).alias("r")).select("fp", "r.n", "r.id")
     sets = docs.join(rep, "id")
     # an id with several texts: only the text with the wanted fingerprint stands for it
-    sets = sets.where("n = 1").unionByName(sets.where("n > 1").mapInPandas(_same_fingerprint(shingle), sets.schema)).dropDuplicates(["fp"])
+    sets = sets.mapInPandas(_same_fingerprint(shingle), sets.schema).dropDuplicates(["fp"])
 
     def jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
