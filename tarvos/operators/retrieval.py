@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import word_list
 
 QUERY_BLOCK = 2_000  # query vectors held by a task at a time
 
@@ -92,24 +92,25 @@ def first_rule(df: DataFrame, text: str, rules: list[tuple[str, list[str]]]) ->
 
 def bm25_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``term, df`` over all documents; a document sends each term once and counts are combined before the shuffle."""
-    t = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("df"))
+    t = docs.select(F.explode(F.array_distinct(word_list(F.col(text_col)))).alias("term"))
+    return t.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25_rank(queries: DataFrame, docs: DataFrame, k: int = 5, qid: str = "query_id", qtext: str = "query", id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, digits: int = 6, query_terms_limit: int = 200_000) -> DataFrame:
     """``query_id, doc_id, score, rank``. Postings are cut to query terms before any shuffle; inverse document frequencies below zero become
     epsilon times the mean over the vocabulary; a term counts as often as the query has it."""
-    q = queries.select(F.col(qid).alias("query_id"), F.explode(words(F.col(qtext))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    q = queries.select(F.col(qid).alias("query_id"), F.explode(word_list(F.col(qtext))).alias("term")).where("term <> ''").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     terms = q.select("term").distinct()
-    d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    stat = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
+    d = docs.select(F.col(id_col).alias("doc_id"), word_list(F.col(text_col)).alias("w"))
+    d = d.withColumn("len", F.when(F.element_at("w", 1) == "", 0).otherwise(F.size("w")))
+    stat = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = bm25_statistics(docs, id_col, text_col).crossJoin(F.broadcast(stat))  # one row
     df = df.withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     floor = df.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = df.join(F.broadcast(terms) if terms.limit(query_terms_limit + 1).count() <= query_terms_limit else terms, "term", "left_semi").crossJoin(F.broadcast(floor))
     idf = idf.select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "avg_len")
     small = F.broadcast(idf) if terms.limit(query_terms_limit + 1).count() <= query_terms_limit else idf
-    post = d.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(small, "term")
+    post = d.select("doc_id", "len", F.explode("w").alias("term")).join(small, "term")
     tf = post.groupBy("doc_id", "term", "len", "idf", "avg_len").agg(F.count("*").alias("tf"))
     s = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     sc = tf.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(s), digits).alias("score"))
