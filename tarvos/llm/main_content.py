@@ -1,10 +1,11 @@
 """Main content of web pages by consensus paths per site.
 
 The pages here come as text, one block a line, so a container is a line and its generalised tag-class path is what identifies its
-slot in a layout whatever the page: the line's wording (digits, case and marks dropped), the wording of its head (what stands before
-a colon or bar, or its first words, with the site's own name masked) and its neighbours. Every container is scored by itself; paths are voted on
-per site in Spark: a path that stands on a share of a site's pages, or whose containers score as layout on average over all sites, wins as
-layout. Pages are then read again and each line goes by the winning path, with a teaser's items going with their label.
+slot in a layout whatever the page: the line's wording (digits, case and marks dropped; a sentence keeps its digits), the wording of its head (what stands before
+a colon or bar, or its first words, with the site's own name masked) and its neighbours. Every container is scored by itself, a fixed word list being one of the scores; paths are voted on per site in Spark: a wording
+that stands on a share of a site's pages, or a head most of whose scored containers on the site score as layout, wins as layout; sites with
+too few scored containers under a head go by the votes of all sites. Pages are then read again and each line, sentences too, goes by
+the winning path, by its own score only where no path has won, with a teaser's items going with their label.
 
 Defined results: blank lines are neither; rows without text or host have no layout lines; repeated rows are reported once; extra columns are
 ignored; a site with fewer than ``least`` pages is judged by its containers' scores and the votes over all sites.
@@ -43,6 +44,7 @@ CLOSERS = "'\")”’]"
 BULLET = re.compile(r"^\s*[›»>]\s*\S")
 NUMBERED = re.compile(r"^\d+[.)]\s|\d\s*[KM]B\)\s*$", re.I)
 DIGITS = re.compile(r"\d+")
+NOT_WORD = re.compile(r"[\W_]+")
 FRESH = re.compile(r"\s*\((?:new|updated|hot)\)\s*$|\s+\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}\s*$", re.I)
 
 
@@ -95,12 +97,10 @@ class Reader:
             return c, False, False, 0, None, None
         n = c.count(" ") + 1
         hint = cue(c.lower())
-        sentence = not hint and is_sentence(c, n)
+        sentence = is_sentence(c, n)
         # negative for layout, positive for content
         value = -1 if hint else 1 if sentence or n > 25 else 0
-        if sentence:
-            return c, hint, sentence, value, None, key(head(c, names))
-        w = wording(c)
+        w = NOT_WORD.sub("", c.lower()) if sentence else wording(c)
         return c, hint, sentence, value, key(w) if len(w) >= 3 else None, key(head(c, names))
 
 
@@ -120,7 +120,7 @@ def site_name(host: str) -> str:
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Votes per task: wordings of lines that are no sentences by page (kind 0: page, wording), heads by score (kind 1: score, head)."""
+    """Votes per task: wordings by page (kind 0: page, wording), heads by score (kind 1: score, head)."""
     read, c = Reader(), Counter()
 
     def out():
@@ -144,23 +144,40 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, lead: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(wordings, heads) that win as layout: wordings ``host, w`` by their share of the site's pages, heads ``w`` by the sites' votes: each
-    site votes by the mean score of its containers under the head, and a head wins with at least ``lead`` of the votes of sites with an
-    opinion and on at least ``least`` containers."""
+    """(wordings ``host, w`` that win as layout by their share of the site's pages, heads ``host, w, layout`` with their verdict): each site
+    votes by the scores of its containers under the head. A site with ``least`` scored containers goes by its own vote, with ``lead`` of them and
+    half of all containers to win as layout; the other sites go by the votes of all, where a head wins with ``lead`` of the sites with an
+    opinion and ``least`` containers. A head without a verdict has no row, nor has one won as content that no layout score contests."""
     d = rows_of(df, url_col, url_col, text_col).select(F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "site", "text")
     v = d.mapInPandas(_votes, "kind int, host bigint, page bigint, k bigint, n bigint")
     # one aggregation for both kinds; the distinct count is taken per (host, path, page) first, so no path meets in one task
-    votes = v.groupBy("kind", "host", "k").agg(F.countDistinct("page").alias("n_pages"), F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == 1, F.col("n") * F.col("page"))).alias("s"))
+    of_score = [F.sum(F.when((F.col("kind") == 1) & (F.col("page") == x), F.col("n")).otherwise(0)).alias(name) for x, name in ((-1, "neg"), (1, "pos"))]
+    votes = v.groupBy("kind", "host", "k").agg(F.countDistinct("page").alias("n_pages"), F.sum("n").alias("n"), *of_score)
     votes = materialize(votes.where(f"kind = 1 or n_pages >= {least}"), "votes")
     sizes = site_sizes(df, url_col, text_col)
     words = votes.where("kind = 0").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n_pages") >= F.col("site_pages") * share)
-    per = votes.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("s") < 0).cast("int")).alias("layout"), F.sum((F.col("s") > 0).cast("int")).alias("content"))
+    per = votes.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("neg") > F.col("pos")).cast("int")).alias("layout"), F.sum((F.col("neg") < F.col("pos")).cast("int")).alias("content"))
     won = per.where((F.col("n") >= least) & (F.col("layout") > 0) & (F.col("layout") >= lead * (F.col("layout") + F.col("content"))))
-    return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(won.select(F.lit(0).cast("bigint").alias("host"), F.col("k").alias("w")), "heads")
-
-
-def label_lines(lines: list[str], title: str | None, known: set[int], heads: set[int], name: str, read: Reader) -> list[bool]:
-    """True for layout lines."""
+    own = votes.where("kind = 1")
+    own = own.join(won.select("k", F.lit(True).alias("pooled")), "k", "left")
+    verdict = F.col("pooled")
+    heads = own.select("host", F.col("k").alias("w"), verdict.alias("layout"), "neg").where("layout or (not layout and neg > 0)").drop("neg")
+    return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(heads, "heads")
+
+
+def with_heads(d: DataFrame, heads: DataFrame) -> tuple[DataFrame, object]:
+    """Rows with the verdicts on their site's heads: through a broadcast within its limit, else as a map joined by site."""
+    if small(heads):
+        out: dict[int, dict[int, bool]] = {}
+        for r in heads.collect():
+            out.setdefault(r.host, {})[r.w] = r.layout
+        return d.withColumn("hs", F.lit(None).cast("array<struct<w:bigint,layout:boolean>>")), d.sparkSession.sparkContext.broadcast(out)
+    per = heads.groupBy("host").agg(F.collect_list(F.struct("w", "layout")).alias("hs"))
+    return d.join(per, "host", "left"), None
+
+
+def label_lines(lines: list[str], title: str | None, known: set[int], heads: dict[int, bool], name: str, read: Reader) -> list[bool]:
+    """True for layout lines: by the wording if it won, else by the head's verdict, else by the line's own score."""
     out, teaser = [], False
     t = wording(title or "")
     t = key(t) if len(t) >= 3 else None
@@ -173,11 +190,12 @@ def label_lines(lines: list[str], title: str | None, known: set[int], heads: set
             out.append(False)
             teaser = False
             continue
-        layout = hint or (w is not None and w in known) or (not sentence and value <= 0 and hk in heads)
+        path = True if w is not None and w in known else heads.get(hk)
+        layout = value < 0 if path is None else path
         if not layout and not sentence and "|" in c:
             cells = [p for p in c.split("|") if p.strip()]
             layout = len(cells) >= 3 and sum(key(wording(p)) in known for p in cells) >= 0.5 * len(cells)
-        if hint and TEASER.match(c.lower()):
+        if layout and TEASER.match(c.lower()):
             teaser = True
         elif not layout and teaser:
             # items of a teaser list: bulleted or marked as fresh, or bare titles; a sentence or a row of cells ends it
@@ -200,22 +218,21 @@ def layout_lines(df: DataFrame, words: DataFrame, heads: DataFrame, id_col: str
     if not extract:
         d = d.where("text is not null and site is not null")
     d, shared = with_flags(d, words)
-    if not small(heads):
-        raise ValueError("more winning heads than may be broadcast; raise least or lead")
-    won = df.sparkSession.sparkContext.broadcast({r.w for r in heads.select("w").collect()})
+    d, won = with_heads(d, heads)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Reader()
         for pdf in batches:
             ids, nos, texts = [], [], []
-            for i, h, s, t, text, ws in zip(pdf["id"], pdf["host"], pdf["site"], pdf["title"], pdf["text"], pdf["ws"]):
+            for i, h, s, t, text, ws, hs in zip(pdf["id"], pdf["host"], pdf["site"], pdf["title"], pdf["text"], pdf["ws"], pdf["hs"]):
                 if not text or not s:
                     ids.append(i)
                     texts.append(text)
                     continue
                 known = (shared.value.get(h) if shared is not None else set(ws) if ws is not None else None) or set()
+                heads = (won.value.get(h) if won is not None else {x["w"]: x["layout"] for x in hs} if hs is not None else None) or {}
                 lines = text.split("\n")
-                flags = label_lines(lines, t, known, won.value, site_name(s), read)
+                flags = label_lines(lines, t, known, heads, site_name(s), read)
                 if extract:
                     ids.append(i)
                     texts.append("\n".join(x for x, f in zip(lines, flags) if not f))
@@ -229,7 +246,7 @@ def layout_lines(df: DataFrame, words: DataFrame, heads: DataFrame, id_col: str
             elif nos:
                 yield pd.DataFrame({"id": ids, "line_no": nos})
 
-    cols = d.select("id", "host", "site", "title", "text", "ws")
+    cols = d.select("id", "host", "site", "title", "text", "ws", "hs")
     if extract:
         return cols.mapInPandas(run, "id string, text string")
     return cols.where("text <> ''").mapInPandas(run, "id string, line_no int").distinct()

@@ -57,6 +57,17 @@ def test_layout_lines(spark):
     assert mc.layout_lines(d.limit(0), *mc.layout_paths(d.limit(0))).count() == 0
 
 
+def letters_of(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+
+
+def test_sentences_on_every_page_are_layout(spark):
+    line = "These small files help us to keep you signed in on all devices."
+    rows = [(f"c{i}", f"http://s.example/{i}", f"The {letters_of(i)} warden shall return the form before the vacation.\n{line}", None, "x", 1) for i in range(30)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in mc.layout_lines(d, *mc.layout_paths(d)).collect()} == {(f"c{i}", 1) for i in range(30)}
+
+
 def test_line_symbols_follow_their_rule():
     sent = "The warden shall return the form before the vacation begins in May."
     cases = {sent: "prose", "Name | Grade | Remarks | Room": "table", "5.02 | abc def | CS-555 | thotho": "table", "1. Attendance notice in Rislunhi Hall": "list", "+*/~>*:<>-+=|=~:||:+<:___*.=++": "junk", "card form merit batch code scheme portal code syllabus admit roll": "junk"}
