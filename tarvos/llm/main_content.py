@@ -158,9 +158,13 @@ def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "te
     words = votes.where("kind = 0").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n_pages") >= F.col("site_pages") * share)
     per = votes.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("neg") > F.col("pos")).cast("int")).alias("layout"), F.sum((F.col("neg") < F.col("pos")).cast("int")).alias("content"))
     won = per.where((F.col("n") >= least) & (F.col("layout") > 0) & (F.col("layout") >= lead * (F.col("layout") + F.col("content"))))
-    own = votes.where("kind = 1")
+    own, scored = votes.where("kind = 1"), F.col("neg") + F.col("pos")
     own = own.join(won.select("k", F.lit(True).alias("pooled")), "k", "left")
-    verdict = F.col("pooled")
+    verdict = (
+        F.when((scored >= least) & (F.col("neg") >= lead * scored) & (2 * F.col("neg") >= F.col("n")), True)
+        .when((scored >= least) & (F.col("pos") >= lead * scored), False)
+        .otherwise(F.col("pooled"))
+    )
     heads = own.select("host", F.col("k").alias("w"), verdict.alias("layout"), "neg").where("layout or (not layout and neg > 0)").drop("neg")
     return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(heads, "heads")
 

@@ -68,6 +68,29 @@ def test_sentences_on_every_page_are_layout(spark):
     assert {tuple(r) for r in mc.layout_lines(d, *mc.layout_paths(d)).collect()} == {(f"c{i}", 1) for i in range(30)}
 
 
+def test_the_word_list_only_scores(spark):
+    rows = [(f"c{i}", f"http://s.example/{i}", f"The store of {letters_of(i)} keeps every {'cookie' if i < 2 else 'biscuit'} for the hostel.", None, "x", 1) for i in range(30)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert mc.layout_lines(d, *mc.layout_paths(d)).count() == 0  # the path is content, whatever words two of its lines hold
+
+
+def test_heads_are_voted_per_site(spark, monkeypatch):
+    def layout_site(h):
+        return [(f"{h}{i}", f"http://{h}.example/{i}", f"Notice: {'cookie ' if i < 20 else ''}{letters_of(i)} {h}", None, "x", 1) for i in range(24)]
+
+    def content_site(h):
+        return [(f"{h}{i}", f"http://{h}.example/{i}", f"Notice: {letters_of(i)} shall return the form of {h}{'.' if i < 20 else ''}", None, "x", 1) for i in range(24)]
+
+    one = spark.createDataFrame(layout_site("a") + content_site("b") + content_site("c"), SCHEMA)  # layout on one site only
+    most = spark.createDataFrame([r for h in "adefgh" for r in layout_site(h)] + content_site("b"), SCHEMA)  # content on one site only
+    want = {id(one): {(f"a{i}", 0) for i in range(24)}, id(most): {(f"{h}{i}", 0) for h in "adefgh" for i in range(24)}}
+    for d in (one, most):
+        assert {tuple(r) for r in mc.layout_lines(d, *mc.layout_paths(d)).collect()} == want[id(d)]
+    words, heads = mc.layout_paths(most)
+    monkeypatch.setattr(mc, "small", lambda d: False)  # verdicts beyond the broadcast limit
+    assert {tuple(r) for r in mc.layout_lines(most, words, heads).collect()} == want[id(most)]
+
+
 def test_line_symbols_follow_their_rule():
     sent = "The warden shall return the form before the vacation begins in May."
     cases = {sent: "prose", "Name | Grade | Remarks | Room": "table", "5.02 | abc def | CS-555 | thotho": "table", "1. Attendance notice in Rislunhi Hall": "list", "+*/~>*:<>-+=|=~:||:+<:___*.=++": "junk", "card form merit batch code scheme portal code syllabus admit roll": "junk"}
