@@ -3,8 +3,9 @@
 A line's wording is its letters in lower case. Per site, wordings are counted by distinct pages (two-step distinct count, so a wording on a
 third of all rows never meets in one task). Each wording also has a signature of its masked line (numbers, dates and names masked):
 minima of one permutation split in bins, grouped in bands; wordings of a site that share a band form a near-duplicate cluster. A cluster's
-document frequency is the sum of its wordings' page counts, never less than any member's own count, so a wording at
-the threshold always lies in a cluster at the threshold. An exact check of wordings follows where it is asked for.
+document frequency is the number of distinct pages that hold any of its wordings. It is never less than any member's own count nor more than
+the sum of them: the sum picks the clusters to be counted, and a wording at the threshold always lies in a cluster at the threshold. Where an
+exact check of wordings is asked for, it follows the sum at once.
 
 Defined results: rows without text or host give nothing; wordings under ``min_letters`` letters are ignored; repeated rows and rows of one
 page count the page once; every occurrence is reported with its line number; extra columns are ignored.
@@ -134,11 +135,15 @@ def rows_of(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFram
     return d.where("text is not null and site is not null and text <> ''")
 
 
-def wording_counts(df: DataFrame, url_col: str = "source_url", text_col: str = "text", min_letters: int = 3, bands: int = 2, rows: int = 4) -> DataFrame:
-    """``host, w, n_pages, b0..`` per site (hash) and wording (hash)."""
+def page_wordings(df: DataFrame, url_col: str = "source_url", text_col: str = "text", min_letters: int = 3, bands: int = 2, rows: int = 4) -> DataFrame:
+    """``host, page, w, b0..``: the wordings of every page (hashes)."""
     d = rows_of(df, url_col, url_col, text_col).select(F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "text")
     cols = ", ".join(f"b{i} bigint" for i in range(bands))
-    lines = d.mapInPandas(_page_lines(min_letters, bands, rows, True), f"host bigint, page bigint, w bigint, {cols}")
+    return d.mapInPandas(_page_lines(min_letters, bands, rows, True), f"host bigint, page bigint, w bigint, {cols}")
+
+
+def wording_counts(lines: DataFrame, bands: int = 2) -> DataFrame:
+    """``host, w, n_pages, b0..`` per site and wording."""
     return lines.groupBy("host", "w").agg(F.countDistinct("page").alias("n_pages"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(bands)])
 
 
@@ -149,8 +154,11 @@ def site_sizes(df: DataFrame, url_col: str = "source_url", text_col: str = "text
 
 def repeated_wordings(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, min_letters: int = 3, exact: bool = True, bands: int = 2, rows: int = 4) -> DataFrame:
     """``host, w, n_pages, cluster_pages``: wordings of clusters whose document frequency reaches the threshold; with ``exact``, only
-    those that reach it themselves."""
-    c = materialize(wording_counts(df, url_col, text_col, min_letters, bands, rows), "wordings")
+    those that reach it themselves, as ``host, w, n_pages``."""
+    lines = page_wordings(df, url_col, text_col, min_letters, bands, rows)
+    if not exact:
+        lines = materialize(lines, "lines")
+    c = materialize(wording_counts(lines, bands), "wordings")
     sizes = site_sizes(df, url_col, text_col)
     b = c.select("host", "n_pages", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("band"))
     clusters = b.groupBy("host", "band").agg(F.sum("n_pages").alias("cluster_pages"), F.count("*").alias("n"))
@@ -158,10 +166,19 @@ def repeated_wordings(df: DataFrame, url_col: str = "source_url", text_col: str
     clusters = materialize(clusters, "clusters")
     one = F.broadcast(clusters) if small(clusters) else clusters
     m = c.select("host", "w", "n_pages", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("band")).join(one, ["host", "band"])
-    m = m.groupBy("host", "w").agg(F.max("n_pages").alias("n_pages"), F.max("cluster_pages").alias("cluster_pages"), F.max("site_pages").alias("site_pages"))
     if exact:
+        m = m.groupBy("host", "w").agg(F.max("n_pages").alias("n_pages"), F.max("site_pages").alias("site_pages"))
         m = m.where((F.col("n_pages") >= least) & (F.col("n_pages") >= F.col("site_pages") * share))
-    return materialize(m.select("host", "w", "n_pages", "cluster_pages"), "repeated")
+        return materialize(m.select("host", "w", "n_pages"), "repeated")
+    m = materialize(m, "members")
+    # several wordings may stand on one page: their clusters' pages are counted, first by distinct (site, band, page), then by cluster
+    several = m.where("n > 1").select("host", "w", "band")
+    pages = lines.select("host", "page", "w").join(F.broadcast(several) if small(several) else several, ["host", "w"])
+    pages = pages.groupBy("host", "band").agg(F.countDistinct("page").alias("pages"))
+    m = m.join(pages, ["host", "band"], "left").withColumn("cluster_pages", F.coalesce("pages", "cluster_pages"))
+    m = m.where((F.col("cluster_pages") >= least) & (F.col("cluster_pages") >= F.col("site_pages") * share))
+    m = m.groupBy("host", "w").agg(F.max("n_pages").alias("n_pages"), F.max("cluster_pages").alias("cluster_pages"))
+    return materialize(m, "repeated")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:

@@ -57,6 +57,17 @@ def test_layout_lines(spark):
     assert mc.layout_lines(d.limit(0), *mc.layout_paths(d.limit(0))).count() == 0
 
 
+def test_clusters_count_pages_not_wordings(spark):
+    odd = "\n".join(f"{c}9{c * 3} 7{c}{c}" for c in "bcdfghjklm")  # unlike lines of one mask, all on one page
+    rows = [(f"c{i}", f"http://s.example/{i}", f"{'abcdefghijklmnop'[i % 16] * (i + 3)} body" + ("\n" + odd if i == 0 else ""), None, "x", 1) for i in range(30)]
+    rows += [(f"d{i}", f"http://s.example/d{i}", f"Ask Room {'abcdefghij'[i] * 4}{i} soon", None, "x", 1) for i in range(10)]  # near-duplicates on ten pages
+    d = spark.createDataFrame(rows, SCHEMA)
+    flagged = sl.repeated_wordings(d, exact=False)
+    t = {r.id: r for r in sl.remove_repeated_lines(d, flagged).collect()}
+    assert t["c0"].n_removed == 0 and all(t[f"d{i}"].n_removed == 1 for i in range(10))
+    assert max(r.cluster_pages for r in flagged.collect()) == 10
+
+
 def letters_of(i):
     return "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
 
