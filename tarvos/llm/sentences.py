@@ -339,8 +339,11 @@ def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 20_000, max_c
         def by_shape(s: pd.Series) -> pd.Series:
             return s.map(lambda w: w if w == "" or w[0] == "<" else shape(w))
 
-        least = top[-1][4]
-        tail = rows.where(F.col("n") < least).select("kind", by_shape("l").alias("l"), "mark", by_shape("r").alias("r"), "n")
+        # the rows after the last kept one in the same order, so ties at the cut count as well
+        *at, least = top[-1]
+        key = F.struct("kind", "l", "mark", "r")
+        after = (F.col("n") < least) | ((F.col("n") == least) & (key > F.struct(*[F.lit(x).alias(k) for k, x in zip(("kind", "l", "mark", "r"), at)])))
+        tail = rows.where(after).select("kind", by_shape("l").alias("l"), "mark", by_shape("r").alias("r"), "n")
         top += [tuple(x) for x in tail.groupBy("kind", "l", "mark", "r").agg(F.sum("n").alias("n")).collect()]
     return Model(top, voc)
 

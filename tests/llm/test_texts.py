@@ -124,6 +124,16 @@ def test_sentence_edges(spark):
     assert sentences.split(d.limit(0), sentences.fit(d.limit(0))).count() == 0
 
 
+def test_contexts_beyond_the_limit_count_by_shape(spark, monkeypatch):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(TRAIN * 2)], "doc_id bigint, text string")
+    kept = []
+    monkeypatch.setattr(sentences, "Model", lambda rows, voc: kept.append(rows))
+    for limit in (10**6, 60, 20, 5):  # all kept, cuts at rows with ties
+        sentences.fit(d, max_contexts=limit)
+    total = [{k: sum(r[4] for r in rows if r[0] == k) for k in "secu"} for rows in kept]
+    assert total[0]["c"] > 0 and all(t == total[0] for t in total[1:])
+
+
 def test_posteriors_couple_neighbours():
     one = sentences.posteriors([2.0, 2.0], [False], -5.0)
     two = sentences.posteriors([2.0, 2.0], [True], -5.0)
