@@ -57,6 +57,46 @@ def test_bounds_never_lose_a_run():
     assert all((d, j) in hits for d, x in enumerate(ids) for j in ix.shared(x))
 
 
+def random_index(n=400, words=60, vocab=4000, seed=6):
+    rng = random.Random(seed)
+    pick = lambda k: [f"t{min(int(rng.paretovariate(0.6)), vocab)}" for _ in range(k)]
+    return rng, pick, leaks.Index([(str(k), pick(words)) for k in range(n)])
+
+
+def test_search_equals_exhaustive_scoring():
+    rng, pick, ix = random_index()
+    docs = [ix.ids(pick(24)) for _ in range(60)] + [ix.flat[k : k + 24].astype(np.int32) for k in range(0, 3000, 75)]
+    want = set()
+    of = np.repeat(np.arange(len(ix.term)), [ix.blk_n[a : a + n].sum() for a, n in zip(ix.term_at, ix.term_n[:-1])])
+    w = np.zeros((len(ix.term), len(ix)))
+    w[of, ix.list_doc] = ix.list_w
+    for d, x in enumerate(docs):  # one window each
+        score = w[sorted(set(x[x >= 0].tolist()))].sum(0)
+        want |= {(d, j) for j in np.flatnonzero(score >= ix.low)}
+    got = {(d, j) for d, j, _ in ix.search(docs, width=24, stride=24)}
+    assert got == want and len(want) >= 40
+
+
+def test_bounds_skip_windows_and_blocks():
+    _, pick, ix = random_index()
+    ix.search([ix.ids(pick(300)) for _ in range(50)])
+    assert ix.stats["live_windows"] < 0.9 * ix.stats["windows"] and ix.stats["live_blocks"] < 0.5 * ix.stats["blocks"]
+    ix.stats.clear()  # with the bounds off, all of them are gone through
+    ix.low[:], ix.block_low[:] = 0, 0
+    ix.search([ix.ids(pick(300)) for _ in range(50)])
+    assert ix.stats["live_windows"] == ix.stats["windows"] and ix.stats["live_blocks"] >= ix.stats["blocks"]
+
+
+def test_index_of_a_full_shard_is_small():
+    import pickle
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k:05}" for k in range(50_000)])
+    texts = [(str(k), words[np.minimum(rng.zipf(1.3, 60) - 1, 49_999)].tolist()) for k in range(19_000)]
+    assert sum(len(w) + 1 for _, t in texts for w in t) > 7_900_000
+    assert len(pickle.dumps(leaks.Index(texts), protocol=5)) < 120_000_000
+
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 has_vocab = pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
 
