@@ -22,10 +22,11 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .site_lines import repeated_lines, repeated_wordings
+    from .site_lines import line_table, repeated_lines, repeated_wordings
 
     h = read(spark, sf_dir, "html_corpus")
-    return repeated_lines(h, repeated_wordings(h)).withColumnRenamed("id", "chunk_id")
+    lines = line_table(h)
+    return repeated_lines(h, repeated_wordings(h, lines=lines), lines=lines).withColumnRenamed("id", "chunk_id")
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Lines repeated across one site's pages.
 
-A line's wording is its letters in lower case. Per site, wordings are counted by distinct pages (two-step distinct count, so a wording on a
-third of all rows never meets in one task). Each wording also has a signature of its masked line (numbers, dates and names masked):
-minima of one permutation split in bins, grouped in bands; wordings of a site that share a band form a near-duplicate cluster. A cluster's
-document frequency is the number of distinct pages that hold any of its wordings. It is never less than any member's own count nor more than
-the sum of them: the sum picks the clusters to be counted, and a wording at the threshold always lies in a cluster at the threshold. Where an
-exact check of wordings is asked for, it follows the sum at once.
+Every line becomes one row of a line table: its site, page and number, its wording (letters in lower case) and the bands of its masked form
+(numbers, dates and names masked; minima of one permutation split in bins, grouped in bands). Lines of a site that share a band form a
+near-duplicate cluster, and a cluster's document frequency is the number of distinct pages that hold any of its lines. The number of lines
+bounds it, so it is counted, with partial sums, for the clusters whose lines are many enough, and only those clusters are counted by pages.
+``p2_clean`` removes the lines of the clusters that reach the threshold. ``p2_found`` asks for equal wordings, so an exact check follows:
+of the lines in those clusters, and of no others, wordings are counted by distinct pages. A wording that reaches the threshold lies in a
+cluster that does, as its cluster's pages include its own.
 
 Defined results: rows without text or host give nothing; wordings under ``min_letters`` letters are ignored; repeated rows and rows of one
 page count the page once; every occurrence is reported with its line number; extra columns are ignored.
@@ -105,27 +106,52 @@ class Sketch:
         return np.stack(out, 1)
 
 
-def _page_lines(min_letters: int, bands: int, rows: int, pages: bool):
+def _line_rows(min_letters: int, bands: int, rows: int):
+    """Rows of the line table; what short lines come to is remembered, as the sought ones repeat."""
+    bs = [f"b{i}" for i in range(bands)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = Sketch(bands, rows)
+        sketch, memo = Sketch(bands, rows), {}
         for big in batches:
             for lo in range(0, len(big), 1000):
                 pdf = big.iloc[lo : lo + 1000]
-                host, page, keys, lines = [], [], [], []
-                seen = set()
-                for h, p, text in zip(pdf["host"], pdf["page"], pdf["text"]):
-                    for line in text.split("\n"):
-                        w = wording(line)
-                        if len(w) >= min_letters:
-                            k = key(w)
-                            if (p, k) not in seen:
-                                seen.add((p, k))
-                                host.append(h)
-                                page.append(p)
-                                keys.append(k)
-                                lines.append(masked(line))
-                s = sketch(lines)
-                yield pd.DataFrame({"host": host, "page": page, "w": keys, **{f"b{i}": s[:, i] for i in range(bands)}})
+                row, nos, ks, at, fresh, fresh_k, fresh_masked = [], [], [], [], {}, [], []
+                if len(memo) > 300_000:
+                    memo.clear()
+                known: list[tuple] = []
+                for r, text in enumerate(pdf["text"]):
+                    for n, line in enumerate(text.split("\n")):
+                        got = memo.get(line)
+                        if got is None:
+                            k = fresh.get(line)
+                            if k is None:
+                                w = wording(line)
+                                if len(w) < min_letters:
+                                    if len(line) < 200:
+                                        memo[line] = ()
+                                    continue
+                                k = fresh[line] = len(fresh_k)
+                                fresh_k.append(key(w))
+                                fresh_masked.append(masked(line))
+                            at.append(k)
+                        elif not got:
+                            continue
+                        else:
+                            at.append(-1 - len(known))
+                            known.append(got)
+                        row.append(r)
+                        nos.append(n)
+                if not row:
+                    continue
+                new = np.column_stack([np.array(fresh_k, np.int64), sketch(fresh_masked)]) if fresh_k else np.empty((0, 1 + bands), np.int64)
+                old = np.array(known, np.int64).reshape(-1, 1 + bands)
+                where = np.array(at)
+                values = np.empty((len(where), 1 + bands), np.int64)
+                values[where >= 0], values[where < 0] = new[where[where >= 0]], old[-1 - where[where < 0]]
+                for line, k in fresh.items():
+                    if len(line) < 200:
+                        memo[line] = tuple(new[k].tolist())
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "line_no": nos, "host": pdf["host"].to_numpy()[row], "page": pdf["page"].to_numpy()[row], "w": values[:, 0], **{b: values[:, 1 + i] for i, b in enumerate(bs)}})
 
     return run
 
@@ -135,16 +161,11 @@ def rows_of(df: DataFrame, id_col: str, url_col: str, text_col: str) -> DataFram
     return d.where("text is not null and site is not null and text <> ''")
 
 
-def page_wordings(df: DataFrame, url_col: str = "source_url", text_col: str = "text", min_letters: int = 3, bands: int = 2, rows: int = 4) -> DataFrame:
-    """``host, page, w, b0..``: the wordings of every page (hashes)."""
-    d = rows_of(df, url_col, url_col, text_col).select(F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "text")
+def line_table(df: DataFrame, id_col: str = "chunk_id", url_col: str = "source_url", text_col: str = "text", min_letters: int = 3, bands: int = 2, rows: int = 4) -> DataFrame:
+    """``id, line_no, host, page, w, b0..`` (hashes) of every line that has a wording, written once."""
+    d = rows_of(df, id_col, url_col, text_col).select("id", F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "text")
     cols = ", ".join(f"b{i} bigint" for i in range(bands))
-    return d.mapInPandas(_page_lines(min_letters, bands, rows, True), f"host bigint, page bigint, w bigint, {cols}")
-
-
-def wording_counts(lines: DataFrame, bands: int = 2) -> DataFrame:
-    """``host, w, n_pages, b0..`` per site and wording."""
-    return lines.groupBy("host", "w").agg(F.countDistinct("page").alias("n_pages"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(bands)])
+    return materialize(d.mapInPandas(_line_rows(min_letters, bands, rows), f"id string, line_no int, host bigint, page bigint, w bigint, {cols}"), "lines")
 
 
 def site_sizes(df: DataFrame, url_col: str = "source_url", text_col: str = "text") -> DataFrame:
@@ -152,33 +173,30 @@ def site_sizes(df: DataFrame, url_col: str = "source_url", text_col: str = "text
     return d.groupBy("host").agg(F.countDistinct("url").alias("site_pages"))
 
 
-def repeated_wordings(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, min_letters: int = 3, exact: bool = True, bands: int = 2, rows: int = 4) -> DataFrame:
-    """``host, w, n_pages, cluster_pages``: wordings of clusters whose document frequency reaches the threshold; with ``exact``, only
-    those that reach it themselves, as ``host, w, n_pages``."""
-    lines = page_wordings(df, url_col, text_col, min_letters, bands, rows)
-    if not exact:
-        lines = materialize(lines, "lines")
-    c = materialize(wording_counts(lines, bands), "wordings")
-    sizes = site_sizes(df, url_col, text_col)
-    b = c.select("host", "n_pages", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("band"))
-    clusters = b.groupBy("host", "band").agg(F.sum("n_pages").alias("cluster_pages"), F.count("*").alias("n"))
-    clusters = clusters.where(f"cluster_pages >= {least}").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("cluster_pages") >= F.col("site_pages") * share)
-    clusters = materialize(clusters, "clusters")
-    one = F.broadcast(clusters) if small(clusters) else clusters
-    m = c.select("host", "w", "n_pages", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("band")).join(one, ["host", "band"])
+def frequent_clusters(lines: DataFrame, sizes: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
+    """``host, band, cluster_pages, site_pages`` of the clusters on at least ``least`` pages and a ``share`` of their site's."""
+    bands = F.explode(F.array(*[c for c in lines.columns if re.fullmatch(r"b\d+", c)])).alias("band")
+    n = lines.select("host", bands).groupBy("host", "band").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    n = n.join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n") >= F.col("site_pages") * share)
+    n = materialize(n.select("host", "band", "site_pages"), "clusters")
+    pages = lines.select("host", "page", bands).join(F.broadcast(n) if small(n) else n, ["host", "band"])
+    # distinct (site, band, page) first, then counts: a cluster on a third of all pages never meets in one task
+    c = pages.groupBy("host", "band").agg(F.countDistinct("page").alias("cluster_pages"), F.min("site_pages").alias("site_pages"))
+    return materialize(c.where((F.col("cluster_pages") >= least) & (F.col("cluster_pages") >= F.col("site_pages") * share)), "frequent")
+
+
+def repeated_wordings(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, min_letters: int = 3, exact: bool = True, bands: int = 2, rows: int = 4, lines: DataFrame | None = None) -> DataFrame:
+    """``host, w, n_pages, cluster_pages``: wordings of clusters whose document frequency reaches the threshold; with ``exact``, those of
+    them that reach it themselves. ``lines`` is the line table, if there is one already."""
+    if lines is None:
+        lines = line_table(df, url_col, url_col, text_col, min_letters, bands, rows)
+    won = frequent_clusters(lines, site_sizes(df, url_col, text_col), share, least)
+    band = F.explode(F.array(*[c for c in lines.columns if re.fullmatch(r"b\d+", c)])).alias("band")
+    m = lines.select("host", "w", "page", band).join(F.broadcast(won) if small(won) else won, ["host", "band"])
+    m = m.groupBy("host", "w").agg(F.countDistinct("page").alias("n_pages"), F.max("cluster_pages").alias("cluster_pages"), F.max("site_pages").alias("site_pages"))
     if exact:
-        m = m.groupBy("host", "w").agg(F.max("n_pages").alias("n_pages"), F.max("site_pages").alias("site_pages"))
         m = m.where((F.col("n_pages") >= least) & (F.col("n_pages") >= F.col("site_pages") * share))
-        return materialize(m.select("host", "w", "n_pages"), "repeated")
-    m = materialize(m, "members")
-    # several wordings may stand on one page: their clusters' pages are counted, first by distinct (site, band, page), then by cluster
-    several = m.where("n > 1").select("host", "w", "band")
-    pages = lines.select("host", "page", "w").join(F.broadcast(several) if small(several) else several, ["host", "w"])
-    pages = pages.groupBy("host", "band").agg(F.countDistinct("page").alias("pages"))
-    m = m.join(pages, ["host", "band"], "left").withColumn("cluster_pages", F.coalesce("pages", "cluster_pages"))
-    m = m.where((F.col("cluster_pages") >= least) & (F.col("cluster_pages") >= F.col("site_pages") * share))
-    m = m.groupBy("host", "w").agg(F.max("n_pages").alias("n_pages"), F.max("cluster_pages").alias("cluster_pages"))
-    return materialize(m, "repeated")
+    return materialize(m.drop("site_pages"), "repeated")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
@@ -195,35 +213,30 @@ def site_flags(flagged: DataFrame):
     return flagged.sparkSession.sparkContext.broadcast(out)
 
 
+def salted(d: DataFrame, other: DataFrame, keys: list[str], spread: str, salts: int = 32, how: str = "inner") -> DataFrame:
+    """Join of ``d`` with a table of unique keys too large to broadcast: each key's rows are spread over ``salts`` tasks."""
+    o = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return d.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(o, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_flags(d: DataFrame, flagged: DataFrame) -> tuple[DataFrame, object]:
-    """Rows with their site's flagged wordings: through a broadcast within its limit, else as an array joined by site."""
+    """Rows with their site's flagged wordings: through a broadcast within its limit, else as an array joined by site. A site has at most
+    lines a page / share of them; its rows are spread."""
     d = d.withColumn("host", F.xxhash64("site"))
     shared = site_flags(flagged)
     if shared is not None:
         return d.withColumn("ws", F.lit(None).cast("array<bigint>")), shared
-    per = flagged.groupBy("host").agg(F.collect_set("w").alias("ws"))  # at most lines a page / share wordings a site
-    return d.join(per, "host", "left"), None
+    per = flagged.groupBy("host").agg(F.collect_set("w").alias("ws"))
+    return salted(d, per, ["host"], "text", how="left"), None
 
 
-def repeated_lines(df: DataFrame, flagged: DataFrame, id_col: str = "chunk_id", url_col: str = "source_url", text_col: str = "text", min_letters: int = 3) -> DataFrame:
+def repeated_lines(df: DataFrame, flagged: DataFrame, id_col: str = "chunk_id", url_col: str = "source_url", text_col: str = "text", min_letters: int = 3, lines: DataFrame | None = None) -> DataFrame:
     """``id, line_no`` of every occurrence of a flagged wording."""
-    d, shared = with_flags(rows_of(df, id_col, url_col, text_col), flagged)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, nos = [], []
-            for i, h, text, ws in zip(pdf["id"], pdf["host"], pdf["text"], pdf["ws"]):
-                known = shared.value.get(h) if shared is not None else set(ws) if ws is not None else None
-                if known:
-                    for n, line in enumerate(text.split("\n")):
-                        w = wording(line)
-                        if len(w) >= min_letters and key(w) in known:
-                            ids.append(i)
-                            nos.append(n)
-            if ids:
-                yield pd.DataFrame({"id": ids, "line_no": nos})
-
-    return d.select("id", "host", "text", "ws").mapInPandas(run, "id string, line_no int").distinct()
+    if lines is None:
+        lines = line_table(df, id_col, url_col, text_col, min_letters)
+    l, f = lines.select("id", "line_no", "host", "w"), flagged.select("host", "w")
+    out = l.join(F.broadcast(f), ["host", "w"]) if small(f) else salted(l, f, ["host", "w"], "id")
+    return out.select("id", "line_no").distinct()
 
 
 def remove_repeated_lines(df: DataFrame, flagged: DataFrame, id_col: str = "chunk_id", url_col: str = "source_url", text_col: str = "text", min_letters: int = 3) -> DataFrame:

@@ -43,8 +43,12 @@ def test_flags_beyond_the_broadcast_limit_are_joined(spark, monkeypatch):
     d = spark.createDataFrame(pages(), SCHEMA)
     flagged = sl.repeated_wordings(d)
     want = {tuple(r) for r in sl.repeated_lines(d, flagged).collect()}
+    clean = {tuple(r) for r in sl.remove_repeated_lines(d, flagged).collect()}
     monkeypatch.setattr(sl, "site_flags", lambda f: None)
+    monkeypatch.setattr(sl, "small", lambda f, limit=0: False)
     assert {tuple(r) for r in sl.repeated_lines(d, flagged).collect()} == want
+    assert {tuple(r) for r in sl.remove_repeated_lines(d, flagged).collect()} == clean
+    assert {tuple(r) for r in sl.repeated_lines(d, sl.repeated_wordings(d)).collect()} == want
 
 
 def test_layout_lines(spark):
@@ -68,6 +72,17 @@ def test_clusters_count_pages_not_wordings(spark):
     assert max(r.cluster_pages for r in flagged.collect()) == 10
 
 
+def test_only_lines_of_frequent_clusters_are_checked(spark):
+    d = spark.createDataFrame(pages(), SCHEMA)
+    want = sl.repeated_lines(d, sl.repeated_wordings(d)).count()
+    assert want == 40 * 9
+    lines = sl.line_table(d).toPandas()
+    rng = np.random.default_rng(1)
+    lines["b0"], lines["b1"] = rng.integers(1 << 60, size=len(lines)), rng.integers(1 << 60, size=len(lines))
+    apart = spark.createDataFrame(lines)  # no two lines share a band: there is no cluster, so nothing is found
+    assert sl.repeated_wordings(d, lines=apart).count() == 0
+
+
 def letters_of(i):
     return "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
 
