@@ -1,14 +1,16 @@
 """Main content of web pages by consensus paths per site.
 
-The pages here come as text, one block a line, so a container is a line and its generalised tag-class path is what identifies its
-slot in a layout whatever the page: the line's wording (digits, case and marks dropped; a sentence keeps its digits), the wording of its head (what stands before
-a colon or bar, or its first words, with the site's own name masked) and its neighbours. Every container is scored by itself, a fixed word list being one of the scores; paths are voted on per site in Spark: a wording
-that stands on a share of a site's pages, or a head most of whose scored containers on the site score as layout, wins as layout; sites with
-too few scored containers under a head go by the votes of all sites. Pages are then read again and each line, sentences too, goes by
-the winning path, by its own score only where no path has won, with a teaser's items going with their label.
+The pages here come as text, one block a line, so a container is a line and its generalised tag-class path is what identifies its slot in a
+layout whatever the page: the line's wording (digits, case and marks dropped; a sentence keeps its digits), and two heads, the short one
+its first two words, the long one what stands before a colon or else its first four words, with the site's own name masked. Every
+container is scored by itself: a fixed word list scores layout, a finished sentence or a long line content. Scores only vote: a wording
+that stands on a share of a site's pages, or a head most of whose scored containers on the site score as layout, wins as layout; sites
+with too few scored containers under a head go by the votes of all sites. Pages are then read again and each line, sentences too, goes by
+the winning path, its wording before its long head before its short one; a line without a winning path is content, whatever words it holds.
+A teaser's items go with their label.
 
 Defined results: blank lines are neither; rows without text or host have no layout lines; repeated rows are reported once; extra columns are
-ignored; a site with fewer than ``least`` pages is judged by its containers' scores and the votes over all sites.
+ignored; a site with fewer than ``least`` pages is judged by the votes over all sites.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .site_lines import key, rows_of, site, site_sizes, small, with_flags, wording
+from .site_lines import key, rows_of, salted, site, site_sizes, small, with_flags, wording
 
 # Words that head layout blocks of web pages, by kind.
 BREADCRUMB = r"(?:you are here|home\s*[>»/›:]|breadcrumbs?\b)"
@@ -34,8 +36,9 @@ SHARE = r"(?:share (?:this|on|via)|print\s*\||follow us|subscribe to|like what y
 BYLINE = r"(?:posted (?:by|on)\b|published (?:under|by|on)\b|written by\b|last (?:updated|modified|reviewed)\b|page (?:reviewed|updated)\b|updated on\b|visitors? (?:to|count)\b)"
 LEGAL = r"(?:©|\(c\) \d{4}|copyright\b|all rights reserved|disclaimer\b\s*:|site managed by|designed and (?:hosted|developed)|content (?:owned|managed|provided) by|powered by|terms (?:of use|and conditions)|privacy policy)"
 HEADS = re.compile("|".join(f"(?:{k})" for k in (BREADCRUMB, LIST_LABEL, LABEL, TAGS, PAGER, SHARE, BYLINE, LEGAL)))
-INSIDE = ("cookie", "accept all", "manage choices", "consent settings", "consent preferences", "your privacy matters", "your privacy is important", "session data", "set identifiers", "click ok to continue", "close this banner", "preferences may be changed", "staff reporter", "note: quotations from this page")
+INSIDE = ("cookie", "accept all", "manage choices", "consent settings", "consent preferences", "your privacy matters", "your privacy is important", "close this banner", "preferences may be changed")
 INSIDE_RE = re.compile(r"^follow\b.*\bfor updates$|^join the .*\bchannel$|\bread [\d,]+ times$|\bterms of use apply$")
+ENDINGS = ("for updates", "channel", "times", "terms of use apply")  # every alternative of the pattern ends so
 TEASER = re.compile(LIST_LABEL)
 EDGES = "-*|»›•·!.,:;>«"
 TRAILERS = "|»›!.•·«"
@@ -65,7 +68,7 @@ def cue(low: str) -> bool:
     for k in INSIDE:
         if k in low:
             return True
-    return len(low) < 200 and INSIDE_RE.search(low) is not None
+    return low.endswith(ENDINGS) and INSIDE_RE.search(low) is not None
 
 
 def is_sentence(c: str, n: int) -> bool:
@@ -74,7 +77,7 @@ def is_sentence(c: str, n: int) -> bool:
 
 
 class Reader:
-    """(core, layout cue, sentence, score, wording key, head key) of lines; short lines are remembered, as layout repeats."""
+    """(core, sentence, score, wording key, short head key, long head key) of lines; short lines are remembered, as layout repeats."""
 
     def __init__(self):
         self.memo: dict[tuple[str, str], tuple] = {}
@@ -94,24 +97,26 @@ class Reader:
     def read(line: str, names: str) -> tuple:
         c = core(line)
         if not c:
-            return c, False, False, 0, None, None
+            return c, False, 0, None, None, None
         n = c.count(" ") + 1
-        hint = cue(c.lower())
         sentence = is_sentence(c, n)
         # negative for layout, positive for content
-        value = -1 if hint else 1 if sentence or n > 25 else 0
+        value = -1 if cue(c.lower()) else 1 if sentence or n > 25 else 0
         w = NOT_WORD.sub("", c.lower()) if sentence else wording(c)
-        return c, hint, sentence, value, key(w) if len(w) >= 3 else None, key(head(c, names))
+        short, long = heads_of(c, names)
+        return c, sentence, value, key(w) if len(w) >= 3 else None, key(short), key(long)
 
 
-def head(c: str, name: str) -> str:
-    """Generalised head of a line: up to a colon within its first words, else its first two words; the site's name as @, digits as 0."""
-    low = c[:60].lower()
+def heads_of(c: str, name: str) -> tuple[str, str]:
+    """Generalised heads of a line, the site's name as @, digits as 0: its first two words, and what stands before a colon within its
+    first words or else its first four words."""
+    low = " ".join(c.split(None, 4)[:4]).lower()
     if name:
         low = low.replace(name, "@")
-    k = low.find(":", 0, 24)
-    h = low[:k] if k > 0 and low.count(" ", 0, k) <= 2 else " ".join(low.split(None, 2)[:2])
-    return DIGITS.sub("0", h)
+    low = DIGITS.sub("0", low)
+    k = low.find(":")
+    short = " ".join(low.split(None, 2)[:2])
+    return short, "long " + (low[:k] if 0 < k and low.count(" ", 0, k) <= 2 else low)
 
 
 def site_name(host: str) -> str:
@@ -120,22 +125,22 @@ def site_name(host: str) -> str:
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Votes per task: wordings by page (kind 0: page, wording), heads by score (kind 1: score, head)."""
+    """Votes per task: wordings by page (kind 0: page, wording) and long heads with their short ones by score (kind 2: score, head)."""
     read, c = Reader(), Counter()
 
     def out():
         ks = list(c)
-        return pd.DataFrame({"kind": [k[0] for k in ks], "host": [k[1] for k in ks], "page": [k[2] for k in ks], "k": [k[3] for k in ks], "n": list(c.values())})
+        return pd.DataFrame({"kind": [k[0] for k in ks], "host": [k[1] for k in ks], "page": [k[2] for k in ks], "k": [k[3] for k in ks], "parent": [k[4] for k in ks], "n": list(c.values())})
 
     for pdf in batches:
         for h, p, s, text in zip(pdf["host"], pdf["page"], pdf["site"], pdf["text"]):
             name = site_name(s)
             for line in text.split("\n"):
-                x, _, _, value, w, hk = read(line, name)
+                x, _, value, w, short, long = read(line, name)
                 if x:
-                    c[1, h, value, hk] += 1
+                    c[2, h, value, long, short] += 1
                     if w is not None:
-                        c[0, h, p, w] += 1
+                        c[0, h, p, w, 0] += 1
             if len(c) > 200_000:
                 yield out()
                 c.clear()
@@ -143,30 +148,37 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, lead: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "text", share: float = 0.05, least: int = 3, lead: float = 0.8, cue_weight: int = 8) -> tuple[DataFrame, DataFrame]:
     """(wordings ``host, w`` that win as layout by their share of the site's pages, heads ``host, w, layout`` with their verdict): each site
     votes by the scores of its containers under the head. A site with ``least`` scored containers goes by its own vote, with ``lead`` of them and
     half of all containers to win as layout; the other sites go by the votes of all, where a head wins with ``lead`` of the sites with an
-    opinion and ``least`` containers. A head without a verdict has no row, nor has one won as content that no layout score contests."""
+    opinion and ``least`` containers. A head without a verdict has no row, nor has one won as content that nothing contests, neither a
+    layout score nor the verdict on its short head. Cues seldom stand in content but miss much layout, so under a long head, which is one
+    slot's own, a layout score weighs ``cue_weight`` content scores; short heads are shared by many slots and weigh them alike."""
     d = rows_of(df, url_col, url_col, text_col).select(F.xxhash64("site").alias("host"), F.xxhash64("url").alias("page"), "site", "text")
-    v = d.mapInPandas(_votes, "kind int, host bigint, page bigint, k bigint, n bigint")
-    # one aggregation for both kinds; the distinct count is taken per (host, path, page) first, so no path meets in one task
-    of_score = [F.sum(F.when((F.col("kind") == 1) & (F.col("page") == x), F.col("n")).otherwise(0)).alias(name) for x, name in ((-1, "neg"), (1, "pos"))]
-    votes = v.groupBy("kind", "host", "k").agg(F.countDistinct("page").alias("n_pages"), F.sum("n").alias("n"), *of_score)
-    votes = materialize(votes.where(f"kind = 1 or n_pages >= {least}"), "votes")
+    v = d.mapInPandas(_votes, "kind int, host bigint, page bigint, k bigint, parent bigint, n bigint")
+    # one aggregation for all kinds; the distinct count is taken per (host, path, page) first, so no path meets in one task
+    of_score = [F.sum(F.when((F.col("kind") > 0) & (F.col("page") == x), F.col("n")).otherwise(0)).alias(name) for x, name in ((-1, "neg"), (1, "pos"))]
+    votes = v.groupBy("kind", "host", "k", "parent").agg(F.countDistinct("page").alias("n_pages"), F.sum("n").alias("n"), *of_score)
+    votes = materialize(votes.where(f"kind > 0 or n_pages >= {least}"), "votes")
+    long = votes.where("kind = 2").select("kind", "host", "k", "parent", "n", "neg", "pos")
+    short = long.groupBy("host", F.col("parent").alias("k")).agg(*[F.sum(x).alias(x) for x in ("n", "neg", "pos")]).select(F.lit(1).alias("kind"), "host", "k", F.lit(0).cast("bigint").alias("parent"), "n", "neg", "pos")
     sizes = site_sizes(df, url_col, text_col)
     words = votes.where("kind = 0").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n_pages") >= F.col("site_pages") * share)
-    per = votes.where("kind = 1").groupBy("k").agg(F.sum("n").alias("n"), F.sum((F.col("neg") > F.col("pos")).cast("int")).alias("layout"), F.sum((F.col("neg") < F.col("pos")).cast("int")).alias("content"))
+    own, scored = long.unionByName(short), F.col("neg") + F.col("pos")
+    against = F.col("neg") * F.when(F.col("kind") == 2, cue_weight).otherwise(1)
+    per = own.groupBy("k").agg(F.sum("n").alias("n"), F.sum((against > F.col("pos")).cast("int")).alias("layout"), F.sum((against < F.col("pos")).cast("int")).alias("content"))
     won = per.where((F.col("n") >= least) & (F.col("layout") > 0) & (F.col("layout") >= lead * (F.col("layout") + F.col("content"))))
-    own, scored = votes.where("kind = 1"), F.col("neg") + F.col("pos")
     own = own.join(won.select("k", F.lit(True).alias("pooled")), "k", "left")
     verdict = (
-        F.when((scored >= least) & (F.col("neg") >= lead * scored) & (2 * F.col("neg") >= F.col("n")), True)
-        .when((scored >= least) & (F.col("pos") >= lead * scored), False)
+        F.when((scored >= least) & (against >= lead * (against + F.col("pos"))) & (2 * against >= F.col("n")), True)
+        .when((scored >= least) & (F.col("pos") >= lead * (against + F.col("pos"))), False)
         .otherwise(F.col("pooled"))
     )
-    heads = own.select("host", F.col("k").alias("w"), verdict.alias("layout"), "neg").where("layout or (not layout and neg > 0)").drop("neg")
-    return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(heads, "heads")
+    own = own.select("kind", "host", "k", "parent", verdict.alias("layout"), "neg").where("layout is not null")
+    above = own.where("kind = 1 and layout").select("host", F.col("k").alias("parent"), F.lit(True).alias("above"))
+    heads = own.join(above, ["host", "parent"], "left").where("layout or neg > 0 or above")
+    return materialize(words.select("host", F.col("k").alias("w"), "n_pages"), "wordings"), materialize(heads.select("host", F.col("k").alias("w"), "layout"), "heads")
 
 
 def with_heads(d: DataFrame, heads: DataFrame) -> tuple[DataFrame, object]:
@@ -177,16 +189,16 @@ def with_heads(d: DataFrame, heads: DataFrame) -> tuple[DataFrame, object]:
             out.setdefault(r.host, {})[r.w] = r.layout
         return d.withColumn("hs", F.lit(None).cast("array<struct<w:bigint,layout:boolean>>")), d.sparkSession.sparkContext.broadcast(out)
     per = heads.groupBy("host").agg(F.collect_list(F.struct("w", "layout")).alias("hs"))
-    return d.join(per, "host", "left"), None
+    return salted(d, per, ["host"], "text", how="left"), None
 
 
 def label_lines(lines: list[str], title: str | None, known: set[int], heads: dict[int, bool], name: str, read: Reader) -> list[bool]:
-    """True for layout lines: by the wording if it won, else by the head's verdict, else by the line's own score."""
+    """True for layout lines: by the wording if it won, else by the verdict on the long head, else on the short one."""
     out, teaser = [], False
     t = wording(title or "")
     t = key(t) if len(t) >= 3 else None
     for line in lines:
-        c, hint, sentence, value, w, hk = read(line, name)
+        c, sentence, _, w, short, long = read(line, name)
         if not c:
             out.append(False)
             continue
@@ -194,8 +206,8 @@ def label_lines(lines: list[str], title: str | None, known: set[int], heads: dic
             out.append(False)
             teaser = False
             continue
-        path = True if w is not None and w in known else heads.get(hk)
-        layout = value < 0 if path is None else path
+        path = True if w is not None and w in known else heads.get(long)
+        layout = bool(heads.get(short) if path is None else path)
         if not layout and not sentence and "|" in c:
             cells = [p for p in c.split("|") if p.strip()]
             layout = len(cells) >= 3 and sum(key(wording(p)) in known for p in cells) >= 0.5 * len(cells)

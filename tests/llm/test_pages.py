@@ -100,6 +100,14 @@ def test_the_word_list_only_scores(spark):
     assert mc.layout_lines(d, *mc.layout_paths(d)).count() == 0  # the path is content, whatever words two of its lines hold
 
 
+def test_without_winning_heads_no_cue_labels_a_line(spark):
+    rows = [(f"c{i}", f"http://s.example/{i}", f"Share this page: {letters_of(i)} {letters_of(i * 7 % 1000)}\nThe {letters_of(i)} warden shall return the form before the vacation.", None, "x", 1) for i in range(30)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    words, heads = mc.layout_paths(d)
+    assert {tuple(r) for r in mc.layout_lines(d, words, heads).collect()} == {(f"c{i}", 0) for i in range(30)}
+    assert mc.layout_lines(d, words, heads.limit(0)).count() == 0  # the votes off: the word list alone labels nothing
+
+
 def test_heads_are_voted_per_site(spark, monkeypatch):
     def layout_site(h):
         return [(f"{h}{i}", f"http://{h}.example/{i}", f"Notice: {'cookie ' if i < 20 else ''}{letters_of(i)} {h}", None, "x", 1) for i in range(24)]
