@@ -44,42 +44,46 @@ def key(w: str) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
 
-def masked(line: str) -> list[str]:
-    """Words with numbers and months as 0 and names (capitalised words after the first) as N; case and marks are dropped."""
-    out = []
-    shout = line.isupper()
-    for i, w in enumerate(WORD.findall(line)):
-        if w[0].isdigit() or any(c.isdigit() for c in w):
-            x = "0"
-        elif not shout and i and w[0].isupper():
-            x = "N"
-        else:
-            x = w.lower()
-            if MONTH.match(x):
-                x = "0"
-        if not (out and out[-1] == x and x in "0N"):
-            out.append(x)
-    return out
+def masks(w: str) -> tuple[str, str]:
+    """A word's masked form where capitals count for nothing and where a capital makes a name."""
+    if any(c.isdigit() for c in w):
+        return "0", "0"
+    low = w.lower()
+    if MONTH.match(low):
+        return "0", "N" if w[0].isupper() else "0"
+    return low, "N" if w[0].isupper() else low
 
 
 class Sketch:
-    """Bands of minima of word pairs, one hash per pair, its low bits choosing the bin."""
+    """Bands of minima of pairs of masked words, one hash per pair, its low bits choosing the bin."""
+
+    ZERO, NAME = (xxhash.xxh3_64_intdigest(x) >> 1 for x in "0N")
 
     def __init__(self, bands: int = 2, rows: int = 4):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
-        self.words: dict[str, int] = {}
-
-    def __call__(self, lines: list[list[str]]) -> np.ndarray:
-        get, flat, size = self.words, [], []
-        if len(get) > 500_000:
-            get.clear()
-        for ws in lines:
-            hs = []
-            for w in ws:
-                h = get.get(w)
-                if h is None:
-                    h = get[w] = xxhash.xxh3_64_intdigest(w) >> 1
-                hs.append(h)
+        self.words: dict[str, tuple[int, int]] = {}
+
+    def masked(self, line: str) -> list[int]:
+        """Hashes of a line's words with numbers and months as 0 and names (capitalised words after the first) as N; case and marks are
+        dropped, runs of 0 or N count once."""
+        get, out, last, plain = self.words, [], None, line.isupper()
+        for i, w in enumerate(WORD.findall(line)):
+            h = get.get(w)
+            if h is None:
+                if len(get) > 500_000:
+                    get.clear()
+                a, b = masks(w)
+                h = get[w] = xxhash.xxh3_64_intdigest(a) >> 1, xxhash.xxh3_64_intdigest(b) >> 1
+            x = h[0] if plain or not i else h[1]
+            if x != last or (x != self.ZERO and x != self.NAME):
+                out.append(x)
+                last = x
+        return out
+
+    def __call__(self, lines: list[list[int]]) -> np.ndarray:
+        """Bands of lines of word hashes."""
+        flat, size = [], []
+        for hs in lines:
             flat.extend(hs or [1])
             size.append(max(1, len(hs)))
         if not size:
@@ -132,7 +136,7 @@ def _line_rows(min_letters: int, bands: int, rows: int):
                                     continue
                                 k = fresh[line] = len(fresh_k)
                                 fresh_k.append(key(w))
-                                fresh_masked.append(masked(line))
+                                fresh_masked.append(sketch.masked(line))
                             at.append(k)
                         elif not got:
                             continue
