@@ -220,6 +220,51 @@ def test_skip_gram_vectors_group_words_of_like_contexts():
     assert cos(w[0], w[5]) > 0.9 > 0.5 > cos(w[0], w[30])
 
 
+def linked(counts, *words):
+    """Links as the engine joins them, from a dictionary of counts."""
+    out = {}
+    for w in words:
+        n = counts.get(w, 1)
+        near = [(c, counts[c], None) for c in sorted(ocr_repair.edits(w)) if counts.get(c, 0) >= max(ocr_repair.LEAST, ocr_repair.WIDEST * n)]
+        if near:
+            out[w] = (n, None, near)
+    return ocr_repair.Lexicon(out, ocr_repair.Model())
+
+
 def test_misreadings_are_told_by_ratio_not_by_count():
-    lex = ocr_repair.Lexicon({"shall": 1_000_000, "sliall": 9_000, "hall": 300_000, "office": 50}, 1)
+    lex = linked({"shall": 1_000_000, "sliall": 9_000, "hall": 300_000, "office": 50}, "sliall", "hall", "officc", "cs185")
     assert lex.correct("sliall", []) == "shall" and lex.correct("hall", []) is None and lex.correct("officc", []) == "office" and lex.correct("CS185", []) is None
+
+
+def farm_and_form(spark):
+    chunks = [(f"k{i}", "please fill the application form and submit it to the office before noon", "u0", None, None) for i in range(400)]
+    chunks += [(f"f{i}", "some cows graze on a quiet farm beside our river near every village field", "u0", None, None) for i in range(25)]
+    chunks += [("s1", "some cows graze on a quiet farm beside our river", "u1", None, None), ("s2", "please fill the application farm and submit it", "u1", None, None)]
+    return spark.createDataFrame(chunks, "chunk_id string, text string, source_url string, section_heading string, date_scraped string"), spark.createDataFrame([("u1", True)], "url string, is_ocr boolean")
+
+
+def test_the_vectors_decide_links(spark, monkeypatch):
+    c, d = farm_and_form(spark)
+    assert {tuple(r) for r in ocr_repair.repair(c, d).collect()} == {("s2", 0, "misread")}
+    limited = ocr_repair.small
+    monkeypatch.setattr(ocr_repair, "small", lambda df, limit=0: False)  # tables beyond every broadcast limit
+    assert {tuple(r) for r in ocr_repair.repair(c, d).collect()} == {("s2", 0, "misread")}
+    monkeypatch.setattr(ocr_repair, "small", limited)
+    monkeypatch.setattr(ocr_repair, "learn", lambda *a, **k: ocr_repair.Model())  # vectors off: the ratio alone takes both
+    assert {tuple(r) for r in ocr_repair.repair(c, d).collect()} == {("s1", 0, "misread"), ("s2", 0, "misread")}
+
+
+def test_header_marks_have_no_limit(spark):
+    chunks = []
+    for k in range(2_003):  # as many openings and closings, each on three documents
+        name = "".join("bcdfghjklm"[int(x)] for x in f"{k:04d}")
+        chunks += [(f"c{k}_{u}_{j}", f"A{name} Campus E{name}\nthe minutes are kept", f"u{k % 7}_{u}", None) for u in range(3) for j in range(2)]
+    c = spark.createDataFrame(chunks, "id string, text string, url string, heading string")
+    e = ocr_repair.header_evidence(c)
+    assert e.where("size(openings) = 1 and size(closings) = 1 and size(hs) = 1").count() == len(chunks)
+
+
+def test_a_line_broken_at_both_ends_is_repaired_once():
+    lines = "the commit-\ntee shall pub-\nlish, the list."
+    cases, fixed = ocr_repair.find_noise(lines, ["text"] * 3, ocr_repair.Lexicon({}, ocr_repair.Model()))
+    assert cases == [(0, "hyphen"), (1, "hyphen")] and fixed == ["the committee", "shall publish,", "the list."]
