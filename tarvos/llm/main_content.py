@@ -165,7 +165,15 @@ def layout_paths(df: DataFrame, url_col: str = "source_url", text_col: str = "te
     short = long.groupBy("host", F.col("parent").alias("k")).agg(*[F.sum(x).alias(x) for x in ("n", "neg", "pos")]).select(F.lit(1).alias("kind"), "host", "k", F.lit(0).cast("bigint").alias("parent"), "n", "neg", "pos")
     sizes = site_sizes(df, url_col, text_col)
     words = votes.where("kind = 0").join(F.broadcast(sizes) if small(sizes) else sizes, "host").where(F.col("n_pages") >= F.col("site_pages") * share)
-    own, scored = long.unionByName(short), F.col("neg") + F.col("pos")
+    # a head counts if a cue stood under it on some site, or under its short head: of the others no verdict can come, nor be overruled
+    every = long.unionByName(short)
+    cued = materialize(every.where("neg > 0").select("k").distinct(), "cued")
+    few = small(cued)
+    for c in ("k", "parent"):
+        mark = cued.select(F.col("k").alias(c), F.lit(True).alias(f"{c}_cued"))
+        every = every.join(F.broadcast(mark), c, "left") if few else salted(every, mark, [c], "host", how="left")
+    own = materialize(every.where("k_cued or parent_cued").drop("k_cued", "parent_cued"), "heads_cued")
+    scored = F.col("neg") + F.col("pos")
     against = F.col("neg") * F.when(F.col("kind") == 2, cue_weight).otherwise(1)
     per = own.groupBy("k").agg(F.sum("n").alias("n"), F.sum((against > F.col("pos")).cast("int")).alias("layout"), F.sum((against < F.col("pos")).cast("int")).alias("content"))
     won = per.where((F.col("n") >= least) & (F.col("layout") > 0) & (F.col("layout") >= lead * (F.col("layout") + F.col("content"))))
