@@ -1,9 +1,11 @@
 """Per-document text quality: a hidden Markov model labels each line prose, list, table or junk.
 
 Each line becomes one symbol, its binned statistics (words, ending, share of common words, fields, symbols, damage, bullet). Symbol
-sequences of all rows are written once; Baum-Welch rounds over them run in Spark, each task summing expected counts and only the fixed-size
-tables of the model reaching the driver. The first emission table follows a rule per symbol and keeps a share of each round's weight, so that
-states keep their meaning. Posteriors give every line's label; characters per label give the shares of a row.
+sequences of all rows are written once; Baum-Welch rounds over them run in Spark until the tables settle, each task summing expected counts
+and only the fixed-size tables of the model reaching the driver. Symbols that speak for themselves (a finished sentence with common words,
+several fields, damaged characters, a bullet or a word or two) are seeds: they give the states their meaning and count in every round as a
+prior of as many lines as there are. All other symbols start without a label and get theirs from the lines they stand among. Posteriors
+give every line's label; characters per label give the shares of a row.
 
 Defined results: null or blank text has no line of content, all shares 0 and counts 0; blank lines have no symbol; repeated rows are reported
 once per row by the statistics and once per id by ``not_prose``; extra columns are ignored; an empty table keeps the first model.
@@ -69,24 +71,16 @@ def symbol(stats: tuple) -> int:
     return k
 
 
-def first_label(k: int) -> int:
-    """The label a symbol has by rule, before the model is fitted."""
-    bins = []
-    for size in reversed(SIZES):
-        bins.append(k % size)
-        k //= size
-    n, end, common, fields, symbols, damaged, bullet = bins[::-1]
-    if damaged or (symbols == 2 and fields == 0 and common == 0):
+def seed_label(k: int) -> int | None:
+    """The label of a symbol that speaks for itself, else None."""
+    n, end, common, fields, symbols, damaged, bullet = np.unravel_index(k, SIZES)
+    if damaged:
         return 3
     if fields == 2:
         return 2
-    if end and n >= 1 and common >= 1:
-        return 0
-    if n >= 2 and common == 0 and not bullet:
-        return 3
-    if n == 4 and common == 2:
-        return 0
-    return 1
+    if end:
+        return 0 if n >= 2 and common == 2 else None
+    return 1 if n <= 1 and fields == 0 or bullet and n <= 3 else None
 
 
 def text_symbols(text: str) -> tuple[list[int], list[int]]:
@@ -104,10 +98,15 @@ class Hmm:
         self.start, self.move, self.emit = start, move, emit
 
     @classmethod
-    def first(cls) -> Hmm:
-        emit = np.full((len(LABELS), N_SYMBOLS), 0.01)
+    def first(cls, counts: np.ndarray | None = None) -> Hmm:
+        """Seeds with their labels, the other symbols alike in all states; ``counts`` are the symbols' numbers of lines."""
+        share = np.full((len(LABELS), N_SYMBOLS), 0.25)
         for k in range(N_SYMBOLS):
-            emit[first_label(k), k] = 0.97
+            label = seed_label(k)
+            if label is not None:
+                share[:, k] = 0.01
+                share[label, k] = 0.97
+        emit = share * ((np.zeros(N_SYMBOLS) if counts is None else counts) + 0.01)
         move = np.full((4, 4), 0.06) + np.eye(4) * 0.76
         return cls(np.full(4, 0.25), move, emit / emit.sum(1, keepdims=True))
 
@@ -177,28 +176,38 @@ def symbol_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(d.mapInPandas(run, "id string, n_chars bigint, ks array<smallint>, size array<int>"), "symbols")
 
 
-def fit(table: DataFrame, rounds: int = 3, keep: float = 0.7) -> Hmm:
-    """Baum-Welch over all rows; ``keep`` is the share of the first emission table in each round's."""
-    first = hmm = Hmm.first()
-    spark = table.sparkSession
+def _summed(table: DataFrame, size: int, of) -> np.ndarray:
+    """Sum over all rows of vectors that ``of`` makes of each batch's symbol sequences."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(size)
+        for pdf in batches:
+            sums += of([np.asarray(k, np.int64) for k in pdf["ks"]])
+        at = np.flatnonzero(sums)
+        if len(at):
+            yield pd.DataFrame({"k": at, "v": sums[at]})
+
+    v = np.zeros(size)
+    for r in table.select("ks").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        v[r.k] = r.v
+    return v
+
+
+def fit(table: DataFrame, rounds: int = 10, prior: float = 1.0, settled: float = 0.02) -> Hmm:
+    """Baum-Welch over all rows until no state's emissions move by more than ``settled`` in all. The first emissions weigh ``prior``
+    times the lines of the table in every round."""
+    counts = _summed(table, N_SYMBOLS, lambda seqs: np.bincount(np.concatenate(seqs), minlength=N_SYMBOLS) if seqs else np.zeros(N_SYMBOLS))
+    first = hmm = Hmm.first(counts)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(hmm)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(4 + 16 + 4 * N_SYMBOLS)
-            for pdf in batches:
-                s, m, e = shared.value.posteriors([np.asarray(k, np.int64) for k in pdf["ks"]], counts=True)
-                sums += np.concatenate([s, m.ravel(), e.ravel()])
-            at = np.flatnonzero(sums)
-            if len(at):
-                yield pd.DataFrame({"k": at, "v": sums[at]})
-
-        v = np.zeros(4 + 16 + 4 * N_SYMBOLS)
-        for r in table.select("ks").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-            v[r.k] = r.v
+        shared = table.sparkSession.sparkContext.broadcast(hmm)
+        v = _summed(table, 20 + 4 * N_SYMBOLS, lambda seqs: np.concatenate([x.ravel() for x in shared.value.posteriors(seqs, counts=True)]))  # noqa: B023
         s, m, e = v[:4] + 1, v[4:20].reshape(4, 4) + 1, v[20:].reshape(4, N_SYMBOLS)
-        e = (1 - keep) * (e + 0.01) / (e + 0.01).sum(1, keepdims=True) + keep * first.emit
-        hmm = Hmm(s / s.sum(), m / m.sum(1, keepdims=True), e)
+        e = e + prior * counts.sum() / len(LABELS) * first.emit + 0.01
+        new = Hmm(s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True))
+        moved = np.abs(new.emit - hmm.emit).sum(1).max()
+        hmm = new
+        if moved <= settled:
+            break
     return hmm
 
 
@@ -227,7 +236,8 @@ def quality(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") ->
 
 
 def not_prose(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", below: float = 0.45) -> DataFrame:
-    """``id`` of rows whose prose lines hold less than ``below`` of the characters."""
+    """``id`` of rows whose prose lines hold less than ``below`` of the characters: between the third that is asked for and the half
+    that prose reaches, nearer the half, as sentences of the layout count as prose here."""
     t = symbol_table(df, id_col, text_col)
     return line_shares(t, fit(t)).where(F.col("prose_share") < below).select("id").distinct()
 
