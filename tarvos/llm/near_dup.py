@@ -1,10 +1,11 @@
 """Near-duplicate records: min-max hashing of word shingles, banding, exact verification, classes.
 
 Every permutation gives two signature values, the minimum and the maximum of the permuted shingle hashes, so ``bands * rows``
-values cost half as many hash evaluations. Exact copies (equal shingle sets) are folded to one representative before banding.
+values cost half as many hash evaluations. At a similarity equal to a threshold of 0.5 the bands find 0.992 of the pairs, at 0.8 all but one
+in 10^11; ``rows`` lengthens the bands where a collection has too many chance meetings. Exact copies (equal shingle sets) are folded to one representative before banding.
 Buckets up to ``bucket_cap``
 representatives are compared while they stream by in sorted order, larger ones are split in blocks whose pairs are compared in tasks of
-their own; a pair becomes a candidate if its 128-bit sketches, bits of the same signatures, can belong to the threshold. No bucket is
+their own, and what a task knows to belong to such a bucket never goes to the bucket's one place; a pair becomes a candidate if its 128-bit sketches, bits of the same signatures, can belong to the threshold. No bucket is
 held whole above the cap, none is cut.
 
 Defined results: a record with fewer than ``shingle`` words has no shingles and is similar to nothing (own class); nulls count as
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import discard, materialize, mix64
+from .site_lines import small
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -39,10 +41,11 @@ def shingle_set(title: str | None, text: str | None, n: int = 3) -> set[tuple[st
 class Signer:
     """Signatures of whole batches: all shingles of a batch lie in one array, minima and maxima come from ``reduceat``."""
 
-    def __init__(self, shingle: int, bands: int, rows: int, seed: int = 7):
+    def __init__(self, shingle: int, bands: int, rows: int, sketch: int = 0, seed: int = 7):
         self.n, self.bands, self.rows, self.seen = shingle, bands, rows, {}
+        self.values = max(bands * rows, sketch)
         rng = np.random.default_rng(seed)
-        k = (bands * rows + 1) // 2
+        k = (self.values + 1) // 2
         self.a = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, k, dtype=np.uint64)
 
@@ -71,7 +74,7 @@ class Signer:
                 parts.append(np.unique(s))
                 keep.append(i)
             if not keep:
-                return np.empty(0, int), np.empty(0, np.uint64), np.empty((0, self.bands * self.rows), np.uint64)
+                return np.empty(0, int), np.empty(0, np.uint64), np.empty((0, self.values), np.uint64)
             flat, size = mix64(np.concatenate(parts)), np.array([len(p) for p in parts])
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
             fp = mix64(np.add.reduceat(mix64(flat), at) ^ size.astype(np.uint64))
@@ -80,11 +83,11 @@ class Signer:
                 p = flat * self.a[k] + self.b[k]
                 p ^= p >> np.uint64(29)
                 sig[:, 2 * k], sig[:, 2 * k + 1] = np.minimum.reduceat(p, at), np.maximum.reduceat(p, at)
-        return np.array(keep), fp, sig[:, : self.bands * self.rows]
+        return np.array(keep), fp, sig[:, : self.values]
 
     def band_hashes(self, sig: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            s = sig.reshape(len(sig), self.bands, self.rows)
+            s = sig[:, : self.bands * self.rows].reshape(len(sig), self.bands, self.rows)
             h = np.broadcast_to(mix64(np.arange(self.bands, dtype=np.uint64)), s.shape[:2])
             for r in range(self.rows):
                 h = mix64(h ^ s[:, :, r])
@@ -99,23 +102,31 @@ def _chunks_of(pdf: pd.DataFrame, n: int = 2000) -> Iterator[pd.DataFrame]:
 def sketch_bits(sig: np.ndarray) -> np.ndarray:
     """128 bits of each signature, one of each of its last values: two records agree in (1 + similarity) / 2 of them on average."""
     bits = (sig[:, -128:] & np.uint64(1)).astype(np.uint8)
-    if bits.shape[1] < 128:
-        bits = np.pad(bits, ((0, 0), (0, 128 - bits.shape[1])))
     return np.packbits(bits, axis=1).view(np.uint64).view(np.int64).reshape(len(sig), 2)
 
 
-def least_agreement(threshold: float) -> int:
-    """Bits out of 128 that all but about one in 300 pairs at the threshold agree in, and nearly every pair above it."""
+def least_agreement(threshold: float, deviations: float = 3.5) -> int:
+    """Bits out of 128 that all but about one in 4,000 pairs at the threshold agree in, and nearly every pair above it."""
     p = (1 + threshold) / 2
-    return int(128 * p - 2.7 * (128 * p * (1 - p)) ** 0.5)
+    return int(128 * p - deviations * (128 * p * (1 - p)) ** 0.5)
 
 
-def _sign(shingle: int, bands: int, rows: int):
+def band_recall(similarity: float, bands: int, rows: int) -> float:
+    """Share of pairs of a similarity that meet in a band."""
+    return 1 - (1 - similarity**rows) ** bands
+
+
+MARK = -(2**63)  # fingerprint of the row that says a bucket is hot; it sorts before the bucket's members
+
+
+def _sign(shingle: int, bands: int, rows: int, hot_limit: int):
     """Rows ``h, fp, s1, s2, id``: one per band with a null id and one with the id (its h only spreads it). Copies met again in a
-    task send their bands once."""
+    task send their bands once. A bucket that has had more than ``hot_limit`` members in a task is hot: its further members go to tasks of
+    their own by fingerprint (the bucket's hash stands in the id, after a null character), and a mark goes to the bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer, done = Signer(shingle, bands, rows), set()
+        signer, done = Signer(shingle, bands, rows, 128), set()
+        load, marked = np.zeros(1 << 20, np.int64), set()  # members by bucket, buckets that share a cell counted together
         for big in batches:
             for pdf in _chunks_of(big):
                 keep, fp, sig = signer([words(t, x) for t, x in zip(pdf["title"], pdf["text"])])
@@ -131,11 +142,22 @@ def _sign(shingle: int, bands: int, rows: int):
                         done.add(f)
                 ids = pdf["id"].to_numpy()[keep]
                 spread = mix64(fp + np.arange(len(fp), dtype=np.uint64)).view(np.int64)
-                n, zero = int(fresh.sum()) * bands, np.zeros(len(fps), np.int64)
                 again = lambda x: np.repeat(x[fresh], bands)
+                hs, f, s1, s2 = h[fresh].ravel(), again(fps), again(bits[:, 0]), again(bits[:, 1])
+                name = np.full(len(hs), None, object)
+                cell = hs & ((1 << 20) - 1)
+                load += np.bincount(cell, minlength=1 << 20)
+                at = np.flatnonzero(load[cell] > hot_limit)
+                marks = sorted({x for x in hs[at].tolist()} - marked)
+                if len(at):
+                    marked.update(marks)
+                    name[at] = [f"\x00{x}" for x in hs[at].tolist()]
+                    hs = hs.copy()
+                    hs[at] = mix64(hs[at].view(np.uint64) ^ mix64(f[at].view(np.uint64) & np.uint64(0xFFF))).view(np.int64)
+                zero, none = np.zeros(len(fps), np.int64), np.zeros(len(marks), np.int64)
                 yield pd.DataFrame({
-                    "h": np.concatenate([spread, h[fresh].ravel()]), "fp": np.concatenate([fps, again(fps)]), "s1": np.concatenate([zero, again(bits[:, 0])]),
-                    "s2": np.concatenate([zero, again(bits[:, 1])]), "id": np.concatenate([ids, np.full(n, None, object)]),
+                    "h": np.concatenate([spread, hs, np.array(marks, np.int64)]), "fp": np.concatenate([fps, f, none + MARK]), "s1": np.concatenate([zero, s1, none]),
+                    "s2": np.concatenate([zero, s2, none]), "id": np.concatenate([ids, name, np.full(len(marks), None, object)]),
                 })
 
     return run
@@ -199,7 +221,12 @@ def _bucket_pairs(cap: int, least: int):
         for pdf in batches:
             named = pdf["id"].notna().to_numpy()
             if named.any():
-                yield pd.DataFrame({"kind": 2, "a": pdf["fp"].to_numpy()[named], "b": 0, "s1": 0, "s2": 0, "id": pdf["id"].to_numpy()[named]})
+                n = pdf[named]
+                member = n["id"].str.startswith("\x00").to_numpy(bool)
+                yield pd.DataFrame({"kind": 2, "a": n["fp"].to_numpy()[~member], "b": 0, "s1": 0, "s2": 0, "id": n["id"].to_numpy()[~member]})
+                if member.any():
+                    n = n[member]
+                    yield pd.DataFrame({"kind": 1, "a": [int(x[1:]) for x in n["id"]], "b": n["fp"], "s1": n["s1"], "s2": n["s2"], "id": None})
             h, x = pdf["h"].to_numpy()[~named], pdf[["fp", "s1", "s2"]].to_numpy(np.int64)[~named]
             if not len(h):
                 continue
@@ -214,6 +241,8 @@ def _bucket_pairs(cap: int, least: int):
             cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             count = np.diff(cut)
             inner = np.arange(1, len(count) - 1)
+            hots = inner[x[cut[inner], 0] == MARK]
+            inner = inner[x[cut[inner], 0] != MARK]
             two = cut[inner[count[inner] == 2]]
             if len(two):
                 a, b = x[two], x[two + 1]
@@ -228,10 +257,12 @@ def _bucket_pairs(cap: int, least: int):
                     a, b = rows[lo : lo + 4096, i], rows[lo : lo + 4096, j]
                     same = 128 - (np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[..., 2] ^ b[..., 2]).view(np.uint64)))
                     near.append(np.sort(np.stack([a[..., 0], b[..., 0]], 2)[same >= least], axis=1))
-            for k in sorted({0, len(count) - 1, *inner[count[inner] > 32].tolist()}):
+            for k in sorted({0, len(count) - 1, *inner[count[inner] > 32].tolist(), *hots.tolist()}):
                 rows, hk = x[cut[k] : cut[k + 1]], h[cut[k]]
+                is_hot = rows[0, 0] == MARK
+                rows = rows[1:] if is_hot else rows
                 if k not in (0, len(count) - 1):
-                    if len(rows) > cap:
+                    if len(rows) > cap or is_hot:
                         yield large(hk, rows)
                     else:
                         small(rows)
@@ -239,7 +270,7 @@ def _bucket_pairs(cap: int, least: int):
                 if held_h != hk:  # the first and last run of a batch may go on in its neighbours
                     if not hot and held:
                         small(np.concatenate(held))
-                    held_h, held, size, hot = hk, [], 0, False
+                    held_h, held, size, hot = hk, [], 0, is_hot
                 if hot:
                     yield large(hk, rows)
                     continue
@@ -257,11 +288,11 @@ def _bucket_pairs(cap: int, least: int):
     return run
 
 
-def _hot_pairs(hot: DataFrame, cap: int, least: int) -> DataFrame:
-    """Pairs of buckets above the cap: members fall in blocks of about ``cap``, and each pair of blocks is compared in a task of its
-    own by sketches, of which only agreeing pairs come out."""
-    sizes = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(cap)).cast("int").alias("n"))
-    m = hot.join(sizes, "h").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+def _hot_pairs(hot: DataFrame, block: int, least: int) -> DataFrame:
+    """Pairs of hot buckets: members fall in blocks of about ``block``, and each pair of blocks is compared in a task of its
+    own by sketches, of which only agreeing pairs come out. A bucket of n different texts takes n / block copies of each member."""
+    sizes = hot.groupBy("h").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
+    m = hot.join(F.broadcast(sizes) if small(sizes) else sizes, "h").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     m = m.select("h", "fp", "s1", "s2", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
 
@@ -274,19 +305,19 @@ def _hot_pairs(hot: DataFrame, cap: int, least: int) -> DataFrame:
     return m.groupBy("h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 36, rows: int = 4, bucket_cap: int = 4096) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 36, rows: int = 3, bucket_cap: int = 4096, hot_block: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """(members, links): members ``id, fp`` with one fingerprint per distinct shingle set; links ``a, b, similarity`` between
     fingerprints of different sets whose exact Jaccard similarity is at least ``threshold``."""
     docs = df.select(F.col(id_col).cast("string").alias("id"), (F.col(title_col) if title_col else F.lit(None).cast("string")).cast("string").alias("title"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     least = least_agreement(threshold)
-    signed = docs.mapInPandas(_sign(shingle, bands, rows), "h bigint, fp bigint, s1 bigint, s2 bigint, id string")
+    signed = docs.mapInPandas(_sign(shingle, bands, rows, bucket_cap), "h bigint, fp bigint, s1 bigint, s2 bigint, id string")
     stream = signed.repartition("h").sortWithinPartitions("h", "fp")
     found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap, least), "kind int, a bigint, b bigint, s1 bigint, s2 bigint, id string"), "candidates")
     members = found.where("kind = 2").select("id", F.col("a").alias("fp")).distinct()
     cand = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("fp"), "s1", "s2")
     if not hot.isEmpty():
-        cand = cand.unionByName(_hot_pairs(hot.dropDuplicates(["h", "fp"]), bucket_cap, least))
+        cand = cand.unionByName(_hot_pairs(hot.dropDuplicates(["h", "fp"]), min(hot_block, 4 * bucket_cap), least))
     cand = materialize(cand.distinct(), "pairs")
     wanted = cand.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     own = members.groupBy("id").agg(F.count("*").alias("n"))
@@ -311,29 +342,49 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | Non
     return members, links
 
 
+def expand_pairs(members: DataFrame, links: DataFrame, block: int = 4_096) -> DataFrame:
+    """All pairs of ids of linked sets and of copies. A set under more than ``block`` ids is split: each pair of its blocks is a key."""
+    n = members.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > block).select("fp", F.ceil(F.col("n") / block).cast("int").alias("n_blk"))
+    m = members.join(F.broadcast(n) if small(n) else n, "fp", "left").withColumn("n_blk", F.coalesce("n_blk", F.lit(1)))
+    m = m.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n_blk")).cast("int"))
+    x = m.select("fp", F.col("id").alias("ia"), F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("n_blk") - 1)).alias("j"))
+    y = m.select("fp", F.col("id").alias("ib"), F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"))
+    copies = x.join(y, ["fp", "i", "j"]).where("i < j and ia <> ib or ia < ib").select("ia", "ib")
+    a, b = members.select(F.col("id").alias("ia"), F.col("fp").alias("a")), members.select(F.col("id").alias("ib"), F.col("fp").alias("b"))
+    near = links.join(a, "a").join(b, "b").where("ia <> ib").select("ia", "ib")
+    return near.unionByName(copies).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def near_duplicate_links(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, **kw) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``id_a, id_b, similarity`` of class representatives, membership ``id, representative``): a representative is the smallest id of
+    the records with one set of shingles, so copies are rows of the membership and not pairs."""
+    members, links = similar_sets(df, id_col, text_col, title_col, **kw)
+    names = members.groupBy("fp").agg(F.min("id").alias("representative"))
+    a, b = names.select(F.col("fp").alias("a"), F.col("representative").alias("ra")), names.select(F.col("fp").alias("b"), F.col("representative").alias("rb"))
+    pairs = links.join(a, "a").join(b, "b").where("ra <> rb")
+    return pairs.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"), "similarity"), members.join(names, "fp").select("id", "representative")
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, **kw) -> DataFrame:
     """All pairs ``id_a < id_b`` at or above the threshold, pairs of exact copies included."""
     members, links = similar_sets(df, id_col, text_col, title_col, **kw)
-    links = materialize(links, "links")
-    x, y = members.select(F.col("id").alias("ia"), F.col("fp").alias("a")), members.select(F.col("id").alias("ib"), F.col("fp").alias("b"))
-    near = links.join(x, "a").join(y, "b").where("ia <> ib")
-    copies = x.join(y, x.a == y.b).where("ia < ib")
-    both = near.select("ia", "ib").unionByName(copies.select("ia", "ib"))
-    return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+    return expand_pairs(members, materialize(links, "links"))
 
 
 def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``node, class``: smallest node reachable. Labels are passed along links and shortcut (label of the label) each round, with a
     durable cut per round; rounds grow with the logarithm of the longest chain."""
     edges = materialize(links.select(F.col("a").alias("s"), F.col("b").alias("d")).unionByName(links.select(F.col("b").alias("s"), F.col("a").alias("d"))).where("s <> d").distinct(), "edges")
-    lab = materialize(edges.select(F.col("s").alias("node")).distinct().withColumn("class", F.col("node")), "labels")
+    spark = links.sparkSession
+    cut = lab = materialize(edges.select(F.col("s").alias("node")).distinct().withColumn("class", F.col("node")), "labels")
     for _ in range(max_rounds):
         low = edges.join(lab, edges.s == lab.node).groupBy("d").agg(F.min("class").alias("m"))
         step = lab.join(low, lab.node == low.d, "left").select("node", F.col("class").alias("old"), F.least("class", F.coalesce("m", "class")).alias("class"))
         up = step.select(F.col("node").alias("n2"), F.col("class").alias("c2"))
         nxt = materialize(step.join(up, step["class"] == up.n2, "left").select("node", "old", F.least("class", F.coalesce("c2", "class")).alias("class")), "labels")
         done = nxt.where("old <> class").isEmpty()
-        lab = nxt.select("node", "class")
+        discard(spark, cut)
+        cut, lab = nxt, nxt.select("node", "class")
         if done:
             break
     else:

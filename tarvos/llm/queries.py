@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicate_groups
 
-    return near_duplicate_groups(read(spark, sf_dir, "chunks"), "chunk_id", "text", "document_title")
+    return near_duplicate_groups(read(spark, sf_dir, "chunks"), "chunk_id", "text", "document_title", threshold=0.5, shingle=3)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,14 @@ WORDING = r"regexp_replace(lower(line), '[^\p{L}]+', '', 'g')"
 ITEM_WORDS = r"regexp_extract_all(lower(regexp_replace({0}, '(\p{{L}})[-\x{{ad}}\x{{2010}}\x{{2011}}\x{{ac}}][ \t]*\r?\n\s*(\p{{L}})', '\1\2', 'g')), '[\p{{L}}\p{{N}}]+')"
 RUNS = "list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))"
 
+CLASSES = f"""with recursive s as materialized ({SHINGLES}), n as materialized (select chunk_id, count(*) as n, md5(string_agg(g, '|' order by g)) as k from s group by 1),
+e as materialized (select a.chunk_id as a, b.chunk_id as b from s a join s b on a.g = b.g and a.chunk_id <> b.chunk_id join n x on x.chunk_id = a.chunk_id join n y on y.chunk_id = b.chunk_id group by a.chunk_id, b.chunk_id, x.n, y.n having count(*) >= 0.5 * (x.n + y.n - count(*))),
+r(x, y) as (select distinct chunk_id, chunk_id from chunks where chunk_id is not null union select r.x, e.b from r join e on e.a = r.y),
+l as (select e.a, count(distinct y.k) as n_links from e join n x on x.chunk_id = e.a join n y on y.chunk_id = e.b where x.k <> y.k group by 1)
+select x as id, min(y) as class_id, count(*) as class_size, coalesce(any_value(n_links), 0) as n_links from r left join l on l.a = r.x group by x""".replace("\n", " ")
+
 SQL: dict[str, str] = {
+    "p1_groups": CLASSES,
     "p1_found": f"with s as materialized ({SHINGLES}), n as (select chunk_id, count(*) as n from s group by 1), c as (select a.chunk_id as a, b.chunk_id as b, count(*) as k from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2) select a as chunk_id_a, b as chunk_id_b from c join n x on x.chunk_id = a join n y on y.chunk_id = b where k >= 0.5 * (x.n + y.n - k)",
     "p2_found": f"with l as (select chunk_id, source_url, {SITE} as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from html_corpus where text is not null), w as (select *, {WORDING} as w from l where site <> ''), p as (select site, count(distinct source_url) as pages from (select {SITE} as site, source_url from html_corpus) where site <> '' group by 1), d as (select site, w, count(distinct source_url) as n from w where length(w) >= 3 group by 1, 2) select distinct chunk_id, line_no::int as line_no from w join d using (site, w) join p using (site) where d.n >= 3 and d.n >= 0.05 * p.pages",
     "p6_found": "with i as (select distinct id as item_id, unnest(" + RUNS + ") as g from (select id, " + ITEM_WORDS.format("passage") + " as w from eval_items union all select id, " + ITEM_WORDS.format("question") + " from eval_items) where len(w) >= 12), d as (select distinct doc_id, unnest(" + RUNS + ") as g from (select doc_id, " + ITEM_WORDS.format("text") + " as w from documents) where len(w) >= 12) select distinct doc_id, item_id from d join i using (g)",

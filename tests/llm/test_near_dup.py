@@ -55,6 +55,50 @@ def test_large_buckets_lose_no_pair(spark):
     assert found(spark, rows, threshold=0.5, shingle=3) == want
 
 
+def test_a_hot_bucket_is_split_before_the_shuffle(spark, monkeypatch):
+    """Members of a bucket beyond the limit go to tasks of their own, and all pairs with those that stayed are found."""
+    import numpy as np
+    import pandas as pd
+
+    base = [f"w{i}" for i in range(50)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        w[k] = f"x{k}"
+        rows.append((f"a{k:02}", " ".join(w), None, 1, 2))
+    pdf = pd.DataFrame([(r[0], r[2], r[1]) for r in rows], columns=["id", "title", "text"])
+    out = pd.concat(nd._sign(3, 36, 3, 5)(iter([pdf])))
+    moved, marks = out[out["id"].fillna("").str.startswith("\x00")], out[out["fp"] == nd.MARK]
+    assert len(marks) and set(marks["h"]) == {int(x[1:]) for x in moved["id"]} and np.mean(~moved["h"].isin(marks["h"])) == 1
+    want = brute(rows, 3, 0.5)
+    for cap in (3, 10, 4096):
+        assert found(spark, rows, threshold=0.5, shingle=3, bucket_cap=cap) == want
+
+
+def test_representatives_and_membership(spark):
+    a = [f"w{i}" for i in range(40)]
+    rows = [(f"z{i}", " ".join(a), None, 1, 2) for i in range(20)] + [("y", " ".join(a[:-2]), None, 1, 2), ("q", "p q r s t u", None, 1, 2)]
+    pairs, members = nd.near_duplicate_links(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", threshold=0.5, shingle=3)
+    assert [tuple(r)[:2] for r in pairs.collect()] == [("y", "z0")]
+    assert {tuple(r) for r in members.collect()} == {(f"z{i}", "z0") for i in range(20)} | {("y", "y"), ("q", "q")}
+    m, l = nd.similar_sets(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", threshold=0.5, shingle=3)
+    want = {tuple(r) for r in nd.expand_pairs(m, l).collect()}
+    assert len(want) == 20 * 19 // 2 + 20 and {tuple(r) for r in nd.expand_pairs(m, l, block=3).collect()} == want  # copies in blocks
+
+
+def test_groups_join_all_pairs_of_the_problem(spark):
+    import os
+
+    from tarvos.llm.queries import p1_found, p1_groups
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    of = {r.id: r.class_id for r in p1_groups(spark, sf).collect()}
+    pairs = p1_found(spark, sf).collect()
+    assert pairs and all(of[r.chunk_id_a] == of[r.chunk_id_b] for r in pairs)
+
+
 def test_edges_and_repeats(spark):
     rows = [("a", None, None, 1, 2), ("b", "", "", 1, 2), ("c", "one two", None, 1, 2), (None, "x y z k", None, 1, 2), ("d", "p q r s t u v", None, 1, 2), ("d", "p q r s t u v", None, 1, 2), ("e", "P, q-r s. t u V", None, 1, 2), ("long", "lorem ipsum " * 100_000, "t", 1, 2)]
     assert found(spark, rows, threshold=0.5, shingle=3) == {("d", "e")}
