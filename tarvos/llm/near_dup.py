@@ -1,8 +1,8 @@
 """Near-duplicate records: min-max hashing of word shingles, banding, exact verification, classes.
 
 Every permutation gives two signature values, the minimum and the maximum of the permuted shingle hashes, so ``bands * rows``
-values cost half as many hash evaluations. At a similarity equal to a threshold of 0.5 the bands find 0.992 of the pairs, at 0.8 all but one
-in 10^11; ``rows`` lengthens the bands where a collection has too many chance meetings. Exact copies (equal shingle sets) are folded to one representative before banding.
+values cost half as many hash evaluations. At a similarity equal to a threshold of 0.5 the bands find 0.94 of the pairs, at 0.58 0.995, at 0.8 all but one
+in 10^10; fewer ``rows`` find more at the price of more chance meetings. Exact copies (equal shingle sets) are folded to one representative before banding.
 Buckets up to ``bucket_cap``
 representatives are compared while they stream by in sorted order, larger ones are split in blocks whose pairs are compared in tasks of
 their own, and what a task knows to belong to such a bucket never goes to the bucket's one place; a pair becomes a candidate if its 128-bit sketches, bits of the same signatures, can belong to the threshold. No bucket is
@@ -105,8 +105,8 @@ def sketch_bits(sig: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64).view(np.int64).reshape(len(sig), 2)
 
 
-def least_agreement(threshold: float, deviations: float = 3.5) -> int:
-    """Bits out of 128 that all but about one in 4,000 pairs at the threshold agree in, and nearly every pair above it."""
+def least_agreement(threshold: float, deviations: float = 3.0) -> int:
+    """Bits out of 128 that all but about one in 700 pairs at the threshold agree in, and nearly every pair above it."""
     p = (1 + threshold) / 2
     return int(128 * p - deviations * (128 * p * (1 - p)) ** 0.5)
 
@@ -305,7 +305,7 @@ def _hot_pairs(hot: DataFrame, block: int, least: int) -> DataFrame:
     return m.groupBy("h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 36, rows: int = 3, bucket_cap: int = 4096, hot_block: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | None = None, threshold: float = 0.8, shingle: int = 5, bands: int = 44, rows: int = 4, bucket_cap: int = 4096, hot_block: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """(members, links): members ``id, fp`` with one fingerprint per distinct shingle set; links ``a, b, similarity`` between
     fingerprints of different sets whose exact Jaccard similarity is at least ``threshold``."""
     docs = df.select(F.col(id_col).cast("string").alias("id"), (F.col(title_col) if title_col else F.lit(None).cast("string")).cast("string").alias("title"), F.col(text_col).cast("string").alias("text")).where("id is not null")
