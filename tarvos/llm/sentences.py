@@ -1,13 +1,14 @@
 """Sentence boundaries by a hidden-event n-gram language model.
 
-Places where a boundary token may stand between two words (after terminal marks, at spaces of scripts that write none) are the hidden
-events; blank lines and the end of the text are observed ones. The model is counted over all documents: how often a left word
-with its mark is followed by an event, the words that follow an event, and the words that follow each left word without one. Expectation
-maximisation starts from the observed events and runs on the aggregated n-gram counts; forward-backward posteriors over each
-document's events decide. Neighbouring events are coupled by the share of one-word units.
+Places where a boundary token may stand between two words (after terminal marks, at spaces inside scripts that write none between words) are
+the hidden events; blank lines and the end of the text are observed ones. The model is counted over all documents: how often a left word
+with its mark is followed by an event, the words that follow an event, the words that follow each left word without one, and how many
+words units have between boundaries that are beyond doubt. Expectation maximisation starts from the observed events and runs on the
+aggregated n-gram counts. Forward-backward posteriors over each paragraph's events decide: the length of the unit between one boundary
+and the next, against what chance would give, couples all of them.
 
 Bounds, all of the model and none of the data: words outside the ``vocabulary`` most frequent ones count by their shape, and of the
-contexts the ``max_contexts`` most frequent keep their words while the rest count by shape.
+contexts the ``max_contexts`` most frequent keep their words while the rest count by shape; unit lengths count up to ``LONGEST`` words.
 
 Defined results: null or blank text has no unit; a unit ends after its last visible character; repeated document ids give the units of
 each row once; extra columns are ignored.
@@ -35,8 +36,11 @@ NOSPACE = re.compile("[฀-໿က-႟ក-៿]")
 BREAK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 MARK = re.compile(rf"[.!?…؟۔।॥{WIDE}]+[{CLOSE}]*")
 SPACE_EVENT = re.compile("(?<=[฀-໿က-႟ក-៿])[  ​　]+(?=\\S)")
+CJK_SPACE = re.compile(f"(?<=[{CJK}])[ \u3000]+(?=[{CJK}])")
+LONGEST = 96
 DIGITS = re.compile(r"\d+")
 RIGHT = re.compile(rf"\s*[{OPEN}]*(\S+)")
+LETTER = re.compile(r"[^\W\d_]")
 IS_CJK = re.compile(f"[{CJK}]")
 
 
@@ -105,9 +109,24 @@ def events(text: str) -> list[tuple[int, str, str, str]]:
         for m in SPACE_EVENT.finditer(text):
             out.append((m.start(), left_word(text, m.start()), "_", right_word(text, m.end())))
         out.sort()
+    if IS_CJK.search(text):
+        more = [(m.start(), left_word(text, m.start()), "~", right_word(text, m.end())) for m in CJK_SPACE.finditer(text)]
+        if more:
+            out = sorted(out + more)
     return out
 
 
+def sure(left: str, mark: str, right: str) -> bool | None:
+    """Whether a place is, or is no, boundary beyond doubt by its form alone; None if it may be either."""
+    if right[:1].islower():
+        return False
+    if mark[0] in "।॥۔؟。！？":
+        return None if "q" in mark else True
+    if mark in ("!", "?"):
+        return True
+    return True if mark == "." and len(left) > 3 and left.isalpha() and left.islower() and right[:1].isupper() else None
+
+
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of what blank lines separate, without white space around."""
     at = 0
@@ -135,9 +154,12 @@ def _last(par: str) -> tuple[str, str]:
     return left_word(stem, len(stem)), ("E" if mark[:2] == ".." or mark[0] == "…" else mark[-1]) + ("q" if len(core) < len(par) else "")
 
 
-def one_word(part: str) -> bool:
-    w = part.split()
-    return len(w) == 1 and not IS_CJK.search(w[0]) and not NOSPACE.search(w[0])
+def spaced(par: str) -> str:
+    """The script of a paragraph with spaces between its words, by its first letter; empty if it has another kind of script."""
+    if IS_CJK.search(par) or NOSPACE.search(par):
+        return ""
+    m = LETTER.search(par)
+    return script(m.group()) if m else "<latin>"
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,12 +178,25 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 par = text[a:b]
                 w = par.split()
                 words.update(w)
-                c["s", "", "1" if len(w) == 1 else "0", right_word(par, 0)] += 1
+                c["s", "", "", right_word(par, 0)] += 1
                 left, mark = _last(par)
                 if mark != "0":
                     c["e", left, mark, ""] += 1
-                for _, left, mark, right in events(par):
+                ev = events(par)
+                for _, left, mark, right in ev:
                     c["c", left, mark, right] += 1
+                if ev and (kind := spaced(par)):
+                    begin, clean, inner = 0, True, False
+                    for at, left, mark, right in ev:
+                        known = sure(left, mark, right)
+                        if known:
+                            if clean:
+                                c["d", kind, str(min(len(par[begin:at].split()), LONGEST)), ""] += 1
+                            begin, clean, inner = at, True, True
+                        elif known is None:
+                            clean = False
+                    if clean and inner:
+                        c["d", kind, str(min(len(par[begin:].split()), LONGEST)), ""] += 1
         for w, n in words.items():
             w = w.lstrip("\"'“‘([«「『（")
             if w and IS_CJK.match(w[0]):  # no spaces: every pair of characters
@@ -182,11 +217,12 @@ class Model:
     def __init__(self, rows: list[tuple[str, str, str, str, int]], vocabulary: set[str], rounds: int = 8):
         self.voc = vocabulary
         self.uni, self.all_shape = Counter(), Counter()
-        start, ends, ctx, one, total = Counter(), Counter(), Counter(), 0, 0
+        start, ends, ctx, lengths = Counter(), Counter(), Counter(), {}
         for kind, left, mark, right, n in rows:
             if kind == "s":
                 start[right] += n
-                one, total = one + n * (mark == "1"), total + n
+            elif kind == "d":
+                lengths.setdefault(left, Counter())[int(mark)] += n
             elif kind == "u":
                 self.uni[right] += n
                 self.all_shape[shape(right)] += n
@@ -194,7 +230,7 @@ class Model:
                 ends[left, mark] += n
             else:
                 ctx[left, mark, right] += n
-        self.single = math.log((one + 1) / (total + 20))
+        self.by_length = {k: length_odds(c) for k, c in lengths.items()}
         keys = list(ctx)
         n = np.array([ctx[k] for k in keys], float)
         left_seen, left_all = Counter(), Counter()
@@ -216,6 +252,8 @@ class Model:
 
     @staticmethod
     def _first(a: str, m: str, r: str, same: int, seen: int, every: int) -> float:
+        if m == "~":  # a space in a script that has its own marks
+            return 0.1
         if m == "_" or m[0] in "。！？؟۔।॥":
             return 0.5 if "q" in m else 0.995
         if m[0] == "E":
@@ -288,34 +326,77 @@ class Model:
                             memo.clear()
                         x = memo[k] = self.score(self.cls(left), mark, self.cls(right))
                     sc.append(x)
-                near = [y[0] - x[0] <= 16 and one_word(par[x[0] : y[0]]) for x, y in zip(ev, ev[1:])]
-                for (end, *_), p in zip(ev, posteriors(sc, near, self.single)):
+                words, odds = None, None
+                if any(abs(x) < SURE for x in sc) and (odds := self.by_length.get(spaced(par))):
+                    cut = [0, *(x[0] for x in ev), len(par)]
+                    words = [len(par[x:y].split()) for x, y in zip(cut, cut[1:])]
+                for (end, *_), p in zip(ev, posteriors(sc, words, odds)):
                     if p > 0.5:
                         out.append(a + end)
             out.append(b)
         return out
 
 
-def posteriors(score: list[float], near: list[bool], single: float) -> list[float]:
-    """Forward-backward over a chain of events; ``near[i]`` couples events i and i+1: both at once cost ``single``."""
-    if not any(near):
-        return [1 / (1 + math.exp(-min(max(s, -60), 60))) for s in score]
-    w = [math.exp(min(max(s, -60), 60)) for s in score]
-    n, e1 = len(w), math.exp(single)
-    f0, f1 = [1.0], [w[0]]
-    for i in range(1, n):
-        a = f0[-1] + f1[-1]
-        b = w[i] * (f0[-1] + f1[-1] * (e1 if near[i - 1] else 1.0))
-        z = a + b
-        f0.append(a / z)
-        f1.append(b / z)
-    b0, b1 = [1.0] * n, [1.0] * n
-    for i in range(n - 2, -1, -1):
-        x = b0[i + 1] + w[i + 1] * b1[i + 1]
-        y = b0[i + 1] + w[i + 1] * b1[i + 1] * (e1 if near[i] else 1.0)
-        z = x + y
-        b0[i], b1[i] = x / z, y / z
-    return [f1[i] * b1[i] / (f0[i] * b0[i] + f1[i] * b1[i]) for i in range(n)]
+def length_odds(lengths: Counter) -> list[float]:
+    """Log odds of a unit's number of words, against boundaries that fall by chance with the same mean length. Neighbouring lengths are
+    taken together, more of them the longer they are."""
+    total = sum(lengths.values())
+    if total < 100:
+        return [0.0] * (LONGEST + 1)
+    p = min(max(total / sum(k * n for k, n in lengths.items()), 1e-3), 0.99)
+    out = [0.0]
+    for k in range(1, LONGEST + 1):
+        lo, hi = max(1, k - k // 4), min(LONGEST, k + k // 4)
+        seen = sum(lengths[x] for x in range(lo, hi + 1))
+        chance = (1 - p) ** (lo - 1) - (0 if hi == LONGEST else (1 - p) ** hi)
+        out.append(min(max(math.log((seen + 2 * chance) / ((total + 2) * chance)), -3.0), 3.0))
+    return out
+
+
+SURE = 10.0  # log odds beyond which no unit length can turn an event
+
+
+def add_logs(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
+def posteriors(score: list[float], words: list[int] | None, by_length: list[float] | None) -> list[float]:
+    """Forward-backward over a paragraph's events: ``score`` are their own log odds, ``words`` the words before, between and after them,
+    ``by_length`` the log odds of a unit by its words. Without words the events stand alone. Sure boundaries part the paragraph; between two
+    of them every way to place the others is summed up, units longer than the table alike."""
+    out = [1 / (1 + math.exp(-min(max(x, -60), 60))) for x in score]
+    if words is None:
+        return out
+    at = [words[0]]
+    for w in words[1:]:
+        at.append(at[-1] + w)
+    edges = [(-1, 0)] + [(i, at[i]) for i, x in enumerate(score) if x >= SURE] + [(len(score), at[-1])]
+    for (a, begin), (b, end) in zip(edges, edges[1:]):
+        open_ = [i for i in range(a + 1, b) if score[i] > -SURE]
+        if open_:
+            for i, p in zip(open_, _chain([score[i] for i in open_], [begin, *(at[i] for i in open_), end], by_length)):
+                out[i] = p
+    return out
+
+
+def _chain(score: list[float], at: list[int], by_length: list[float]) -> list[float]:
+    def forward(score, at):
+        logs, far, k = [0.0], -math.inf, 0  # far: all begins too far back for the table to tell them apart
+        for j in range(1, len(at)):
+            while k < j and at[j] - at[k] >= LONGEST:
+                far = add_logs(far, logs[k])
+                k += 1
+            x = far + by_length[LONGEST]
+            for i in range(k, j):
+                x = add_logs(x, logs[i] + by_length[at[j] - at[i]])
+            logs.append(x + (score[j - 1] if j <= len(score) else 0.0))
+        return logs
+
+    f = forward(score, at)
+    b = forward(score[::-1], [at[-1] - x for x in reversed(at)])[::-1]
+    return [math.exp(min(f[i + 1] + b[i + 1] - x - f[-1], 0.0)) for i, x in enumerate(score)]
 
 
 def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = 20_000, max_contexts: int = 200_000) -> Model:

@@ -175,13 +175,59 @@ def test_contexts_beyond_the_limit_count_by_shape(spark, monkeypatch):
     assert total[0]["c"] > 0 and all(t == total[0] for t in total[1:])
 
 
-def test_posteriors_couple_neighbours():
-    one = sentences.posteriors([2.0, 2.0], [False], -5.0)
-    two = sentences.posteriors([2.0, 2.0], [True], -5.0)
-    assert np.allclose(one, 1 / (1 + np.exp(-2))) and all(b < a for a, b in zip(one, two))
-    w = np.exp(2.0)
-    z = 1 + 2 * w + w * w * np.exp(-5.0)
-    assert np.allclose(two, (w + w * w * np.exp(-5.0)) / z)
+def test_posteriors_match_enumeration():
+    from itertools import product
+
+    rng = random.Random(8)
+    odds = [0.0] + [rng.uniform(-3, 3) for _ in range(sentences.LONGEST)]
+    for n, most in ((1, 20), (4, 8), (7, 60), (6, 120)):
+        score, words = [rng.uniform(-4, 4) for _ in range(n)], [rng.randrange(most) for _ in range(n + 1)]
+        score[n // 2] = rng.choice([score[n // 2], 11.0, -11.0])
+        total, mass = 0.0, [0.0] * n
+        for on in product((0, 1), repeat=n):
+            x, unit = 0.0, 0
+            for k, w in enumerate(words):
+                unit += w
+                if k == n or on[k]:
+                    x += odds[min(unit, sentences.LONGEST)] + (score[k] if k < n else 0)
+                    unit = 0
+            total += np.exp(x)
+            mass = [m + np.exp(x) * o for m, o in zip(mass, on)]
+        got = sentences.posteriors(score, words, odds)
+        assert np.allclose(got, [m / total for m in mass], atol=1e-2 if abs(score[n // 2]) > 10 else 1e-9)
+
+
+def test_unit_lengths_decide_a_boundary(spark):
+    """A mark that could be either is a boundary where the units have their usual lengths with it, and is none where they have not."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("kmnprst") for _ in range(3))
+    unit = lambda k: " ".join([word().capitalize()] + [word() for _ in range(k - 1)])
+    d = spark.createDataFrame([(i, " ".join(unit(rng.randrange(9, 13)) + "." for _ in range(8))) for i in range(300)], "doc_id bigint, text string")
+    m = sentences.fit(d)
+    odds = m.by_length["<latin>"]
+    assert odds[10] > 1 > -1 > odds[30] and odds[1] < -1
+    m.cls, m.score = lambda w: w, lambda left, mark, right: -0.5 if left == "Pek" else 30.0
+    usual, short = f"{unit(9)} Pek. {unit(10)}.", f"{unit(3)} Pek. {unit(6)}."
+    cut = usual.index("Pek. ") + 4
+    assert m.units(usual) == [cut, len(usual)] and m.units(short) == [len(short)]
+    m.by_length = {}  # the coupling off: the event stands alone
+    assert m.units(usual) == [len(usual)]
+
+
+def test_em_turns_what_the_start_supposes(spark):
+    """The start takes a short unknown word with a mark for an abbreviation; the words that follow it are those that begin units."""
+    rng = random.Random(2)
+    heads = ["The", "This", "Every", "No", "Such", "Any"]
+    unit = lambda: f"{rng.choice(heads)} {rng.choice(['hall', 'gate', 'room', 'board', 'court'])} {rng.choice(['was', 'is', 'stays'])} {rng.choice(['open', 'shut', 'green', 'locked', 'let'])}."
+    d = spark.createDataFrame([(i, " ".join([unit() for _ in range(5)] + ["They met at the inn."] * (i % 40 == 0) + [unit()])) for i in range(400)], "doc_id bigint, text string")
+    m = sentences.fit(d)
+    assert m._first("inn", ".", "The", 0, 0, 10) < 0.5 < 1 / (1 + np.exp(-m.score("inn", ".", "The")))
+
+
+def test_space_between_unmarked_cjk_units(spark):
+    a, b = "図書館は学生証を掲示します", "試験課は登録用紙を確認します"
+    train = [f"{a}。{b}。", f"{b}。{a}。"] * 40 + [f"{a} {b}", f"{b} {a}"] * 10
+    assert units(spark, f"{a} {b}", train) == [a, b]
 
 
 def scanned(spark):
