@@ -60,6 +60,18 @@ class Signer:
             out.append(h)
         return out
 
+    def shingles(self, w: list[str]) -> np.ndarray:
+        """Sorted 64-bit values of the distinct shingles of a list of words."""
+        n = self.n
+        if len(w) < n:
+            return np.empty(0, np.uint64)
+        h = np.array(self.word_hashes(w), dtype=np.uint64)
+        s = h[: len(h) - n + 1].copy()
+        with np.errstate(over="ignore"):
+            for j in range(1, n):
+                s = s * np.uint64(0x100000001B3) ^ h[j : len(h) - n + 1 + j]
+        return np.unique(s)
+
     def __call__(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which docs have shingles, a fingerprint of each one's shingle set, and its signature (docs x values)."""
         n, parts, keep = self.n, [], []
@@ -67,11 +79,7 @@ class Signer:
             for i, w in enumerate(docs):
                 if len(w) < n:
                     continue
-                h = np.array(self.word_hashes(w), dtype=np.uint64)
-                s = h[: len(h) - n + 1].copy()
-                for j in range(1, n):
-                    s = s * np.uint64(0x100000001B3) ^ h[j : len(h) - n + 1 + j]
-                parts.append(np.unique(s))
+                parts.append(self.shingles(w))
                 keep.append(i)
             if not keep:
                 return np.empty(0, int), np.empty(0, np.uint64), np.empty((0, self.values), np.uint64)
@@ -327,12 +335,15 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | Non
     sets = sets.mapInPandas(_same_fingerprint(shingle), sets.schema).dropDuplicates(["fp"])
 
     def jaccard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(shingle, 1, 1)
         for pdf in batches:
-            sim = []
-            for ta, xa, tb, xb in zip(pdf["ta"], pdf["xa"], pdf["tb"], pdf["xb"]):
-                a, b = shingle_set(ta, xa, shingle), shingle_set(tb, xb, shingle)
-                n = len(a & b)
-                sim.append(n / (len(a) + len(b) - n) if n else 0.0)
+            sim, sets = [], {}  # a text's shingles are taken once a batch
+            for a, ta, xa, b, tb, xb in zip(pdf["a"], pdf["ta"], pdf["xa"], pdf["b"], pdf["tb"], pdf["xb"]):
+                for f, t, x in ((a, ta, xa), (b, tb, xb)):
+                    if f not in sets:
+                        sets[f] = signer.shingles(words(t, x))
+                n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                sim.append(n / (len(sets[a]) + len(sets[b]) - n) if n else 0.0)
             pdf = pdf[["a", "b"]].assign(similarity=sim)
             yield pdf[pdf["similarity"] >= threshold]
 
