@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,7 @@ LETTER = re.compile(r"[^\W\d_]")
 IS_CJK = re.compile(f"[{CJK}]")
 
 
+@lru_cache(200_000)
 def shape(w: str) -> str:
     """Class of a word: script, case, digits, length (short or not), inner marks."""
     if not w:
@@ -60,6 +62,7 @@ def shape(w: str) -> str:
     return f"<{kind}{n}{'.' if '.' in w.rstrip('.') else ''}>"
 
 
+@lru_cache(200_000)
 def script(w: str) -> str:
     c = shape(w)
     return c if c == "<cjk>" or c.startswith("<o") else "<latin>"
@@ -105,6 +108,8 @@ def events(text: str) -> list[tuple[int, str, str, str]]:
         core = mark.rstrip(CLOSE.replace("\\", ""))
         cls = ("E" if core[:2] in ("..", "…", "……") or core[0] == "…" else core[-1]) + ("q" if len(core) < len(mark) else "") + ("" if text[j].isspace() else "j")
         out.append((j, left_word(text, i), cls, right_word(text, j)))
+    if text.isascii():
+        return out
     if NOSPACE.search(text):
         for m in SPACE_EVENT.finditer(text):
             out.append((m.start(), left_word(text, m.start()), "_", right_word(text, m.end())))
@@ -156,6 +161,8 @@ def _last(par: str) -> tuple[str, str]:
 
 def spaced(par: str) -> str:
     """The script of a paragraph with spaces between its words, by its first letter; empty if it has another kind of script."""
+    if par.isascii():
+        return "<latin>"
     if IS_CJK.search(par) or NOSPACE.search(par):
         return ""
     m = LETTER.search(par)
@@ -349,11 +356,11 @@ def length_odds(lengths: Counter) -> list[float]:
         lo, hi = max(1, k - k // 4), min(LONGEST, k + k // 4)
         seen = sum(lengths[x] for x in range(lo, hi + 1))
         chance = (1 - p) ** (lo - 1) - (0 if hi == LONGEST else (1 - p) ** hi)
-        out.append(min(max(math.log((seen + 2 * chance) / ((total + 2) * chance)), -3.0), 3.0))
+        out.append(min(max(math.log((seen + 2 * chance) / ((total + 2) * chance)), -2.0), 2.0))
     return out
 
 
-SURE = 10.0  # log odds beyond which no unit length can turn an event
+SURE = 6.0  # log odds beyond which no unit length can turn an event: it touches three lengths, each of 2 at most
 
 
 def add_logs(a: float, b: float) -> float:
