@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CLOSE = "\"'”’)\\]»」』）】›"
+CLOSERS = CLOSE.replace("\\", "")
 OPEN = "\"'“‘(\\[«「『（【‹"
 WIDE = "。！？｡"
 CJK = "぀-ヿ㐀-鿿"
@@ -72,25 +73,33 @@ def right_word(text: str, at: int) -> str:
     m = RIGHT.match(text, at, at + 48)
     if not m:
         return ""
-    w = m.group(1)
-    if IS_CJK.match(w[0]):
+    return clip(m.group(1))
+
+
+def clip(w: str) -> str:
+    """A word as the model counts it: digits as 0, end marks inside a unit dropped; of scripts without spaces its first characters."""
+    if w.isascii():
+        w = w.rstrip(",;:")
+        return w[:24] if w.isalpha() else DIGITS.sub("0", w)[:24]
+    if IS_CJK.match(w):
         return w[:2]
-    if NOSPACE.match(w[0]):
+    if NOSPACE.match(w):
         return w[:4]
     return DIGITS.sub("0", w.rstrip(",;:"))[:24]
 
 
 def left_word(text: str, start: int) -> str:
     w = text[max(0, start - 24) : start]
-    k = max(w.rfind(" "), w.rfind("\n"), w.rfind("\t"))
-    w = w[k + 1 :]
-    if w and (IS_CJK.match(w[-1]) or NOSPACE.match(w[-1])):
+    if not w or w[-1].isspace():
+        return ""
+    w = w.split()[-1]
+    if not w.isascii() and (IS_CJK.match(w[-1]) or NOSPACE.match(w[-1])):
         return w[-2:]
-    return DIGITS.sub("0", w.lstrip("(\"'“‘[«「"))
+    return w if w.isalpha() else DIGITS.sub("0", w.lstrip("(\"'“‘[«「"))
 
 
 def events(text: str) -> list[tuple[int, str, str, str]]:
-    """Possible boundaries inside a paragraph-free text: (offset after the mark and closers, left word, mark class, right word)."""
+    """Possible boundaries inside a paragraph without white space around it: (offset after the mark and closers, left word, mark class, right word)."""
     out = []
     n = len(text)
     for m in MARK.finditer(text):
@@ -102,10 +111,9 @@ def events(text: str) -> list[tuple[int, str, str, str]]:
                 # a space may be missing, but only between a word and a word that can begin a unit
                 if i == 0 or text[i - 1].isspace() or len(mark) > 2 or not (nxt.isupper() or nxt in "\"“(" or ord(nxt) > 0x0900) or not (text[i - 1].islower() or text[i - 1].isdigit() or text[i - 1] in CLOSE):
                     continue
-        tail = text[j:]
-        if not tail or tail.isspace():
+        if j >= n:
             continue
-        core = mark.rstrip(CLOSE.replace("\\", ""))
+        core = mark.rstrip(CLOSERS) if len(mark) > 1 else mark
         cls = ("E" if core[:2] in ("..", "…", "……") or core[0] == "…" else core[-1]) + ("q" if len(core) < len(mark) else "") + ("" if text[j].isspace() else "j")
         out.append((j, left_word(text, i), cls, right_word(text, j)))
     if text.isascii():
@@ -206,11 +214,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         c["d", kind, str(min(len(par[begin:].split()), LONGEST)), ""] += 1
         for w, n in words.items():
             w = w.lstrip("\"'“‘([«「『（")
-            if w and IS_CJK.match(w[0]):  # no spaces: every pair of characters
+            if not w.isascii() and IS_CJK.match(w):  # no spaces: every pair of characters
                 for k in range(len(w) - 1):
                     c["u", "", "", w[k : k + 2]] += n
                 continue
-            c["u", "", "", w[:4] if w and NOSPACE.match(w[0]) else DIGITS.sub("0", w.rstrip(",;:"))[:24]] += n
+            c["u", "", "", clip(w)] += n
         if len(c) > 200_000:
             yield out()
             c.clear()
@@ -249,10 +257,15 @@ class Model:
         # start: a left word that almost never ends a paragraph is taken for an abbreviation, a lower-case right word for no beginning
         post = np.array([self._first(a, m, r, ends[a, m.rstrip("jq")], left_seen[a], left_all[a]) for a, m, r in keys])
         clear = post > 0.99  # kept as seeds: else fixed phrases across a boundary would be learnt as phrases
+        fixed = self._counts(start, ends)
+        self._add(fixed, [k for k, x in zip(keys, clear) if x], n[clear], post[clear])
+        keys, n, post = [k for k, x in zip(keys, clear) if not x], n[~clear], post[~clear]
         for _ in range(rounds):
-            self._fit(keys, n, post, start, ends)
-            new = np.array([p if c else 1 / (1 + math.exp(-self.score(*k))) for k, p, c in zip(keys, post, clear)])
-            moved = float(np.abs(new - post) @ n)
+            now = tuple(x.copy() for x in fixed)
+            self._add(now, keys, n, post)
+            self._fit(now)
+            new = np.array([1 / (1 + math.exp(-self.score(*k))) for k in keys])
+            moved = float(np.abs(new - post) @ n) if keys else 0.0
             post = new
             if moved <= 1e-4 * n.sum():
                 break
@@ -271,23 +284,33 @@ class Model:
             return 0.99
         return 0.02 if every >= 20 and seen < 0.02 * every and (len(a) <= 6 or "." in a) else 0.3 if len(a) <= 3 and seen < 0.05 * every + 1 else 0.995
 
-    def _fit(self, keys, n, post, start, ends) -> None:
-        self.ev, self.all, self.st, self.no, self.no_l = Counter(), Counter(), Counter(start), Counter(), Counter()
+    @staticmethod
+    def _counts(start: Counter, ends: Counter) -> tuple[Counter, ...]:
+        """(events, places, begins, followers inside units, followers in all) of what is observed."""
+        ev, every = Counter(), Counter()
         for (a, m), k in ends.items():  # an observed end counts as an event of its left word
             for x in ((a, m), (shape(a), m)):
-                self.ev[x] += k
-                self.all[x] += k
-        for (a, m, r), k, p in zip(keys, n, post):
-            core = m.rstrip("j")
-            for x in ((a, core), (shape(a), m), ("*", m), *(((shape(a), core),) if core != m else ())):
-                self.ev[x] += k * p
-                self.all[x] += k
-            self.st[r] += k * p
-            q, t = k * (1 - p), "q" in m
-            for left in (a, shape(a)):
-                self.no[left, t, r] += q
-                self.no[left, t, shape(r)] += q
-                self.no_l[left, t, script(r)] += q
+                ev[x] += k
+                every[x] += k
+        return ev, every, Counter(start), Counter(), Counter()
+
+    @staticmethod
+    def _add(counts: tuple[Counter, ...], keys, n, post) -> None:
+        ev, every, st, no, no_l = counts
+        for (a, m, r), k, p in zip(keys, n.tolist(), post.tolist()):
+            core, sa, sr, g = m.rstrip("j"), shape(a), shape(r), script(r)
+            e, q, t = k * p, k * (1 - p), "q" in m
+            for x in ((a, core), (sa, m), ("*", m), *(((sa, core),) if core != m else ())):
+                ev[x] += e
+                every[x] += k
+            st[r] += e
+            for left in (a, sa):
+                no[left, t, r] += q
+                no[left, t, sr] += q
+                no_l[left, t, g] += q
+
+    def _fit(self, counts: tuple[Counter, ...]) -> None:
+        self.ev, self.all, self.st, self.no, self.no_l = counts
         # words are compared within their script, which an event does not change
         self.n_st, self.n_uni, self.st_shape, self.uni_shape = Counter(), Counter(), Counter(), Counter()
         for r, k in self.st.items():
