@@ -7,12 +7,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that normalisation replaces.
-SINGLE = "‘’‚‛“”„‟  "
-PLAIN = "''''\"\"\"\"  "
-ABBREVIATIONS = ["Dr.", "Prof.", "Mr.", "Mrs.", "Ms.", "St.", "No.", "Sec.", "Cl.", "Vol.", "Fig.", "Annex.", "Approx.", "Asst.", "Govt.", "Rs.", "vs.", "cf.", "e.g.", "i.e.", "etc.", "pp.", "ext.", "w.e.f."]
-NO_ANSWER = ["i don't have", "i do not have", "not available in", "no information", "could not find", "cannot find", "unable to find", "please contact", "not mentioned", "does not contain", "don't know", "not specified"]
-DOT = "\u0001"
+# Characters that normalisation replaces, one for one and by other strings.
+SINGLE = "‘’‚‛“”„‟\u00a0\u202f•●◦"
+PLAIN = "'" * 4 + '"' * 4 + "  ---"
+DASHES = "–—"
+NOTHING = "\u00ad\u200b\u200c\u200d\ufeff"
+# Words whose full stop ends no sentence, in any case; i.e. and e.g. have two.
+ABBREVIATIONS = ["Ph", "M", "B", "Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "No", "Sec", "Reg", "Vol", "vs", "etc", "approx", "dept", "univ", "govt", "viz"]
+# Phrases of answers that answer nothing, in the application and in the evaluation.
+NO_ANSWER = ["i could not find this information", "don't have information", "not mentioned in", "not available in", "cannot find", "no information", "not covered", "not found in", "does not contain", "i cannot answer", "outside the scope", "not in the provided"]
+NO_ANSWER_EVAL = ["i could not find this information", "could not find", "not available in", "no information", "not found in", "does not contain"]
+DOT = "\x01"
 
 
 def squash(c: Column) -> Column:
@@ -26,10 +31,10 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column) -> Column:
-    """NFKC, plain quotes, spaced dashes, no zero-width characters, squashed."""
+    """NFKC, plain quotes, bullets as hyphens, spaced dashes, three dots for an ellipsis, no zero-width characters, squashed."""
     x = F.translate(nfkc(c), SINGLE, PLAIN)
-    x = F.regexp_replace(x, r"\s*[–—]\s*", " - ")
-    return squash(F.regexp_replace(x, r"[​‌‍﻿­]", ""))
+    x = F.regexp_replace(F.replace(x, F.lit("…"), F.lit("...")), f"[{DASHES}]", " - ")
+    return squash(F.regexp_replace(x, f"[{NOTHING}]", ""))
 
 
 def token_estimate(c: Column) -> Column:
@@ -38,10 +43,9 @@ def token_estimate(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Array of sentences: breaks after a full stop and white space, abbreviations protected."""
-    x = F.coalesce(c, F.lit(""))
-    for a in ABBREVIATIONS:
-        x = F.replace(x, F.lit(a), F.lit(a.replace(".", DOT)))
+    """Array of sentences: breaks after a full stop and white space, the stops of abbreviations (whole words, any case) protected."""
+    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\b(i)\.(e)\.|\b(e)\.(g)\.", f"$1$3{DOT}$2$4{DOT}")
+    x = F.regexp_replace(x, rf"(?i)\b({'|'.join(ABBREVIATIONS)})\.", f"$1{DOT}")
     parts = F.split(x, r"(?<=\.)\s+")
     return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(DOT), F.lit(".")))), lambda p: p != "")
 

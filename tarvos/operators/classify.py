@@ -5,24 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A rule is (label, signals needed, signals); a signal is (pattern, least number of matches). The first rule that holds wins. These rules fit
-# the tables' own vocabulary; any list of the same form can be given.
+# A rule is (label, signals needed, signals); a signal is a list of (pattern, least number of matches) that must all be met. The first rule that
+# holds wins. The labels, patterns and numbers, in the order of the cascade.
 RULES = [
-    ("syllabus", 2, [(r"\b[A-Z]{2}[ -]?[0-9]{3}\b", 2), (r"(?i)\bcredits?\b", 1), (r"(?i)\bsyllabus\b", 1)]),
-    ("form", 2, [(r"(?i)\bform\b", 1), (r"(?i)\bsignature|countersign", 1), (r"(?i)\battested\b", 1)]),
-    ("notice", 2, [(r"(?i)\bcircular no\b|\border no\b", 1), (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", 2), (r"(?i)\bnotice\b|\bnotify\b", 1)]),
-    ("hostel", 2, [(r"(?i)\bhostel\b", 1), (r"(?i)\bwarden\b", 1), (r"(?i)\bmess\b", 1), (r"(?i)\bresident\b", 1)]),
-    ("policy", 2, [(r"(?i)\bshall\b", 3), (r"(?i)\bordinance\b", 1), (r"(?i)\brules?\b|\bpolicy\b", 1), (r"(?i)\bpenalty\b", 1)]),
-]
+    ("syllabus", 3, [
+        [(r"\bL\s*/?\s*T\s*/?\s*P\b", 1)], [(r"\d+\.\s+[A-Z]{2,4}-?\d{3}", 1)], [(r"Credit Hours|Contact Hours", 1)], [(r"Reading List|Reference Books|Text Books", 1)],
+        [(r"Name of Books|Authors/Publisher", 1)], [(r"(?m)^\d+\.\s+[A-Z]", 3)],
+    ]),
+    ("policy", 1, [[(r"(?i)transcript", 1), (r"(?i)fee|verification|duplicate", 1)]]),
+    ("policy", 1, [[(r"National Cadet Corps|National Service Scheme|\bNCC\b|\bNSS\b", 1)]]),
+    ("form", 2, [[(r"FORM OF APPLICATION", 1)], [(r"Proposed Project Title", 1)], [(r"Signature of", 1)], [(r"Roll Number\s*:", 1)], [(r"\bDate\s*:", 2)]]),
+    ("contact", 3, [[(r"PROFESSOR", 3)], [(r"ASSISTANT PROFESSOR", 2)], [(r"Ph\.D", 3)], [(r"\bDesignation\b", 1)]]),
+    ("notice", 2, [
+        [(r"Circular No|F\.\s*No|Ref:-", 1)], [(r"All Students|all students", 1)], [(r"last date|Last Date|due date", 1)], [(r"Dean Academic|Associate Dean", 1)],
+        [(r"(?i)academic calendar", 1)], [(r"\d{2}\.\d{2}\.\d{4}", 4)],
+    ]),
+    ("placement", 2, [
+        [(r"(?i)placement highlight|placement stat|placement record", 1)], [(r"(?i)No\.?\s*of Offers|number of offers", 1)], [(r"(?i)Average CTC|Median CTC|Highest CTC|Maximum CTC|LPA|lakh per annum", 1)],
+        [(r"(?i)Students Registered for Placement|eligible students", 1)], [(r"(?i)placement coordinator|Training.*Placement|T&P|TPC|TNP", 1)], [(r"(?i)campus recruit|on.campus|off.campus", 1)],
+        [(r"(?i)placement brochure|placement policy|placement procedure", 1)], [(r"(?i)top recruiter|hiring partner|dream offer|super dream", 1)], [(r"(?i)final.?placement.?report|placement.?season|placement.?overview", 1)],
+        [(r"\bCTC\b", 1), (r"(?i)placement|MBA|package|salary", 1)], [(r"(?i)recruiters?|recruiting companies|companies? visit", 1), (r"(?i)DTU|campus|placement", 1)],
+        [(r"(?i)\bplaced\b", 1), (r"(?i)placement|T&P|students", 1)],
+    ]),
+    ("admissions", 2, [
+        [(r"(?i)joint admission|JAC Delhi|admission counsell", 1)], [(r"(?i)seat matrix|choice filling|allotment", 1)], [(r"(?i)JEE Main|JEE rank|All India Rank|opening rank|closing rank", 1)],
+        [(r"(?i)online registration", 1), (r"(?i)admission|rank|seat|counsel", 1)], [(r"(?i)B\.?\s*Tech", 1), (r"(?i)admission|counsel|seat|programme|eligib", 1)], [(r"(?i)eligibility criteria|document verification|reporting", 1)],
+    ]),
+    ("policy", 2, [[(r"(?i)hostel", 1)], [(r"(?i)warden|allottee|allotment", 1)], [(r"(?i)resident|inmate|hosteller", 1)], [(r"(?i)mess", 1)], [(r"(?i)ragging", 1)]]),
+    ("policy", 1, [[(r"(?i)ragging", 1)]]),
+    ("policy", 1, [[(r"(?i)rules\s+for\s+\w+", 1), (r"(?m)^\d+\.\s+[A-Z]", 2)]]),
+    ("policy", 2, [
+        [(r"Regulation|Ordinance|R\.\s*1\s*\(B\)", 1)], [(r"\bshall be\b", 3)], [(r"Dean \(UG\)|Dean \(PG\)|COE\b|HOD\b", 1)], [(r"(?is)\battendance\b.*(?:percentage|75%)|(?:percentage|75%).*\battendance\b", 1)],
+        [(r"CGPA|grade point|SGPA", 1)], [(r"CGPA|grade point|SGPA", 1), (r"(?i)percentage", 1)], [(r"(?i)letter\s*grade|numerical\s*grade", 1), (r"(?i)outstanding|excellent|formula|grade.?point|SGPA|CGPA", 1)],
+        [(r"(?i)minimum\s*credits|maximum\s*credits|programme\s*credits", 1)], [(r"(?i)annexure", 1), (r"(?i)guidelines|procedure|regulation|student", 1)], [(r"(?i)financial support|merit scholarship|scholarship to", 1)],
+        [(r"(?i)penalty|penalties", 1), (r"(?i)student", 1)], [(r"(?i)industrial training|field training", 1), (r"(?i)evaluation|procedure", 1)], [(r"(?i)unfair means", 1)],
+        [(r"(?i)semester away|summer semester", 1), (r"(?i)register|credits", 1)],
+    ]),
+]
 
 
-def count_signals(c: Column, signals: list[tuple[str, int]]) -> Column:
+def signal(text: Column, parts: list[tuple[str, int]]) -> Column:
+    """Whether all patterns of a signal are found often enough."""
+    x = F.lit(True)
+    for pattern, least in parts:
+        x = x & (F.rlike(text, F.lit(pattern)) if least == 1 else F.regexp_count(text, F.lit(pattern)) >= least)
+    return x
+
+
+def count_signals(c: Column, signals: list[list[tuple[str, int]]]) -> Column:
     """How many signals a text has; null text has none."""
-    text = F.coalesce(c, F.lit(""))
-    out = F.lit(0)
-    for pattern, least in signals:
-        hit = F.rlike(text, F.lit(pattern)) if least == 1 else F.regexp_count(text, F.lit(pattern)) >= least
-        out = out + hit.cast("int")
+    text, out = F.coalesce(c, F.lit("")), F.lit(0)
+    for parts in signals:
+        out = out + signal(text, parts).cast("int")
     return out
 
 
@@ -60,3 +94,19 @@ def claim_tables(sections: DataFrame, tables: DataFrame, keys: list[str], order:
     """(claimed, left over): the first section of a page takes the page's tables."""
     first = sections.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_rn = 1").drop("_rn")
     return tables.join(first, keys), tables.join(first, keys, "left_anti")
+
+
+def page_gates(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", least: int = 100, unwanted: tuple[str, ...] = ("syllabus", "contact", "form", "skip")) -> DataFrame:
+    """Pages with ``page_class`` and ``kept``: a page goes that repeats an earlier one's text, has fewer than ``least`` characters or is of an
+    unwanted class."""
+    p = pages.withColumn("_t", F.trim(F.coalesce(text, F.lit(""))))
+    p = p.withColumn("_h", F.when(F.col("_t") != "", F.sha2("_t", 256)))
+    first = p.where("_h is not null").groupBy(doc, "_h").agg(F.min(page).alias("_first"))
+    p = p.join(first, [doc, "_h"], "left").withColumn("page_class", classify_page(F.col(text)))
+    kept = (F.col("_h").isNull() | (F.col(page) == F.col("_first"))) & (F.length("_t") >= least) & ~F.col("page_class").isin(*unwanted)
+    return p.withColumn("kept", kept).drop("_t", "_h", "_first")
+
+
+def class_counts(gated: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Pages of each class per document, and how many of them are kept."""
+    return gated.groupBy(doc, "page_class").agg(F.count("*").alias("n_pages"), F.count_if(F.col("kept")).alias("n_kept"))

@@ -17,16 +17,20 @@ from pyspark.sql import types as T
 
 from .urls import resolve
 
-# Element sets of HTML and names that mark page furniture.
+# Element sets, names that mark page furniture (whole parts of a name, and parts that templates run together), labels of menus.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NOISE_TAGS = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "button", "select", "option", "iframe", "svg", "canvas", "template", "input", "textarea", "label", "object", "embed", "audio", "video"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "br", "img", "wbr"}
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|breadcrumb|breadcrumbs|sidebar|footer|header|banner|cookie|social|share|pagination|skip|advert|ads?)(?:$|[\s_-])", re.I)
+NOISE_TAGS = {"script", "style", "noscript", "template", "svg", "iframe", "form", "button", "input", "select", "textarea", "nav", "header", "footer", "aside", "link", "meta", "img", "picture", "video", "audio", "map"}
+INLINE = {"a", "b", "i", "u", "em", "strong", "span", "font", "small", "sub", "sup", "abbr", "code", "mark", "label", "time", "cite", "q", "s", "del", "ins", "big", "tt", "kbd", "samp", "var", "wbr", "br"}
+NOISE_NAME = re.compile(r"(?:^|[-_\s])(?:nav|menu|sidebar|side-bar|breadcrumb|crumb|header|footer|banner|topbar|navbar|skip|social|share|cookie|popup|modal|search|pagination|pager|widget|advert|ads?)(?:$|[-_\s])", re.I)
+NOISE_PART = re.compile(r"navigation|navbar|smoothmenu|mainmenu|submenu|megamenu|dropdownmenu|topnav|sidemenu|breadcrumb|pagebottom|bottom_section|copyright|sitemap|masterhead", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0", re.I)
+NAV_LABEL = re.compile(r"(?:home|about(?:\s*us)?|contact(?:\s*us)?|sitemap|login|sign\s*in|faq|gallery|downloads?|quick\s*links|important\s*links|read\s*more|click\s*here)", re.I)
+RANKS = {"head of department", "associate head of department", "professor", "associate professor", "assistant professor", "programmer", "technical staff", "administrative staff", "lecturer", "senior lecturer"}
+RECORD = re.compile(r"Designation\s*:", re.I)
+FIELD = re.compile(r"(Designation|Qualification|Specialization|Email|Research\s*Interest)\s*:\s*", re.I)
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SCOPE = {"p": {"div", "section", "article", "main", "td", "th", "li", "body"}, "li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "thead": {"table"}, "tbody": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 BLOCK_STARTS = {"div", "section", "article", "main", "ul", "ol", "table", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl", "form", "nav", "header", "footer", "aside"}
-NAV_WORDS = {"home", "about", "about us", "contact", "contact us", "login", "sitemap", "site map", "faq", "news", "events", "gallery", "careers", "search", "feedback", "help", "downloads", "tenders", "notices"}
-
 BLOCK = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("ordered", T.BooleanType()),
     T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("caption", T.StringType()),
@@ -49,6 +53,7 @@ class Node:
                 stack.extend(reversed(c.children))
 
     def text(self) -> str:
+        """All text inside but that of noise below it."""
         out, stack = [], [self]
         while stack:
             c = stack.pop()
@@ -56,10 +61,13 @@ class Node:
                 out.append(c)
             elif c.tag == "br":
                 out.append(" ")
-            elif c.tag not in NOISE_TAGS or c is self:
+            elif c is self or not is_noise(c):
                 stack.extend(reversed(c.children))
         return clean("".join(out))
 
+    def kids(self, *tags: str) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and c.tag in tags]
+
 
 def clean(s: str | None) -> str:
     return " ".join((s or "").split())
@@ -113,78 +121,86 @@ def parse(html: str) -> Node:
 
 def is_noise(n: Node) -> bool:
     a = n.attrs
-    if n.tag in NOISE_TAGS or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+    if n.tag in NOISE_TAGS or "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
         return True
-    return any(NOISE_NAME.search(a.get(k, "")) for k in ("class", "id", "role"))
+    names = " ".join(filter(None, (a.get(k) for k in ("class", "id", "role"))))
+    return bool(names) and bool(NOISE_NAME.search(names) or NOISE_PART.search(names))
+
+
+def table_rows(n: Node) -> list[Node]:
+    """Rows of a table itself: its own and those of its head and bodies."""
+    return n.kids("tr") + [r for part in n.kids("thead", "tbody") for r in part.kids("tr")]
 
 
 def is_data_table(n: Node) -> bool:
+    """Whether a table holds data: no table inside, and a header cell or two rows of which one has two cells."""
     if any(True for _ in n.find("table")):
         return False
-    rows = [[c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in n.find("tr")]
-    return any(True for _ in n.find("th")) or (len(rows) >= 2 and max(map(len, rows)) >= 2)
+    rows = table_rows(n)
+    return any(True for _ in n.find("th")) or (len(rows) >= 2 and max(len(r.kids("td", "th")) for r in rows) >= 2)
 
 
 def table_block(n: Node) -> dict | None:
+    """Headers from the head, else from a first row of nothing but header cells; rows without text are out, and so is a table without rows."""
     caption = next((c.text() for c in n.find("caption")), None)
-    head: list[str] = []
-    rows: list[list[str]] = []
-    for r in n.find("tr"):
-        cells = [c for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")]
-        texts = [c.text() for c in cells]
-        if not head and not rows and cells and all(c.tag == "th" for c in cells):
-            head = texts
-        elif any(texts):
-            rows.append(texts)
-    return {"kind": "table", "rows": rows, "headers": head, "caption": caption} if rows or head else None
+    head = [c.text() for h in n.kids("thead") for c in h.find("td", "th")]
+    body = [r for b in n.kids("tbody") for r in b.kids("tr")] or n.kids("tr")
+    if not head and body and body[0].kids("th") and not body[0].kids("td"):
+        head, body = [c.text() for c in body[0].kids("th")], body[1:]
+    rows = [x for r in body if any(x := [c.text() for c in r.kids("td", "th")])]
+    return {"kind": "table", "rows": rows, "headers": head, "caption": caption} if rows else None
+
+
+def is_menu(n: Node) -> bool:
+    """Whether a list is navigation: three items or more, four in five of them links, and a menu's label among them or all very short."""
+    items = n.kids("li")
+    texts = [(c, t) for c in items if (t := c.text())]
+    links = sum(bool(a := clean("".join(x.text() for x in c.find("a")))) and len(a) >= 0.8 * len(t) for c, t in texts)
+    if len(items) < 3 or links < max(3, int(0.8 * len(items))):
+        return False
+    return any(NAV_LABEL.fullmatch(t) for _, t in texts) or sum(len(t) for _, t in texts) / max(len(texts), 1) < 12
 
 
 def list_block(n: Node) -> dict | None:
-    items = [c for c in n.children if isinstance(c, Node) and c.tag == "li"]
-    texts = [c.text() for c in items]
-    linkish = sum(bool(t) and sum(len(a.text()) for a in c.find("a")) >= 0.8 * len(t) for c, t in zip(items, texts))
-    full = [t for t in texts if t]
-    if len(items) >= 3 and linkish >= max(3, int(0.8 * len(items))) and (any(t.lower() in NAV_WORDS for t in full) or sum(map(len, full)) / max(len(full), 1) < 12):
+    texts = [t for c in n.kids("li") if (t := c.text())]
+    if not texts or is_menu(n):
         return None
-    if n.tag == "ol" and full and all(re.match(r"\d+\.\s*", t) for t in full):
-        full = [re.sub(r"^\d+\.\s*", "", t) for t in full]
-    return {"kind": "list", "items": full, "ordered": n.tag == "ol"} if full else None
+    if n.tag == "ol" and all(re.match(r"\d+\.", t) for t in texts):  # numbered by hand
+        texts = [re.sub(r"^\d+\.\s*", "", t) for t in texts]
+    return {"kind": "list", "items": texts, "ordered": n.tag == "ol"}
+
 
+def walk(root: Node) -> list[dict]:
+    """Blocks in document order. Elements wait on a stack of their own, so that no depth of nesting is too deep."""
+    out: list[dict] = []
 
-def walk(n: Node, out: list[dict]) -> None:
-    buf: list[str] = []
+    def paragraph(text: str) -> None:
+        if text:
+            out.append({"kind": "paragraph", "text": text})
 
-    def flush():
-        t = clean("".join(buf))
-        buf.clear()
-        if t:
-            out.append({"kind": "paragraph", "text": t})
-
-    for c in n.children:
-        if isinstance(c, str):
-            buf.append(c)
-        elif c.tag == "br":
-            buf.append(" ")
-        elif is_noise(c):
+    stack: list = [root]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            paragraph(clean(n))
+        elif n.tag == "br":
             continue
-        elif c.tag in INLINE and not any(isinstance(x, Node) and x.tag not in INLINE for x in c.children):
-            buf.append(c.text() if not c.children else " " * bool(c.children and isinstance(c.children[0], str) and c.children[0][:1].isspace()) + c.text() + " " * bool(c.children and isinstance(c.children[-1], str) and c.children[-1][-1:].isspace()))
+        elif n is not root and is_noise(n):
+            continue
+        elif re.fullmatch(r"h[1-6]", n.tag):
+            if t := n.text():
+                out.append({"kind": "heading", "text": t, "level": int(n.tag[1])})
+        elif n.tag in ("ul", "ol"):
+            if b := list_block(n):
+                out.append(b)
+        elif n.tag == "table" and is_data_table(n):
+            if b := table_block(n):
+                out.append(b)
+        elif n.tag == "p" or (n.tag != "table" and not any(isinstance(c, Node) and c.tag not in INLINE and not is_noise(c) for c in n.children)):
+            paragraph(n.text())
         else:
-            flush()
-            if re.fullmatch(r"h[1-6]", c.tag):
-                if t := c.text():
-                    out.append({"kind": "heading", "text": t, "level": int(c.tag[1])})
-            elif c.tag in ("ul", "ol"):
-                if b := list_block(c):
-                    out.append(b)
-            elif c.tag == "table" and is_data_table(c):
-                if b := table_block(c):
-                    out.append(b)
-            else:
-                walk(c, out)
-    flush()
+            stack.extend(reversed(n.children))
+    return out
 
 
 def pick_root(tree: Node) -> Node:
@@ -211,16 +227,14 @@ def clean_title(t: str, suffixes: tuple[str, ...] = ()) -> str:
     for s in suffixes:
         t = re.sub(rf"\s*\|\s*{re.escape(s)}\s*$", "", t, flags=re.I)
     t = t.strip(" |»-–—")
-    return t.split("|", 1)[1].strip() if "|" in t else t
+    return t.split("|", 1)[1].strip(" |»-–—") if "|" in t else t
 
 
 def blocks_of(html: str | None, url: str | None = None, suffixes: tuple[str, ...] = ()) -> list[dict]:
     if not html:
         return []
-    tree, raw = parse(html), []
-    walk(pick_root(tree), raw)
-    out: list[dict] = []
-    for b in raw:
+    tree, out = parse(html), []
+    for b in walk(pick_root(tree)):
         if b["kind"] == "paragraph" and out and out[-1]["kind"] == "paragraph":
             out[-1]["text"] += " " + b["text"]
         else:
@@ -237,19 +251,15 @@ def links_of(html: str | None, url: str | None) -> list[dict]:
         return []
     out = []
 
-    def go(n: Node, label: str | None) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                continue
-            lab = label
-            if c.tag == "tr":
-                first = next((x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")), None)
-                lab = first.text() if first else None
-            if c.tag == "a" and c.attrs.get("href"):
-                out.append({"href": c.attrs["href"], "url": resolve(url or "", c.attrs["href"]), "text": c.text(), "date_label": lab})
-            go(c, lab)
-
-    go(parse(html), None)
+    stack: list[tuple[Node, str | None]] = [(parse(html), None)]
+    while stack:
+        n, label = stack.pop()
+        if n.tag == "tr":
+            first = next(iter(n.kids("td", "th")), None)
+            label = first.text() if first else None
+        if n.tag == "a" and n.attrs.get("href"):
+            out.append({"href": n.attrs["href"], "url": resolve(url or "", n.attrs["href"]), "text": n.text(), "date_label": label})
+        stack.extend((c, label) for c in reversed(n.children) if isinstance(c, Node))
     return out
 
 
@@ -267,6 +277,80 @@ def html_blocks(df: DataFrame, id_col: str, html: str, url: str, suffixes: tuple
     return df.select(id_col, F.posexplode(run(F.col(html), F.col(url))).alias("pos", "b")).select(id_col, "pos", "b.*")
 
 
+def html_titles(df: DataFrame, id_col: str, html: str, url: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, title``: the page's title, else its first h1, cleaned of the site's suffix, else its address."""
+
+    @F.pandas_udf("string")
+    def run(h: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([clean_title(page_title(parse(x or ""), y), suffixes) or (y or "") for x, y in zip(h, u)])
+
+    return df.select(id_col, run(F.col(html), F.col(url)).alias("title"))
+
+
+def menus(df: DataFrame, id_col: str, html: str) -> DataFrame:
+    """``id_col, n_lists, n_menus``: lists of a page, and how many of them are navigation or inside page furniture."""
+
+    def count(h: str | None) -> tuple[int, int]:
+        n = m = 0
+        stack = [(parse(h), False)] if h else []
+        while stack:
+            x, noise = stack.pop()
+            noise = noise or (x.tag != "#root" and is_noise(x))
+            if x.tag in ("ul", "ol"):
+                n, m = n + 1, m + (noise or is_menu(x))
+            stack.extend((c, noise) for c in x.children if isinstance(c, Node))
+        return n, m
+
+    @F.pandas_udf("struct<n_lists:int,n_menus:int>")
+    def run(h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([count(x) for x in h], columns=["n_lists", "n_menus"])
+
+    return df.select(id_col, run(F.col(html)).alias("c")).select(id_col, "c.*")
+
+
+def faculty_record(raw: str) -> str:
+    """'name — Label: value — ...' of a staff record's flat text, fields without a value left out."""
+    text = clean(raw)
+    text = re.sub(r"\[dot\]", ".", re.sub(r"\[at\]", "@", text, flags=re.I), flags=re.I).strip()
+    name, *rest = FIELD.split(text)
+    pairs = [f"{label.strip()}: {value.strip()}" for label, value in zip(rest[::2], rest[1::2]) if value.strip()]
+    return " — ".join([name.strip().rstrip("-–—").strip(), *pairs])
+
+
+def faculty_blocks_of(html: str | None, department: str | None = None) -> list[dict]:
+    """A staff directory: the title as first heading, rank rows as headings, one paragraph per record of the innermost table that holds any."""
+    out = [{"kind": "heading", "text": f"{department or 'Faculty'} — Faculty", "level": 1}]
+    if not html:
+        return out
+    has = lambda n: any(RECORD.search(c.text()) for c in n.find("td"))
+    tables = [t for t in parse(html).find("table") if has(t)]
+    best = next((t for t in tables if not any(has(x) for x in t.find("table"))), tables[0] if tables else None)
+    if best is None:
+        return out
+    suffix = f" — Department: {department}" if department else ""
+    for row in best.find("tr"):
+        text = " ".join(t for c in row.find("td", "th") if (t := c.text()))
+        if text.strip().lower() in RANKS:
+            out.append({"kind": "heading", "text": text.title(), "level": 2})
+        elif RECORD.search(text):
+            out.append({"kind": "paragraph", "text": faculty_record(text) + suffix})
+    for cell in best.kids("td"):  # cells outside any row
+        if RECORD.search(text := cell.text()):
+            out.append({"kind": "paragraph", "text": faculty_record(text) + suffix})
+    return out
+
+
+def faculty_blocks(df: DataFrame, id_col: str, html: str, department: str) -> DataFrame:
+    """``id_col, pos, kind, text, level, ...`` of staff directories."""
+
+    @F.pandas_udf(T.ArrayType(BLOCK))
+    def run(h: pd.Series, d: pd.Series) -> pd.Series:
+        full = {f.name: None for f in BLOCK.fields}
+        return pd.Series([[{**full, **b} for b in faculty_blocks_of(x, y)] for x, y in zip(h, d)])
+
+    return df.select(id_col, F.posexplode(run(F.col(html), F.col(department))).alias("pos", "b")).select(id_col, "pos", "b.*")
+
+
 def html_links(df: DataFrame, id_col: str, html: str, url: str) -> DataFrame:
     @F.pandas_udf(T.ArrayType(LINK))
     def run(h: pd.Series, u: pd.Series) -> pd.Series:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_unique
+
 # Statuses worth another try and content types taken.
 RETRY = [429, 500, 502, 503, 504]
 TYPES = ["application/pdf", "text/html", "application/xhtml+xml", "text/plain"]
@@ -37,11 +39,17 @@ def note(prefix: str, message: Column, longest: int = 1000) -> Column:
 
 
 def content_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, content_hash, first_id``: the smallest id with the same content. The minimum is taken by a partial aggregate and joined back, so
-    a content shared by a third of the rows is not sorted in one task; null content has no hash and is its own first."""
+    """``id, content_hash, first_id``: the smallest id with the same content. The minimum is taken by a partial aggregate and only contents
+    that repeat are joined back with their rows spread, so that no content is a hot spot; null content has no hash and is its own first."""
     d = df.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("content_hash"))
-    first = d.where("content_hash is not null").groupBy("content_hash").agg(F.min("id").alias("first_id"))
-    return d.join(first, "content_hash", "left").select("id", "content_hash", F.coalesce("first_id", "id").alias("first_id"))
+    first = d.where("content_hash is not null").groupBy("content_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    x = join_unique(d, first, ["content_hash"], "id")
+    return x.select("id", "content_hash", F.coalesce("first_id", "id").alias("first_id"))
+
+
+def content_length(c: Column) -> Column:
+    """A Content-Length header as a number, null if it is none."""
+    return F.trim(c).try_cast("bigint")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

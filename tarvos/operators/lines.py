@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 # Fixed values of the heading rules.
 NUMBERED = r"^\d+(?:\.\d+)*\.?\s+[A-Z]"
-MODAL = r"(?i)\b(?:shall|must|will|may|can|should|is|are|was|has|have)\b"
+MODAL = r"(?i)\b(?:shall|must|will|may|is|are|was|were)\b"
+REGULATION = r"(?i)^R\.\s*\d+\s*(?:\([A-Za-z]\))?\s*\.\s*\d+"
+JUNK = r"[=∑σ≥≤±×÷→←∫∝∂]|[.…]{3,}|[-–—]{4,}"
+CUT_SHORT = r"(?i)\b(?:and|or|the|a|an|of|in|for|with|to|from|by|as|at|on|into|about|that|which|who|whose|when|where|if|but|nor|yet|so)\s*$"
+DEFINITION = r"(?i)^(?:[ivxlcdm]+\.|[a-z]\.)\s+.+\bshall mean\b"
+# What no heading is: a number alone, a lower-case or bracketed start, notes and captions, list marks, an open or finished end.
+NO_HEADING = [r"^\d+\.?\d*\s*$", r"^[\p{Ll}(]", r"(?i)^(?:note|provided|table|figure)", r"(?i)^(?:[a-d]\)|(?:i{1,3}|iv|vi{0,3}|ix|x{1,3})\))", r"[.,:;)]$", CUT_SHORT, DEFINITION, JUNK]
+NUMBERED_START = r"(?i)^(?:\d|[IVXLCDM]+\.?\s)"
+OCR_WORDS = r"(?i)\b(?:the|and|of|in|for|to|a|an|is|are|has|was)\b"
 
 
 def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,23 +23,31 @@ def explode_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
 
 
-def heading_candidate(line: Column) -> Column:
-    """Short, starts with a capital or a section number, does not end like a sentence or a clause and has no modal verb."""
+def heading_by_text(line: Column, next_line: Column) -> Column:
+    """Heading by its wording: 5 to 119 characters with a letter, nothing on the list of what no heading is, no sentence's verb unless it is
+    numbered, and the next line that is not empty is longer."""
     s = F.trim(line)
-    return (F.length(s) >= 4) & (F.length(s) < 120) & F.rlike(s, F.lit(r"^(?:\d+(?:\.\d+)*\.?\s+)?[A-Z]")) & ~F.rlike(s, F.lit(r"[.,;:!?]$")) & ~F.rlike(s, F.lit(MODAL))
-
-
-def headings(lines: DataFrame, id_col: str = "doc_id", least_body: int = 1) -> DataFrame:
-    """Lines that are headings: a candidate followed, before the next candidate, by ``least_body`` other non-empty lines, and whose next
-    non-empty line within five is longer or which is numbered."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    text = F.nullif(F.trim("line"), F.lit(""))
-    x = lines.withColumn("cand", heading_candidate(F.col("line"))).withColumn("next_line", F.coalesce(*[F.lead(text, k).over(w) for k in range(1, 6)]))
-    body = ((~F.col("cand")) & text.isNotNull()).cast("int")
-    x = x.withColumn("seg", F.sum(F.col("cand").cast("int")).over(w)).withColumn("body", body)
-    in_seg = F.sum("body").over(Window.partitionBy(id_col, "seg"))
-    x = x.withColumn("is_heading", F.col("cand") & (in_seg >= least_body) & (F.rlike("line", F.lit(NUMBERED)) | (F.length("next_line") > F.length(F.trim("line")))))
-    return x.select(id_col, "pos", "line", F.coalesce("is_heading", F.lit(False)).alias("is_heading"))
+    ok = F.length(s).between(5, 119) & F.rlike(s, F.lit("[A-Za-z]")) & (F.length(next_line) > F.length(s))
+    for p in NO_HEADING:
+        ok = ok & ~F.rlike(s, F.lit(p))
+    return ok & (~F.rlike(s, F.lit(MODAL)) | F.rlike(s, F.lit(NUMBERED_START)) | F.rlike(s, F.lit(REGULATION)))
+
+
+def headings(lines: DataFrame, id_col: str = "doc_id", least_body: int = 3, page: str | None = None, font: str | None = None, page_font: str | None = None) -> DataFrame:
+    """``is_heading`` of each line: a regulation number, a line set in a font 2.5 points above its page's mean (where fonts are given), or a
+    heading by its wording; and then only if ``least_body`` lines that are not empty follow before the next such line of the page, or
+    it is a regulation number. Without ``page`` a document is one page."""
+    keys = [id_col, *([page] if page else [])]
+    w = Window.partitionBy(*keys).orderBy("pos")
+    text, s = F.nullif(F.trim("line"), F.lit("")), F.trim("line")
+    rule = F.rlike(s, F.lit(REGULATION))
+    big = F.coalesce((F.col(page_font) > 0) & (F.col(font) > F.col(page_font) + 2.5), F.lit(False)) if font else F.lit(False)
+    x = lines.withColumn("_next", F.coalesce(*[F.lead(text, k).over(w) for k in range(1, 6)]))
+    cand = text.isNotNull() & (((rule | big) & ~F.rlike(s, F.lit(JUNK))) | F.coalesce(heading_by_text(F.col("line"), F.col("_next")), F.lit(False)))
+    x = x.withColumn("_cand", cand).withColumn("_body", (text.isNotNull() & ~F.col("_cand")).cast("int"))
+    x = x.withColumn("_seg", F.sum(F.col("_cand").cast("int")).over(w))
+    x = x.withColumn("_n", F.sum("_body").over(Window.partitionBy(*keys, "_seg")))
+    return x.withColumn("is_heading", F.col("_cand") & ((F.col("_n") >= least_body) | rule)).drop("_next", "_cand", "_body", "_seg", "_n")
 
 
 def sections(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -85,9 +101,11 @@ def merge_paragraphs(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def boilerplate(line: Column) -> Column:
-    """Empty, a bare address, nothing but digits and marks, or a short trail of 'a > b' crumbs."""
+    """Empty, a bare address, nothing but digits and marks, or a trail of three or more crumbs under 250 characters."""
     s = F.trim(F.coalesce(line, F.lit("")))
-    return (s == "") | F.rlike(s, F.lit(r"^(?:https?://|www\.)\S+$")) | F.rlike(s, F.lit(r"^[0-9\s!-/:-@\[-`{-~]+$")) | (F.rlike(s, F.lit(r"^[^>»]{1,60}(?:\s[>»]\s[^>»]{1,80})+$")) & (F.length(s) < 250))
+    crumb = r"[\p{L}\p{N}_\s.&'\-()]+"
+    trail = F.rlike(s, F.lit(rf"^{crumb}(?:[>|/»·]{crumb}){{2,}}$")) & (F.length(s) < 250)
+    return (s == "") | F.rlike(s, F.lit(r"^https?://\S+$")) | F.rlike(s, F.lit(r"^[\d\s.,;:\-–—|/\\()\[\]{}]+$")) | trail
 
 
 def dedup_in_document(pars: DataFrame, id_col: str = "doc_id", pos: str = "par_no", text: str = "text") -> DataFrame:
@@ -96,13 +114,39 @@ def dedup_in_document(pars: DataFrame, id_col: str = "doc_id", pos: str = "par_n
     return pars.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def ocr_headings(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Scanned text's heading rule: up to 90 characters, no end mark, and numbered, all capitals (five or more), or a short title before a
-    longer line."""
-    w = Window.partitionBy(id_col).orderBy("pos")
-    x = lines.where("trim(line) <> ''").withColumn("s", F.trim("line"))
-    x = x.withColumn("nxt", F.lead("s").over(w))
-    s, words = F.col("s"), F.size(F.split("s", r"\s+"))
-    caps = F.rlike(s, F.lit(r"[A-Z]")) & (F.upper(s) == s) & (F.length(s) >= 5)
-    short = (words <= 6) & F.rlike(s, F.lit(r"^[A-Z]")) & (F.length("nxt") > F.length(s)) & ~F.rlike(s, F.lit(MODAL))
-    return x.withColumn("is_heading", F.coalesce((F.length(s) <= 90) & ~F.rlike(s, F.lit(r"[.,;]$")) & (F.rlike(s, F.lit(NUMBERED)) | caps | short), F.lit(False))).select(id_col, "pos", "s", "is_heading")
+def ocr_headings(lines: DataFrame, id_col: str = "doc_id", page: str | None = None) -> DataFrame:
+    """Scanned text's heading rule on lines that are not empty: up to 90 characters, no end mark, and numbered, or all capitals (five or
+    more), or a title of up to 60 characters without a sentence's small words before a longer line of its page."""
+    w = Window.partitionBy(id_col, *([page] if page else [])).orderBy("pos")
+    x = lines.where("trim(line) <> ''").withColumn("s", F.trim("line")).withColumn("_next", F.lead("s").over(w))
+    s = F.col("s")
+    short = (F.length(s) <= 60) & F.rlike(s, F.lit(r"^\p{Lu}")) & (F.length("_next") > F.length(s)) & ~F.rlike(s, F.lit(OCR_WORDS))
+    kind = F.rlike(s, F.lit(r"^[0-9]+[.)]\s+\S")) | F.rlike(s, F.lit(r"^[A-Z][A-Z\s\-/]{4,}$")) | short
+    keep = [id_col, *([page] if page else []), "pos", "s"]
+    return x.select(*keep, F.coalesce((F.length(s) <= 90) & ~F.rlike(s, F.lit(r"[.,;]$")) & kind, F.lit(False)).alias("is_heading"))
+
+
+def ocr_blocks(lines: DataFrame, id_col: str = "doc_id", page: str = "page") -> DataFrame:
+    """``id_col, page, pos, kind, text, level`` of scanned pages: a heading line is a block, the lines between two of them one paragraph, which
+    never crosses a page. ``pos`` is the block's first line."""
+    x = ocr_headings(lines, id_col, page)
+    w = Window.partitionBy(id_col, page).orderBy("pos")
+    h = F.col("is_heading").cast("int")
+    x = x.withColumn("_p", F.coalesce(F.lag(h).over(w), F.lit(0))).withColumn("_g", F.sum(h + F.col("_p")).over(w))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda r: r["s"]), " ")
+    g = x.groupBy(id_col, page, "_g").agg(F.min("pos").alias("pos"), F.max("is_heading").alias("h"), text.alias("text"))
+    return g.select(id_col, page, "pos", F.when(F.col("h"), "heading").otherwise("paragraph").alias("kind"), "text", F.when(F.col("h"), 1).alias("level"))
+
+
+def drop_repeated_pages(pages: DataFrame, id_col: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """Pages without later copies of a page's text within a document; pages without text are all kept. The first of each text is taken by a
+    partial aggregate, so the texts of a document do not meet."""
+    p = pages.withColumn("_h", F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.sha2(F.trim(text), 256)))
+    first = p.where("_h is not null").groupBy(id_col, "_h").agg(F.min(page).alias("_first"))
+    return p.join(first, [id_col, "_h"], "left").where(F.col("_h").isNull() | (F.col(page) == F.col("_first"))).drop("_h", "_first")
+
+
+def scanned_documents(pages: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 80) -> DataFrame:
+    """``id_col, n_pages, scanned``: fewer than half of a document's pages have ``least`` characters of text."""
+    full = (F.length(F.trim(F.coalesce(text, F.lit("")))) >= least).cast("int")
+    return pages.groupBy(id_col).agg(F.count("*").alias("n_pages"), (F.sum(full) < 0.5 * F.count("*")).alias("scanned"))

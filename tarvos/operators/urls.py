@@ -61,20 +61,53 @@ def safe_name(c: Column, longest: int = 120) -> Column:
     return F.substring(F.trim(F.regexp_replace(path(c), r"[^A-Za-z0-9_.\-]", "_"), F.lit("_")), 1, longest)
 
 
-def collision_suffix(df: DataFrame, name: str, order: str) -> DataFrame:
+def collision_suffix(df: DataFrame, name: str, order: str, hot: int = 100_000) -> DataFrame:
     """``unique_name``: the first holder keeps the name, the k-th gets _k. Names that already look suffixed stay distinct because they are
-    numbered within their own name. Hot names sort within one key's rows, not in the driver."""
-    rn = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("unique_name", F.when(rn == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), rn.cast("string"))))
+    numbered within their own name. Names of more than ``hot`` rows are numbered in ranges of their order: each range by itself, plus the
+    rows of the ranges before it; null names stay null."""
+    n = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")).where(F.col("_n") > hot)
+    # ranges of equal width of the order; a count of rows per range is bounded by rows / hot
+    x = df.join(F.broadcast(n) if n.limit(100_001).count() <= 100_000 else n, name, "left")
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(hot))
+    x = x.withColumn("_r", F.coalesce(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(0)))
+    per = x.where("_n is not null").groupBy(name, "_r").agg(F.count("*").alias("_c"))
+    before = per.select(name, "_r", (F.sum("_c").over(Window.partitionBy(name).orderBy("_r")) - F.col("_c")).alias("_before"))
+    x = x.join(before, [name, "_r"], "left")
+    rn = F.row_number().over(Window.partitionBy(name, "_r", F.when(F.col(name).isNull(), F.xxhash64(order))).orderBy(order)) + F.coalesce("_before", F.lit(0))
+    x = x.withColumn("_rn", rn)
+    return x.withColumn("unique_name", F.when(F.col("_rn") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_rn").cast("string")))).drop("_n", "_lo", "_hi", "_r", "_before", "_rn")
 
 
 def rule_join(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
-    """The same first match as a join with a rule table ``(rule_no, category, pattern)`` of checked size."""
+    """The same first match as a join with a rule table ``(rule_no, category, pattern)`` of checked size, once per distinct address;
+    repeated rows stay."""
     n = rules.limit(10_001).count()
     if n > 10_000:
         raise ValueError("rule tables hold at most 10,000 rules")
-    hit = df.join(F.broadcast(rules), F.rlike(F.col(url), F.col("pattern")), "left")
-    return hit.groupBy(*df.columns).agg(F.coalesce(F.min_by("category", "rule_no"), F.lit("unknown")).alias("category_found"))
+    each = df.select(F.col(url).alias("_u")).where("_u is not null").distinct()
+    hit = each.join(F.broadcast(rules), F.rlike("_u", F.col("pattern"))).groupBy("_u").agg(F.min_by("category", "rule_no").alias("_c"))
+    return df.join(hit, F.col(url) == F.col("_u"), "left").withColumn("category_found", F.coalesce("_c", F.lit("unknown"))).drop("_u", "_c")
+
+
+def department(c: Column) -> Column:
+    """The department in the path of a faculty page, null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?i)Departments/([^/]+)/faculty", 1), F.lit(""))
+
+
+def url_hash(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def follow(links: DataFrame, url: str = "url", pdf_only: bool = False, categories: list[str] | None = None, drop: str | None = None, allow=ALLOW, deny=DENY) -> DataFrame:
+    """Links worth following, once per page and address: allowed ones, of them PDFs only, or those of some categories (any PDF
+    besides), without addresses that match ``drop``."""
+    kind = classify(F.col(url), allow, deny)
+    x = links.withColumn("category", kind).where(~F.col("category").isin("denied", "unknown"))
+    if pdf_only:
+        x = x.where(is_pdf(F.col(url)))
+    if categories is not None:
+        x = x.where(F.col("category").isin(*categories) | is_pdf(F.col(url)))
+    return x if drop is None else x.where(~F.rlike(F.col(url), F.lit(drop)))
 
 
 def resolve(base: str, href: str) -> str | None:

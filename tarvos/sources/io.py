@@ -15,8 +15,11 @@ def read_crawl_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """A .json array or .jsonl lines, by the suffix."""
-    return spark.read.schema(CHUNK_SCHEMA).option("multiLine", path.endswith(".json")).json(path)
+    """A .json array or .jsonl lines, by the suffix; a file that is missing or without a chunk is an error."""
+    c = spark.read.schema(CHUNK_SCHEMA).option("multiLine", path.endswith(".json")).json(path)
+    if c.isEmpty():
+        raise ValueError(f"no chunks in {path}")
+    return c
 
 
 def read_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -37,10 +40,32 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Latest version of each key; changes win over the table at equal versions. Applying it twice changes nothing."""
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str, tie: str | None = None) -> DataFrame:
+    """Latest version of each key; at equal versions the larger ``tie`` or, without one, the change wins. Applying it twice changes nothing."""
     both = table.withColumn("_side", F.lit(0)).unionByName(changes.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    return latest(both, keys, [F.desc_nulls_last(version), F.desc("_side")]).drop("_side")
+    return latest(both, keys, [F.desc_nulls_last(version), *([F.desc_nulls_last(tie)] if tie else []), F.desc("_side")]).drop("_side")
+
+
+def table_info(spark: SparkSession, path: str) -> tuple[bool, int]:
+    """Whether a table is there, and its number of rows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return False, 0
+    return True, spark.read.parquet(path).count()
+
+
+def recreate(df: DataFrame, path: str) -> None:
+    """The table anew, whatever was there."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def chunk_source(rows: DataFrame, files: DataFrame, notes: str = "chunk_notes", stem: str = "stem") -> DataFrame:
+    """Rows with ``chunk_path``: the path in the notes, else '{stem}_ir_chunks.jsonl', else '{stem}_chunks.jsonl', whichever is there first."""
+    have = files.select(F.col("path").alias("_p")).distinct()
+    wanted = [F.col(notes), F.concat(F.col(stem), F.lit("_ir_chunks.jsonl")), F.concat(F.col(stem), F.lit("_chunks.jsonl"))]
+    x = rows.withColumn("_id", F.xxhash64(F.struct("*")))
+    tried = x.select("_id", F.posexplode(F.array(*wanted)).alias("_k", "_p")).join(have, "_p").groupBy("_id").agg(F.min_by("_p", "_k").alias("chunk_path"))
+    return x.join(tried, "_id", "left").drop("_id")
 
 
 def delete_by_id(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -52,4 +77,5 @@ def patch(table: DataFrame, **columns: Column) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines, in as many files as its plan has parts."""
+    df.write.mode("overwrite").json(path)

@@ -85,7 +85,10 @@ def test_packing_matches_the_loop(spark, units, budget):
 def test_merge_tail_and_overlap(spark):
     d = spark.createDataFrame([(["a" * 400, "b" * 8, "c" * 400],)], "u array<string>")
     assert d.select(chunking.merge_tail(F.col("u"))).first()[0] == ["a" * 400 + "\n" + "b" * 8, "c" * 400]
-    assert d.select(chunking.with_overlap(F.col("u"), 1)).first()[0][2] == "b" * 4 + "\n" + "c" * 400
+    assert d.select(chunking.with_overlap(F.col("u"), 1, 1)).first()[0][2] == "b" * 4 + " " + "c" * 400
+    before = "x" * 300 + ". the last words here. The rule (a) stands. It ends"
+    got = spark.createDataFrame([([before, "next"],)], "u array<string>").select(chunking.with_overlap(F.col("u"), 5, 20)).first()[0]
+    assert got == [before, "The rule (a) stands. It ends next"]
 
 
 def test_chunk_documents_edges(spark):
@@ -139,7 +142,7 @@ def test_links_resolve_and_carry_the_row_label():
 def test_vector_search_edges(spark):
     p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [0.0, 2.0])], "point_id bigint, embedding array<double>")
     q = spark.createDataFrame([(9, [2.0, 0.0])], "query_id bigint, embedding array<double>")
-    assert [(r.point_id, r.score) for r in retrieval.cosine_top_k(q, p, 3).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (4, 0.0)]
+    assert [(r.point_id, r.score) for r in retrieval.cosine_top_k(q, p, 3).orderBy("rank").collect()] == [(1, 1.0), (2, 1.0), (5, 0.0)]
     assert retrieval.cosine_top_k(q.limit(0), p).count() == 0
 
 
@@ -179,13 +182,269 @@ def test_retire_rules_are_disjoint_from_what_stays(spark):
 def test_page_rules_and_document_vote(spark):
     from tarvos.operators import classify
 
-    d = spark.createDataFrame([("CS-101 and CS 102, 4 credits",), ("nothing here",), (None,), ("The warden of the hostel shall shall shall see the rules",)], "t string")
-    assert [r[0] for r in d.select(classify.classify_page(F.col("t"))).collect()] == ["syllabus", "skip", "skip", "hostel"]
+    cases = {
+        "1. CS-101 Title L T P Credit Hours 4": "syllabus", "nothing here": "skip", None: "skip", "The warden of the hostel": "policy", "Transcript fee Rs. 500; Signature of student, Roll Number : 1": "policy",
+        "FORM OF APPLICATION\nSignature of student": "form", "PROFESSOR PROFESSOR ASSISTANT PROFESSOR ASSISTANT PROFESSOR Designation": "contact", "Circular No 5. All Students": "notice",
+        "Average CTC of campus recruits 2019": "placement", "JEE Main counselling, seat matrix": "admissions", "Join the NCC": "policy", "Rules for rechecking\n1. Apply\n2. Pay": "policy", "unfair means and CGPA": "policy", "CGPA": "skip",
+    }
+    d = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r[0] for r in d.select(classify.classify_page(F.col("t"))).collect()] == list(cases.values())
     p = spark.createDataFrame([("a", 0, "policy"), ("a", 1, "notice"), ("b", 0, "form"), ("b", 1, "notice"), ("c", 0, "skip"), ("d", 0, "syllabus"), ("d", 1, "form"), ("d", 2, "form"), ("d", 3, "skip")], "doc string, page int, label string")
     got = {r.doc: r.document_class for r in classify.document_vote(p, "doc", "page", "label").collect()}
     assert got == {"a": "policy", "b": "form", "c": "skip", "d": "syllabus"}
 
 
+def test_sentences_keep_abbreviations_whole_words_only(spark):
+    cases = {
+        "Read the whole text. The board meets next. It ends at the app. Done.": ["Read the whole text.", "The board meets next.", "It ends at the app.", "Done."],
+        "Dr. A and PROF. B met, i.e. Sec. 4 of the act. E.g. this.": ["Dr. A and PROF. B met, i.e. Sec. 4 of the act.", "E.g. this."], "": [],
+    }
+    d = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert [r[0] for r in d.select(tx.sentences(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_normalize_map(spark):
+    d = spark.createDataFrame([("\u201ca\u2019s\u201d\u2014b\u2026 \u2022 c\u200bd\u00ad \ufb01n\u00a0x",)], "t string")
+    assert d.select(tx.normalize(F.col("t"))).first()[0] == "\"a's\" - b... - cd fin x"
+
+
+def test_headings(spark):
+    body = ["the first line of a body that is long enough here", "and another", "and a third"]
+    doc = ["General Rules", *body, "Short heading", "one longer line of a body below it", "two", "R. 1(B).3 Fees", "x", "Ends with the", *body, "Students shall pay", *body, "12.5", "NOTE on this", *body, "=== A = B", *body]
+    d = spark.createDataFrame([("d", i, x) for i, x in enumerate(doc)], "doc_id string, pos int, line string")
+    assert [r.line for r in lines.headings(d).where("is_heading").orderBy("pos").collect()] == ["General Rules", "R. 1(B).3 Fees"]
+    f = d.withColumn("font", F.when(F.col("line") == "two", 14.0).otherwise(10.0)).withColumn("mean", F.lit(10.0)).withColumn("page", F.lit(1))
+    assert "two" not in {r.line for r in lines.headings(f, page="page", font="font", page_font="mean").where("is_heading").collect()}  # no body of three lines
+    assert "two" in {r.line for r in lines.headings(f, least_body=0, page="page", font="font", page_font="mean").where("is_heading").collect()}
+
+
+def test_duplicate_flag_is_never_taken_back(spark):
+    m = _manifest(spark, [(1, "h", "done"), (2, "h", "pending"), (3, "x", "pending")]).withColumn("is_duplicate", F.col("id") == 3)
+    assert {r.id: r.is_duplicate for r in manifest.mark_hash_duplicates(m).collect()} == {1: False, 2: True, 3: True}
+
+
+def hot(n=600):
+    """Half of the rows under one key, some under none, the rest apart."""
+    return [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i}") for i in range(n)]
+
+
+def test_hot_keys_and_nulls(spark, monkeypatch):
+    from tarvos.operators import skew
+
+    for few in (True, False):  # with the repeated keys broadcast, and joined with salts
+        monkeypatch.setattr(skew, "small", lambda df, limit=0, few=few: few)
+        d = spark.createDataFrame(hot(), "id int, text string")
+        got = {r.id: r.first_id for r in http.content_duplicates(d, "id", "text").collect()}
+        assert got == {i: 1 if k == "hot" else i for i, k in hot()}
+        m = _manifest(spark, [(i, k, "pending") for i, k in hot()])
+        assert {r.id for r in manifest.mark_hash_duplicates(m).where("duplicate_of is not null").collect()} == {i for i, k in hot() if k == "hot" and i != 1}
+        c = spark.createDataFrame([(f"c{i:04}", "u", k, i, 2000 + (i == 1), k) for i, k in hot()], "chunk_id string, source_url string, section_heading string, chunk_index int, batch_year int, text string")
+        assert quality.newest_year_only(c.where("section_heading = 'hot'").withColumn("section_heading", F.lit("Heading"))).count() == 299
+        assert {r.chunk_id for r in quality.floods(c.withColumn("section_heading", F.concat("section_heading", F.lit("ing")))).collect()} == {f"c{i:04}" for i, k in hot() if k == "hot"} - {"c0001", "c0003", "c0005"}
+        full = c.select("*", F.lit(0).alias("token_count"), F.lit("t").alias("document_title"), F.lit("x").alias("document_type"), F.lit("prose").alias("block_type"))
+        dup = {r.chunk_id for r in quality.audit(full.where("text is not null")).where("issue = 'dup_text'").collect()}
+        assert dup == {f"c{i:04}" for i, k in hot() if k == "hot" and i != 1}
+    n = {r.issue: r.n for r in quality.validate(full).withColumnRenamed("check", "issue").collect()}
+    assert n["dup_text"] == 300 + 60 and n["dup_id"] == 0
+
+
+def test_collision_names_of_a_hot_name(spark):
+    rows = hot()
+    want, seen = {}, {}
+    for i, k in rows:
+        if k is None:
+            want[i] = None
+        else:
+            seen[k] = seen.get(k, 0) + 1
+            want[i] = k if seen[k] == 1 else f"{k}_{seen[k]}"
+    d = spark.createDataFrame(rows, "id int, name string")
+    for limit in (10, 100_000):
+        assert {r.id: r.unique_name for r in urls.collision_suffix(d, "name", "id", limit).collect()} == want
+
+
+def test_rule_join_keeps_repeated_rows(spark):
+    rules = spark.createDataFrame([(0, "a", "x"), (1, "b", ".")], "rule_no int, category string, pattern string")
+    d = spark.createDataFrame([("x1",), ("x1",), ("y",), (None,)], "u string")
+    assert sorted((r.u or "", r.category_found) for r in urls.rule_join(d, "u", rules).collect()) == [("", "unknown"), ("x1", "a"), ("x1", "a"), ("y", "b")]
+
+
+def test_updates_and_lookups(spark):
+    m = spark.createDataFrame([(1, "u1", "h", "done", None, None), (2, "u2", "h", "pending", "p", None), (3, "u3", None, "pending", None, None)], "id int, url string, file_hash string, download_status string, file_path string, download_notes string")
+    d = spark.createDataFrame([("u2", 1, "/a", 5, "x"), ("u2", 2, "/b", None, "y"), ("zz", 1, "/c", 1, "z"), (None, 1, "/d", 1, "z")], "url string, seq int, file_path string, file_size bigint, file_hash string")
+    got = {r.url: tuple(r) for r in manifest.apply_updates(m, manifest.finalized(d.drop("file_size").withColumn("file_size", F.lit(1))).drop("file_size")).collect()}
+    assert got["u2"] == (2, "u2", "y", "done", "/b", "/b") and got["u1"] == (1, "u1", "h", "done", None, None) and len(got) == 3
+    k = {r.url: r.known_url for r in manifest.known_by_hash(m, m.select("url", "file_hash")).collect()}
+    assert k == {"u1": None, "u2": "u1", "u3": None}
+    import pytest
+
+    with pytest.raises(ValueError, match="no such stage"):
+        manifest.stage_event("cook", "done", F.lit("u"), F.lit(1), F.current_timestamp())
+    with pytest.raises(ValueError, match="no such status"):
+        manifest.stage_event("parse", "fine", F.lit("u"), F.lit(1), F.current_timestamp())
+
+
+def test_deep_and_hidden_html():
+    deep = "<div>" * 5000 + "<p>deep text<ul><li>a long item here<li>b</ul>" + "</div>" * 5000
+    assert [b["kind"] for b in html.blocks_of(deep, "u")] == ["heading", "paragraph", "list"]
+    assert len(html.links_of("<div>" * 3000 + "<a href='/x'>y</a>", "https://h.example/")) == 1
+    noisy = "<body><h1>T</h1><div class='ddsmoothmenu'>menu</div><p style='font-size:0'>spam</p><div id='page-nav'>x</div><div class='content'>kept</div><table><tr><td><table><tr><th>K<th>V<tr><td>a<td>b</table></td></tr></table></body>"
+    assert [(b["kind"], b.get("text") or b.get("headers")) for b in html.blocks_of(noisy, "u")] == [("heading", "T"), ("paragraph", "kept"), ("table", ["K", "V"])]
+
+
+def test_faculty_pages():
+    page = "<table><tr><td>menu<table><tr><td>Associate Professor</td></tr><tr><td>Dr. A</td><td>Designation: Lecturer Email: a[at]b[dot]c Specialization:</td></tr><tr><td>note</td></tr><td>B Designation: Head</td></table></td></tr></table>"
+    got = [(b["kind"], b["text"]) for b in html.faculty_blocks_of(page, "Physics")]
+    assert got == [("heading", "Physics — Faculty"), ("heading", "Associate Professor"), ("paragraph", "Dr. A — Designation: Lecturer — Email: a@b.c — Department: Physics"), ("paragraph", "B — Designation: Head — Department: Physics")]
+    assert [b["text"] for b in html.faculty_blocks_of("<p>none</p>")] == ["Faculty — Faculty"] and len(html.faculty_blocks_of(None)) == 1
+
+
+BLOCKS = "doc_id int, pos int, kind string, text string, level int, items array<string>, ordered boolean, rows array<array<string>>, headers array<string>, caption string, page int"
+
+
+def test_cleaning_pass(spark):
+    from tarvos.operators import cleaning
+
+    n = None
+    rows = [
+        (1, 0, "heading", "Fees\u00a0", 1, n, n, n, n, n, 1), (1, 1, "paragraph", "A paragraph of twenty and more letters", n, n, n, n, n, n, 1), (1, 2, "paragraph", "a PARAGRAPH of twenty and more\u00a0letters", n, n, n, n, n, n, 1),
+        (1, 3, "paragraph", "Home > Academics > Fees and rules", n, n, n, n, n, n, 1), (1, 4, "paragraph", "12.5, 7", n, n, n, n, n, n, 1), (1, 5, "paragraph", None, n, n, n, n, n, n, 1), (1, 6, "list", n, n, ["an item of twenty letters", " ", "b"], False, n, n, n, 1),
+        (1, 7, "list", n, n, ["short", "b"], False, n, n, n, 1), (1, 8, "table", n, n, n, n, [["a ", ""], ["", " "]], ["\ufb01ne", "v"], " ", 2), (1, 9, "table", n, n, n, n, [["a ", ""]], [], n, 2), (1, 10, "table", n, n, n, n, [["", ""]], ["h"], n, 2), (2, 0, "heading", "Fees", 1, n, n, n, n, n, 1),
+    ]
+    got = [(r.doc_id, r.pos, r.text, r["items"], r.rows, r.headers, r.caption) for r in cleaning.clean_blocks(spark.createDataFrame(rows, BLOCKS)).orderBy("doc_id", "pos").collect()]
+    assert got == [
+        (1, 0, "Fees", n, n, n, n), (1, 1, "A paragraph of twenty and more letters", n, n, n, n), (1, 6, "", ["an item of twenty letters", "b"], n, n, n), (1, 8, "", n, [["a", ""]], ["fine", "v"], n), (1, 9, "", n, [["a", ""]], [], n), (2, 0, "Fees", n, n, n, n),
+    ]
+
+
+def chunks_by_hand(blocks, title, kind, budget):
+    """Sections, segments and packing by plain loops."""
+    tok = lambda s: len(s) // 4
+    stack, cur, body, out, sections = [], title or "Preamble", [], [], []
+
+    def crumbs():
+        chain = ([title] if title else []) + [t for _, t in stack] + ([] if stack else [cur])
+        return " > ".join(c for i, c in enumerate(chain) if not i or chain[i - 1] != c)
+
+    for b in blocks:
+        if b[2] == "heading":
+            if body:
+                sections.append((cur, crumbs(), body))
+            body = []
+            while stack and stack[-1][0] >= b[4]:
+                stack.pop()
+            stack.append((b[4], b[3]))
+            cur = b[3]
+        else:
+            body.append(b)
+    if body:
+        sections.append((cur, crumbs(), body))
+    for head, crumb, body in sections:
+        buf = []
+
+        def flush(buf=buf, head=head, crumb=crumb):
+            blob = "\n".join(buf).strip()
+            buf.clear()
+            if head and blob.startswith(head):
+                blob = blob[len(head) :].lstrip(" :-\n")
+            if blob and tok(blob) >= 15:
+                out.append((crumb, blob, "prose"))
+
+        for b in body:
+            if b[2] == "table":
+                flush()
+                cur_rows, n = [], tok(crumb) + 2
+                for r in b[7]:
+                    line = ", ".join(f"{h}: {c}" for h, c in zip(b[8], r)) if b[8] else ", ".join(r)
+                    if cur_rows and n + tok(line) + 1 > budget:
+                        out.append((crumb, "\n".join(cur_rows), "table"))
+                        cur_rows, n = [], tok(crumb) + 2
+                    cur_rows.append(line)
+                    n += tok(line) + 1
+                if cur_rows:
+                    out.append((crumb, "\n".join(cur_rows), "table"))
+            elif b[2] == "list":
+                buf.append("\n".join(f"{i}. {x}" if b[6] else f"- {x}" for i, x in enumerate(b[5], 1)))
+            else:
+                buf.append(b[3])
+                if kind == "dept_faculty":
+                    flush()
+        flush()
+    seen, kept = set(), []
+    for i, (crumb, x, what) in enumerate(out):
+        if (crumb, x) not in seen:
+            seen.add((crumb, x))
+            kept.append((i, f"{crumb}\n\n{x}", what))
+    return kept
+
+
+def test_chunks_of_blocks_match_the_loop(spark):
+    import random
+
+    rng, n = random.Random(4), None
+    docs, blocks = [], {}
+    for d in range(12):
+        docs.append((d, f"u{d}", f"Title {d}" if d % 3 else n, "dept_faculty" if d % 4 == 1 else "notice", n, "2024-01-01", "html"))
+        bs = []
+        for pos in range(rng.randrange(1, 14)):
+            k = rng.choice(["heading", "paragraph", "paragraph", "list", "table"])
+            text = "Title 1" if rng.random() < 0.1 else f"{rng.choice(['Fees', 'Rules'])} {'word ' * rng.randrange(1, 30)}".strip()
+            bs.append({"heading": (d, pos, k, text[:20].strip(), rng.randrange(1, 4), n, n, n, n, n, pos), "paragraph": (d, pos, k, text, n, n, n, n, n, n, pos), "list": (d, pos, k, n, n, ["one item", text], rng.random() < 0.5, n, n, n, pos),
+                       "table": (d, pos, k, n, n, n, n, [[f"a{x}", text] for x in range(rng.randrange(1, 60))], rng.choice([["k", "v"], []]), n, pos)}[k])
+        blocks[d] = bs
+    got = {}
+    df = spark.createDataFrame([b for bs in blocks.values() for b in bs], BLOCKS)
+    dd = spark.createDataFrame(docs, "doc_id int, url string, title string, document_type string, date_published string, date_scraped string, source_format string")
+    rows = chunking.chunk_blocks(df, dd, 500).collect()
+    for r in sorted(rows, key=lambda r: r.chunk_index):
+        got.setdefault(r.doc_id, []).append((r.chunk_index, r.text, r.block_type))
+    for d, bs in blocks.items():
+        want = chunks_by_hand(bs, docs[d][2], docs[d][3], 500)
+        assert got.get(d, []) == want, [x for x in zip(got.get(d, []), want) if x[0] != x[1]][:1]
+    assert rows and set(chunking.RECORD) <= set(rows[0].asDict())
+
+
+def test_grids_become_blocks(spark):
+    g = [["Code", None, "Hours"], ["", "L", None], ["C1", "three words", "4"], [None, "more words", "5"], ["code", "l", "hours"], ["1", "2", "3"], [None, None, None]]
+    d = spark.createDataFrame([(1, r, c, x) for r, row in enumerate(g) for c, x in enumerate(row)], "tab int, row int, col int, cell string")
+    got = grid.to_block(d).first()
+    assert got.headers == ["Code", "L", "Hours"] and got.rows == [["C1", "three words", "4"], ["C1", "more words", "5"]]
+
+
+def test_scanned_pages(spark):
+    p = spark.createDataFrame([("d", 1, "x" * 90), ("d", 2, " " + "x" * 90), ("d", 3, ""), ("d", 4, None), ("e", 1, "")], "doc_id string, page int, text string")
+    assert sorted((r.doc_id, r.page) for r in lines.drop_repeated_pages(p).collect()) == [("d", 1), ("d", 3), ("d", 4), ("e", 1)]
+    assert {r.doc_id: r.scanned for r in lines.scanned_documents(p).collect()} == {"d": False, "e": True}
+    page = ["1. Scope of rules", "the rules apply", "to all", "FEES AND FINES", "all pay", "Library Hours", "a line that is longer than its title"]
+    l = spark.createDataFrame([("d", 1, i, x) for i, x in enumerate(page)] + [("d", 2, 0, "on the next page")], "doc_id string, page int, pos int, line string")
+    got = [(r.kind, r.text) for r in lines.ocr_blocks(l).orderBy("page", "pos").collect()]
+    assert got == [("heading", "1. Scope of rules"), ("paragraph", "the rules apply to all"), ("heading", "FEES AND FINES"), ("paragraph", "all pay"), ("heading", "Library Hours"), ("paragraph", "a line that is longer than its title"), ("paragraph", "on the next page")]
+
+
+def test_curated_records(spark):
+    md = "# Hostels\nSource: https://h.example/x\n\n## Fees\nBatch-year: 2024\nRs. 5\n## Rooms\nSingle"
+    got = chunking.curated_records(spark.createDataFrame([("hostel", md), ("none", "# T\n## A\nb")], "name string, md string"), default_url="https://d.example/").orderBy("document_title", "chunk_index").collect()
+    assert [(r.section_heading, r.source_url, r.batch_year) for r in got] == [("Fees", "https://h.example/x", 2024), ("Rooms", "https://h.example/x", 0), ("A", "https://d.example/", 0)]
+    assert got[0].text.startswith("Hostels > Fees\n\n## Fees\nBatch-year: 2024") and got[0].text.endswith("# Hostels\nSource: https://h.example/x")
+
+
+def test_retrieval_with_variants_and_tables(spark):
+    pts = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1]), (3, "t1", [0.0, 1.0])], "point_id bigint, chunk_id string, embedding array<double>")
+    c = spark.createDataFrame([("a", "u", "H", "prose", "text a", 1, 0, 10), ("b", "u", "H", "prose", "text b", 1, 1, 10), ("t1", "u", "T", "table", "row 1", 1, 2, 10), ("t2", "u", "T", "table", "row 2", 1, 3, 10)], "chunk_id string, source_url string, section_heading string, block_type string, text string, page_number int, chunk_index int, token_count int")
+    v = spark.createDataFrame([(7, 0, [1.0, 0.0]), (7, 1, [0.0, 1.0])], "query_id bigint, variant_no int, embedding array<double>")
+    hits, ctx = retrieval.retrieve(v, pts, c, 2)
+    assert [(r.rank, r.chunk_id) for r in hits.orderBy("rank").collect()] == [(1, "a"), (2, "t1")]
+    text = ctx.first().context
+    assert text.index("text a") < text.index("row 1") < text.index("row 2") and "text b" not in text
+
+
+def test_more_labels_than_a_thousand(spark):
+    n = 1_200
+    pts = spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(1, n + 1)], "point_id bigint, embedding array<double>, label int")
+    q = pts.withColumnRenamed("point_id", "query_id")
+    got = retrieval.cosine_top_k(q, pts, 1, label="label").collect()
+    assert len(got) == n and all(r.query_id == r.point_id for r in got)
+
+
 def test_claimed_tables(spark):
     from tarvos.operators import classify
 
