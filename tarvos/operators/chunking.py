@@ -13,6 +13,11 @@ def estimate(s: Column) -> Column:
     return F.floor(F.length(s) / 4).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pack(units: Column, budget: Column | int, joiner: str = " ", count=estimate, base: Column | int = 0, first: int = 0) -> Column:
     """Greedy groups of an array of units: a new group opens when the units so far and the next (each a token more than its count)
     pass the budget; the first unit of a later group is charged its count and ``first``, all groups ``base`` besides. One fold inside the
@@ -48,26 +53,31 @@ def merge_tail(groups: Column, least: int = 100, joiner: str = "\n", count=estim
 def overlap_of(s: Column, target: int = 100, most: int = 120, count=estimate) -> Column:
     """What a group hands to the next: all of it up to ``target`` tokens, else its last ``most`` tokens (4 characters each) from their first
     sentence start on, a capital or an opening bracket after a full stop."""
-    tail = F.right(s, F.lit(4 * most))
-    start = F.regexp_extract(tail, r"(?s)\.\s([A-Z(].*)$", 1)
-    return F.trim(F.when(count(s) <= target, s).when(start != "", start).otherwise(tail))
+    def long(tail):
+        return let(F.regexp_extract(tail, r"(?s)\.\s([A-Z(].*)$", 1), lambda start: F.when(start != "", start).otherwise(tail))
+
+    return let(s, lambda x: F.trim(F.when(count(x) <= target, x).otherwise(let(F.right(x, F.lit(4 * most)), long))))
 
 
 def with_overlap(groups: Column, target: int = 100, most: int = 120, joiner: str = " ", count=estimate) -> Column:
     """Each later group starts with the overlap of the one before."""
 
-    def led(g, i):
-        before = overlap_of(F.element_at(groups, F.greatest(i, F.lit(1))), target, most, count)
-        return F.when((i == 0) | (before == ""), g).otherwise(F.concat(before, F.lit(joiner), g))
+    def led(all_, g, i):
+        before = overlap_of(F.element_at(all_, F.greatest(i, F.lit(1))), target, most, count)
+        return F.when(i == 0, g).otherwise(let(before, lambda b: F.when(b == "", g).otherwise(F.concat(b, F.lit(joiner), g))))
 
-    return F.transform(groups, led)
+    return let(groups, lambda all_: F.transform(all_, lambda g, i: led(all_, g, i)))
 
 
 def pack_prose(text: Column, budget: Column | int, least: int = 100, count=estimate) -> Column:
     """A text within the budget as it is, else its sentences packed, led by overlaps, small pieces joined to the one before."""
     b = F.lit(budget) if isinstance(budget, int) else budget
-    packed = merge_tail(with_overlap(pack(sentences(text), b, count=count), count=count), least, " ", count)
-    return F.when(count(text) <= b, F.array(text)).when(F.size(packed) > 0, packed).otherwise(F.array(text))
+
+    def split(t):
+        packed = merge_tail(with_overlap(pack(sentences(t), b, count=count), count=count), least, " ", count)
+        return F.when(count(t) <= b, F.array(t)).otherwise(let(packed, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(t))))
+
+    return let(text, split)
 
 
 def chunk_id(url: Column, index: Column) -> Column:
@@ -81,7 +91,7 @@ def batch_year(*sources: Column) -> Column:
 
 def first_in_row(pieces: Column) -> Column:
     """(index, text) of an array's texts without later repeats; the indexes keep their gaps."""
-    return F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("i"), s.alias("text"))), lambda x: F.array_position(pieces, x["text"]) == x["i"] + 1)
+    return let(pieces, lambda p: F.filter(F.transform(p, lambda s, i: F.struct(i.alias("i"), s.alias("text"))), lambda x: F.array_position(p, x["text"]) == x["i"] + 1))
 
 
 def chunk_documents(docs: DataFrame, budget: int = 512, least: int = 15, id_col: str = "doc_id", url_col: str = "url", title_col: str = "title", text_col: str = "text", date_col: str = "date_published") -> DataFrame:

@@ -90,6 +90,16 @@ def runs(lines: DataFrame, flag: Column, id_col: str = "doc_id", least: int = 3)
     return x.where("_f").groupBy(id_col, "_g").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_lines")).where(F.col("n_lines") >= least).drop("_g")
 
 
+def text_tables(lines: DataFrame, id_col: str = "doc_id", least: int = 3) -> DataFrame:
+    """``id_col, kind, first_pos, n_lines`` of tables in plain text: runs of lines with two bars or more (kind pipe), and runs of ``least`` other
+    lines with columns set apart by three blanks (kind aligned)."""
+    kind = F.when(F.regexp_count("line", F.lit(r"\|")) >= 2, "pipe").when(F.rlike("line", F.lit(r"\S+\s{3,}\S+")), "aligned")
+    x = lines.withColumn("kind", kind).where("kind is not null")
+    x = x.withColumn("_g", F.col("pos") - F.row_number().over(Window.partitionBy(id_col, "kind").orderBy("pos")))
+    g = x.groupBy(id_col, "kind", "_g").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"))
+    return g.where((F.col("kind") == "pipe") | (F.col("n_lines") >= least)).drop("_g")
+
+
 def merge_paragraphs(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adjacent non-blank lines to one paragraph each: ``id_col, par_no, text``."""
     w = Window.partitionBy(id_col).orderBy("pos")

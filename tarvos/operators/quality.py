@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentence_end_density
-from ..sources.io import latest
+from ..sources.io import cut, latest
 from .skew import join_unique
 
 REQUIRED = ["chunk_id", "text", "source_url", "document_title", "section_heading", "document_type", "chunk_index", "token_count"]
@@ -101,11 +101,12 @@ def retired(chunks: DataFrame, scope: str = "ordinance", exempt: str = "curated_
     heading or the first 400 characters of its text; 2 an older year's prose under a heading that a newer year has; 3 beyond the first three of
     more than 15 chunks under one heading of a document; 4 the prose that is left. Headings on unfair means stay from rules 1 and 4."""
     c = chunks.where(F.contains(F.lower(F.coalesce("source_url", F.lit(""))), F.lit(scope)) & ~F.col("document_type").eqNullSafe(exempt))
+    c = cut(c.select("chunk_id", "source_url", "section_heading", "block_type", "chunk_index", F.rlike(F.left(F.coalesce("text", F.lit("")), F.lit(400)), F.lit(REGULATION_TEXT)).alias("_rule")), "scope")
     kept = F.rlike(F.coalesce("section_heading", F.lit("")), F.lit(KEPT_HEADING))
     prose = ~F.col("block_type").eqNullSafe("table")
-    rule = F.rlike(F.coalesce("section_heading", F.lit("")), F.lit(REGULATION_HEADING)) | F.rlike(F.left(F.coalesce("text", F.lit("")), F.lit(400)), F.lit(REGULATION_TEXT))
+    rule = F.rlike(F.coalesce("section_heading", F.lit("")), F.lit(REGULATION_HEADING)) | F.col("_rule")
     one = c.where(~kept & rule).select("chunk_id")
-    rest = c.join(one, "chunk_id", "left_anti")
+    rest = c.join(one, "chunk_id", "left_anti")  # each rule reads the cut table anew, of which only short columns are left
     two = newest_year_only(rest.where(prose), "section_heading", year_of(F.col("source_url")))
     rest = rest.join(two, "chunk_id", "left_anti")
     three = floods(rest)

@@ -853,20 +853,27 @@ def event_hour_windows(spark, sf):
 @query()
 def streaming_stage_state(spark, sf):
     """The stage log read as a stream and folded; its end state is that of the batch fold."""
-    from .streaming.ingest import stage_state
+    from .streaming.ingest import folded, stage_state
 
     path = f"{sf}/stage_events.parquet"
     schema = spark.read.parquet(path).schema
     import os
+    import tempfile
     import uuid
 
     folder, pattern = os.path.split(path)
     r = spark.readStream.schema(schema)
     s = (r.parquet(path) if os.path.isdir(path) else r.option("pathGlobFilter", pattern).parquet(folder))
-    name = f"stage_state_{uuid.uuid4().hex}"
-    q = stage_state(s).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    # the state goes to a table of the shared folder, update by update, and not to the driver
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarvos-")
+    at = f"{at.rstrip('/')}/stage_state-{uuid.uuid4().hex}"
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{at}/v{epoch}")
+
+    q = stage_state(s).writeStream.outputMode("update").option("checkpointLocation", f"{at}/log").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return folded(spark, at, ["url", "stage"], "last_seq")
 
 
 SQL["streaming_stage_state"] = "select url, stage, arg_max(status, (seq, ts, status)) as status, max(seq) as last_seq from stage_events group by url, stage"
@@ -876,3 +883,6 @@ SQL["streaming_stage_state"] = "select url, stage, arg_max(status, (seq, ts, sta
 def run_pipeline(spark, sf):
     t = Tables(spark, sf)
     return pipeline.run_pipeline(t.documents, t.eval_items.select(F.col("id").alias("query_id"), F.col("question").alias("query")))
+
+
+from . import queries_documents  # noqa: E402, F401  the second part adds to the same registry

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,24 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("document_type").parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir). A local one is set only where it is unset and all tasks run on this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tarvos-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """``df`` written as a table of the shared folder and read back, for a plan that is used several times; it outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in the order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

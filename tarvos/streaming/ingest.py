@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,24 +29,64 @@ def event_windows(events: DataFrame, delay: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], version: str, checkpoint: str) -> StreamingQuery:
-    """Idempotent upsert of each micro-batch in a table: the batch id makes the version folder, a pointer file names the current one, so a
-    batch run twice writes the same state."""
+def without_known_content(stream: DataFrame, known: DataFrame, content: str = "content_hash") -> DataFrame:
+    """Stream rows whose content no row of the table ``known`` has; rows without a hash pass."""
+    k = known.select(F.col(content).alias("_k")).where("_k is not null").distinct()
+    return stream.join(k, F.col(content) == F.col("_k"), "left").where("_k is null").drop("_k")
+
+
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], version: str, checkpoint: str, after: Callable[[SparkSession, int], None] | None = None) -> StreamingQuery:
+    """Idempotent upsert: each micro-batch writes the latest of its rows in a folder named by its id, so a batch run twice writes the same
+    folder again and no batch writes the table anew. ``folded`` reads the table, ``compact`` shortens the log; ``after`` runs when a batch
+    is written, as the retirement of superseded rows does."""
     from ..sources.io import latest
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        prev = [r.path for r in spark.read.format("binaryFile").load(f"{target}/v*/_SUCCESS").select("path").collect()] if _exists(spark, target) else []
-        versions = sorted(int(p.split("/v")[-1].split("/")[0]) for p in prev)
-        old = [v for v in versions if v < epoch]
-        both = batch if not old else spark.read.schema(batch.schema).parquet(f"{target}/v{old[-1]}").unionByName(batch)
-        latest(both, keys, [F.desc_nulls_last(version)]).write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        latest(batch, keys, [F.desc_nulls_last(version)]).write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        if after is not None:
+            after(batch.sparkSession, epoch)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Ids of the batches that are wholly written, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.getPath().getName().startswith("v") for s in fs.listStatus(p))
+    if not fs.exists(p):
+        return []
+    done = lambda s: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(p) if s.getPath().getName()[:1] == "v" and done(s))
+
+
+def folded(spark: SparkSession, target: str, keys: list[str], version: str) -> DataFrame:
+    """The upserted table: the latest version of each key over all batches; at equal versions the later batch wins."""
+    from functools import reduce
+
+    from ..sources.io import latest
+
+    parts = [spark.read.parquet(f"{target}/v{v}").withColumn("_batch", F.lit(v)) for v in versions(spark, target)]
+    if not parts:
+        raise ValueError(f"no batch in {target}")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return latest(every, keys, [F.desc_nulls_last(version), F.desc("_batch")]).drop("_batch")
+
+
+def compact(spark: SparkSession, target: str, keys: list[str], version: str) -> None:
+    """All batches but the last become one: the fold is written beside them, then put in the place of the newest of them. A reader sees the
+    same table before and after; run twice it changes nothing."""
+    old = versions(spark, target)[:-1]
+    if len(old) < 2:
+        return
+    from functools import reduce
+
+    from ..sources.io import latest
+
+    path = lambda v: spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{v}")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(f"{target}/v{v}").withColumn("_batch", F.lit(v)) for v in old])
+    latest(every, keys, [F.desc_nulls_last(version), F.desc("_batch")]).drop("_batch").write.mode("overwrite").parquet(f"{target}/compacted")
+    fs = path("compacted").getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(f"v{old[-1]}"), True)
+    fs.rename(path("compacted"), path(f"v{old[-1]}"))
+    for v in old[:-1]:
+        fs.delete(path(f"v{v}"), True)

@@ -452,3 +452,63 @@ def test_claimed_tables(spark):
     t = spark.createDataFrame([("u", 1, "t1"), ("u", 2, "t2")], "url string, page int, tab string")
     taken, left = classify.claim_tables(s, t, ["url", "page"], "section")
     assert [(r.tab, r.section) for r in taken.collect()] == [("t1", "s1")] and [r.tab for r in left.collect()] == ["t2"]
+
+
+def test_stream_table_folds_and_compacts(spark, tmp_path):
+    from tarvos.streaming import ingest
+
+    dst, ran = str(tmp_path / "out"), []
+    for n, rows in enumerate(([("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")], [("a", 1, "old"), ("c", 1, "w")], [("b", 1, "again")])):
+        src = tmp_path / f"in{n}"
+        src.mkdir()
+        spark.createDataFrame(rows, "k string, v int, x string").coalesce(1).write.mode("overwrite").parquet(str(src))
+        batch = spark.read.parquet(str(src))
+        io.latest(batch, ["k"], [F.desc("v")]).write.mode("overwrite").parquet(f"{dst}/v{n}")
+    want = {("a", 2, "z"), ("b", 1, "again"), ("c", 1, "w")}
+    assert {tuple(r) for r in ingest.folded(spark, dst, ["k"], "v").collect()} == want
+    for _ in range(2):
+        ingest.compact(spark, dst, ["k"], "v")
+        assert ingest.versions(spark, dst) == [2, 3] and {tuple(r) for r in ingest.folded(spark, dst, ["k"], "v").collect()} == want
+    stream = spark.readStream.schema("k string, v int, x string").parquet(str(tmp_path / "in0"))
+    known = spark.createDataFrame([("x",), (None,)], "x string")
+    q = ingest.upsert_stream(ingest.without_known_content(stream, known, "x"), str(tmp_path / "o2"), ["k"], "v", str(tmp_path / "cp"), after=lambda s, e: ran.append(e))
+    q.awaitTermination()
+    assert [tuple(r) for r in ingest.folded(spark, str(tmp_path / "o2"), ["k"], "v").collect()] == [("b", 1, "y")] and ran == [0]
+
+
+def test_index_of_saved_pages(spark):
+    from tarvos.plans import pipeline
+
+    docs = spark.createDataFrame([(1, "https://s.example/ordinance/2020.html", "Rules", "ordinance"), (2, "https://s.example/Departments/CS/faculty.php", "Staff", "dept_faculty"), (3, "https://s.example/a", None, "notice")], "doc_id int, url string, title string, document_type string")
+    docs = docs.withColumn("date_published", F.lit(None).cast("string")).withColumn("date_scraped", F.lit("2024-01-01")).withColumn("source_format", F.lit("html"))
+    long = "Students of the hall return all the forms to the office in time for the next term. " * 3
+    staff = "<table><tr><td>Professor</td></tr><tr><td>Dr A</td><td>Designation: Lecturer Qualification: Ph.D. from a university far away Specialization: Networks</td></tr></table>"
+    pages = spark.createDataFrame([(1, "https://s.example/ordinance/2020.html", f"<h2>Hall</h2><p>{long}"), (2, "https://s.example/Departments/CS/faculty.php", staff), (3, "https://s.example/a", f"<h1>Notice</h1><p>{long}<table><tr><th>K<th>V<tr><td>a<td>b</table>")], "doc_id int, url string, html string")
+    once = pipeline.index_html(pages, docs)
+    rows = {(r.document_type, r.block_type) for r in once.collect()}
+    assert rows == {("dept_faculty", "prose"), ("notice", "prose"), ("notice", "table")}  # ordinance prose is retired
+    again = pipeline.index(once, once)
+    assert sorted(r.chunk_id for r in again.collect()) == sorted(r.chunk_id for r in once.collect())
+    assert "Department: CS" in once.where("document_type = 'dept_faculty'").first().text
+    assert {r.batch_year for r in pipeline.backfill_year(once).collect()} == {0}
+
+
+def test_parsed_pages_and_scans(spark):
+    from tarvos.plans import pipeline
+
+    body = "Attendance of the hostel residents and of the warden is taken and all the students shall be there"
+    page1 = "\n".join(["Hostel Attendance", *[f"{i} {body}" for i in range(9)]])
+    pages = spark.createDataFrame([("d", 1, page1), ("d", 2, page1), ("d", 3, "x"), ("d", 4, "hostel warden " * 9)], "doc_id string, page int, text string")
+    cells = [("d", p, t, r, c, x) for p, t in ((1, 0), (3, 0), (4, 1)) for r, row in enumerate([["Code", "Name"], ["C1", "three words"]]) for c, x in enumerate(row)]
+    tables = spark.createDataFrame(cells, "doc_id string, page int, tab int, row int, col int, cell string")
+    got = pipeline.parse_pages(pages, tables).orderBy("pos").collect()
+    assert [(r.kind, r.page) for r in got] == [("heading", 1), ("paragraph", 1), ("table", 1), ("table", 4)]  # page 2 repeats, page 3 is empty, page 4 is thin
+    assert got[0].text == "Hostel Attendance" and got[2].rows == [["C1", "three words"]]
+    s = pipeline.parse_scans(spark.createDataFrame([("d", 1, "HOSTEL RULES\nthe warden of the hostel\nsees all the mess rules and the residents of it"), ("d", 2, "short")], "doc_id string, page int, text string"))
+    assert [(r.kind, r.text) for r in s.orderBy("pos").collect()] == [("heading", "HOSTEL RULES"), ("paragraph", "the warden of the hostel sees all the mess rules and the residents of it")]
+
+
+def test_plain_text_tables(spark):
+    doc = ["a | b | c", "x", "k    v", "a    1", "b    2", "one    two", "", "p | q | r", "s | t | u"]
+    d = spark.createDataFrame([("d", i, x) for i, x in enumerate(doc)], "doc_id string, pos int, line string")
+    assert {(r.kind, r.first_pos, r.n_lines) for r in lines.text_tables(d).collect()} == {("pipe", 0, 1), ("aligned", 2, 4), ("pipe", 7, 2)}
