@@ -198,3 +198,39 @@ def curated_records(files: DataFrame, name: str = "name", md: str = "md", defaul
         "document_title", F.col("s.heading").alias("section_heading"), F.lit("curated_stats").alias("document_type"), "chunk_index", token_estimate(text).alias("token_count"),
         F.lit("table").alias("block_type"), F.lit(0).alias("page_number"), F.coalesce(F.nullif(year, F.lit("")), F.lit("0")).cast("int").alias("batch_year"),
     )
+
+
+def chunk_sections(sections: DataFrame, docs: DataFrame, budget: int = 600, least: int = 100, table_budget: int = 400, rows_per_chunk: int = 6, id_col: str = "doc_id", count=estimate) -> DataFrame:
+    """The older chunker of text sections ``(doc_id, section_no, heading, page, body)``: a section within the budget is one chunk; of a larger
+    one the tables in its lines are set apart, whole up to ``table_budget`` and else in groups of ``rows_per_chunk`` rows under their first line,
+    and the text between them is one chunk or sentences packed with overlaps. Every text begins with 'Section: heading'. Repeats within a
+    document are dropped, then ids ``auto_n`` run over the document and indexes over its section and page."""
+    from .lines import text_tables
+
+    s = sections.withColumn("_k", F.struct(id_col, "section_no"))
+    big = s.where(count(F.col("body")) > budget)
+    l = big.select("_k", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    t = text_tables(l, "_k").select("_k", F.explode(F.sequence("first_pos", F.col("first_pos") + F.col("n_lines").cast("int") - 1)).alias("pos"), F.col("first_pos").alias("_tab"))
+    l = l.join(t, ["_k", "pos"], "left").withColumn("_t", F.coalesce("_tab", F.lit(-1)))
+    w = Window.partitionBy("_k").orderBy("pos")
+    l = l.withColumn("_cut", F.coalesce((F.lag("_t").over(w) != F.col("_t")).cast("int"), F.lit(0))).withColumn("part", F.sum("_cut").over(w))
+    lines_ = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    g = l.groupBy("_k", "part").agg(F.max("_tab").isNotNull().alias("is_table"), lines_.alias("ls"))
+    blob, head = F.array_join("ls", "\n"), F.element_at("ls", 1)
+    data = F.when(F.size("ls") > 1, F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(1)))).otherwise(F.col("ls"))
+    groups = let(data, lambda d: F.transform(F.sequence(F.lit(0), F.floor((F.size(d) - 1) / rows_per_chunk).cast("int")), lambda i: F.concat(F.lit("[Headers: "), head, F.lit("]\n"), F.array_join(F.slice(d, i * rows_per_chunk + 1, rows_per_chunk), "\n"))))
+    pieces = F.when(F.col("is_table") & (count(blob) <= table_budget), F.array(blob)).when(F.col("is_table"), groups).otherwise(pack_prose(blob, budget, least, count))
+    split = g.select("_k", "part", F.posexplode(pieces).alias("piece", "content"))
+    whole = s.where(count(F.col("body")) <= budget).select("_k", F.lit(0).cast("bigint").alias("part"), F.lit(0).alias("piece"), F.col("body").alias("content"))
+    c = whole.unionByName(split).join(s.select("_k", "heading", "page"), "_k").select(f"_k.{id_col}", "_k.section_no", "part", "piece", "heading", "page", F.concat(F.lit("Section: "), "heading", F.lit("\n\n"), "content").alias("text"))
+    order = ("section_no", "part", "piece")
+    c = c.withColumn("_rn", F.row_number().over(Window.partitionBy(id_col, "text").orderBy(*order))).where("_rn = 1").drop("_rn")
+    c = c.withColumn("chunk_id", F.format_string("auto_%03d", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)) - 1))
+    c = c.withColumn("chunk_index", F.row_number().over(Window.partitionBy(id_col, "heading", "page").orderBy(*order)) - 1)
+    return c.join(docs, id_col).select(id_col, "chunk_id", "chunk_index", F.col("heading").alias("section_heading"), F.col("page").alias("page_number"), count(F.col("text")).cast("bigint").alias("token_count"), "text")
+
+
+def chunk_statistics(chunks: DataFrame) -> DataFrame:
+    """Chunks, mean, least and most tokens, and how many are above 600 or below 100."""
+    t = F.col("token_count")
+    return chunks.agg(F.count("*").alias("n"), F.floor(F.sum(t) / F.count(t)).cast("bigint").alias("mean_tokens"), F.min(t).alias("least_tokens"), F.max(t).alias("most_tokens"), F.count_if(t > 600).alias("over"), F.count_if(t < 100).alias("under"))

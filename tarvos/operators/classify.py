@@ -90,6 +90,23 @@ def line_fonts(chars: DataFrame, keys: list[str], top: str = "top", size: str =
     return chars.groupBy(*keys, line).agg(F.avg(size).alias("font"), F.array_join(F.transform(glyphs, lambda g: g["t"]), "").alias("line"))
 
 
+def visible_glyphs(chars: DataFrame, x: str = "x", top: str = "top", width: str = "page_width", height: str = "page_height", upright: str = "upright") -> DataFrame:
+    """Glyphs inside their page's box that stand upright; where the flag is missing they count as upright."""
+    inside = F.col(x).between(0, F.col(width)) & F.col(top).between(0, F.col(height))
+    return chars.where(inside & F.coalesce(F.col(upright), F.lit(True)))
+
+
+def syllabus_tables(pages: DataFrame, tables: DataFrame, doc: str = "doc_id", widest: int = 15, least: int = 80) -> DataFrame:
+    """``doc, page, tab, heading`` of the teaching schemes: tables of up to ``widest`` columns in their first row on syllabus pages that name
+    lectures, tutorials and practicals, a repeated page once, with the page's first line as heading."""
+    scheme = r"\bL\s*/?\s*T\s*/?\s*P\b"
+    g = page_gates(pages, doc, least=least, unwanted=())
+    g = g.where(F.col("kept") & (F.col("page_class") == "syllabus") & F.rlike("text", F.lit(scheme)))
+    first = F.element_at(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != ""), 1)
+    narrow = tables.where("row = 0").groupBy(doc, "page", "tab").agg(F.count("*").alias("_n")).where(F.col("_n") <= widest).drop("_n")
+    return narrow.join(g.select(doc, "page", first.alias("heading")), [doc, "page"])
+
+
 def claim_tables(sections: DataFrame, tables: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(claimed, left over): the first section of a page takes the page's tables."""
     first = sections.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_rn = 1").drop("_rn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,31 @@ def content_length(c: Column) -> Column:
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+
+
+@dataclass(frozen=True)
+class FetchConfig:
+    """Settings of fetches, refused as they are made if they make no sense."""
+
+    concurrency: int = 4
+    max_retries: int = 3
+    base_delay: float = 1.0
+    max_delay: float = 60.0
+    timeout: float = 30.0
+    min_bytes: int = 512
+
+    def __post_init__(self):
+        for name, least in (("concurrency", 1), ("max_retries", 0), ("base_delay", 0), ("timeout", 0.001), ("min_bytes", 0)):
+            if getattr(self, name) < least:
+                raise ValueError(f"{name} must be at least {least}")
+        if self.max_delay < self.base_delay:
+            raise ValueError("max_delay must not be below base_delay")
+
+
+def log_line(level: Column, message: Column, **fields: Column) -> Column:
+    """A log entry as one JSON object; fields without a value are left out."""
+    return F.to_json(F.struct(level.alias("level"), message.alias("message"), *[c.alias(n) for n, c in fields.items()]))
+
+
+def log_level(result: Column) -> Column:
+    return F.when(result == "ok", "info").when(result.isin("retry", "redirect"), "warning").otherwise("error")

@@ -170,3 +170,14 @@ def guard_ratio(answers: DataFrame, no_answer: Column) -> DataFrame:
     """``n, passed, ratio``: how many of the questions without an answer ``(answerable, answer)`` were turned down."""
     x = answers.where(~F.col("answerable"))
     return x.agg(F.count("*").alias("n"), F.count_if(no_answer).alias("passed")).withColumn("ratio", F.when(F.col("n") > 0, F.round(F.col("passed") / F.col("n"), 6)))
+
+
+def curated_routing(questions: DataFrame, rules: DataFrame, texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Contexts ``(query_id, context)`` with the curated texts ``(name, text)`` of every rule ``(name, pattern)`` that a question matches, in order
+    of name, before them. Rules and curated texts are hand-written tables: more than 10,000 rules are refused."""
+    if rules.limit(10_001).count() > 10_000:
+        raise ValueError("rule tables hold at most 10,000 rules")
+    hit = questions.join(F.broadcast(rules), F.rlike(F.lower("query"), F.col("pattern"))).select("query_id", "name").distinct().join(texts, "name")
+    own = hit.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "\n\n").alias("_own"))
+    x = contexts.join(own, "query_id", "left")
+    return x.select("query_id", F.when(F.col("_own").isNull(), F.col("context")).otherwise(F.concat_ws("\n\n", "_own", "context")).alias("context"))

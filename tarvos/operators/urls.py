@@ -115,3 +115,20 @@ def resolve(base: str, href: str) -> str | None:
         return urljoin(base or "", re.sub(r"\s+", "", href or ""))
     except ValueError:
         return None
+
+
+# What reads the pages of a category; any other page is read for its links alone.
+ROUTES = {"ordinance_html": "pdf_index", "scholarship_pdf": "pdf_index", "notice_html": "notice_index", "dept_pdf": "department", "hostel_html": "hostel", "tnp_html": "placement", "admissions_html": "admissions", "exam_pdf": "exam_portal"}
+
+
+def route(category: Column, is_file: Column, routes: dict[str, str] = ROUTES, default: str = "generic") -> Column:
+    """The reader of an address: files are only registered, pages go by their category."""
+    table = F.create_map(*[F.lit(x) for kv in routes.items() for x in kv])
+    return F.when(is_file, F.lit("register")).otherwise(F.coalesce(F.try_element_at(table, F.coalesce(category, F.lit(""))), F.lit(default)))
+
+
+def crawl_record(pages: DataFrame, doctypes: dict[str, str]) -> DataFrame:
+    """Crawl records of fetched addresses: the class of the address, its document type, the body's key for pages."""
+    kind = F.create_map(*[F.lit(x) for kv in doctypes.items() for x in kv])
+    found = classify(F.col("url"))
+    return pages.select("url", found.alias("category"), F.coalesce(F.try_element_at(kind, found), F.lit("unknown")).alias("doc_type"), "http_status", F.when(~is_pdf(F.col("url")), F.concat(url_hash(F.col("url")), F.lit(".html"))).alias("html_body_path"), route(found, is_pdf(F.col("url"))).alias("reader"))

@@ -113,3 +113,28 @@ def parse_pages(pages: DataFrame, tables: DataFrame, id_col: str = "doc_id") ->
     rn = F.row_number().over(Window.partitionBy(id_col).orderBy("pos", F.col("tab").asc_nulls_first()))
     none = F.lit(None)
     return out.withColumn("pos", rn).drop("tab").select("*", none.cast("array<string>").alias("items"), none.cast("boolean").alias("ordered"), none.cast("string").alias("caption"))
+
+
+def embed(chunks: DataFrame, encode, key: str = "chunk_id", text: str = "text", batch: int = 100) -> DataFrame:
+    """``chunk_id, point_id, embedding, error``: vectors of an injected ``encode(list of texts) -> list of vectors``, called with up to ``batch``
+    texts. A call that fails leaves its rows without a vector and with the message, so that a run can be taken up again by them."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..functions.text import point_id
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), batch):
+                part = pdf.iloc[lo : lo + batch]
+                try:
+                    vectors, error = [list(map(float, v)) for v in encode(part["t"].fillna("").tolist())], None
+                    if len(vectors) != len(part):
+                        raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                except Exception as e:  # noqa: BLE001  whatever the service raises is the row's error
+                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"[:500]
+                yield pd.DataFrame({"k": part["k"], "v": pd.Series(vectors, index=part.index, dtype=object), "e": error})
+
+    out = chunks.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, "k string, v array<double>, e string")
+    return out.select(F.col("k").alias(key), point_id(F.col("k")).alias("point_id"), F.col("v").alias("embedding"), F.col("e").alias("error"))

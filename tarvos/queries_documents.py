@@ -324,3 +324,35 @@ def text_tables(spark, sf):
     p = Tables(spark, sf).html_corpus.select("chunk_id", "text").distinct()
     l = lines.explode_lines(p, "chunk_id").select("chunk_id", F.col("pos").cast("bigint").alias("pos"), "line").distinct()
     return lines.text_tables(l, "chunk_id")
+
+
+DOCTYPE = "case category when 'ordinance_pdf' then 'ordinance' when 'notice_pdf' then 'notice' when 'hostel_html' then 'hostel' else 'unknown' end"
+READER = "case when regexp_matches(url, '(?i)\\.pdf(\\?.*)?$') then 'register' else case category when 'ordinance_html' then 'pdf_index' when 'scholarship_pdf' then 'pdf_index' when 'notice_html' then 'notice_index' when 'dept_pdf' then 'department' when 'hostel_html' then 'hostel' when 'tnp_html' then 'placement' when 'admissions_html' then 'admissions' when 'exam_pdf' then 'exam_portal' else 'generic' end end"
+
+
+@query(f"select url, category, {DOCTYPE} as doc_type, http_status, case when not regexp_matches(url, '(?i)\\.pdf(\\?.*)?$') then sha256(url) || '.html' end as html_body_path, {READER} as reader, count(*) as n from (select url, http_status, {FOUND} as category from crawl_records where url is not null) group by all")
+def crawl_records(spark, sf):
+    c = Tables(spark, sf).crawl_records.where("url is not null").select("url", "http_status")
+    r = urls.crawl_record(c, {"ordinance_pdf": "ordinance", "notice_pdf": "notice", "hostel_html": "hostel"})
+    return r.groupBy(*r.columns).agg(F.count("*").alias("n"))
+
+
+@query("select log, count(*) as n from (select '{\"level\":\"' || case when http_status is null then 'error' when http_status in (429, 500, 502, 503, 504) then 'warning' when http_status >= 400 then 'error' when http_status >= 300 then 'warning' else 'info' end || '\",\"message\":\"fetched\"' || coalesce(',\"status\":' || http_status, '') || '}' as log from crawl_records) group by log")
+def http_log_lines(spark, sf):
+    c = Tables(spark, sf).crawl_records
+    level = http.log_level(http.outcome(F.col("http_status"), F.lit("text/html"), F.lit(9999)))
+    return c.groupBy(http.log_line(level, F.lit("fetched"), status=F.col("http_status")).alias("log")).agg(F.count("*").alias("n"))
+
+
+@query("select doc, round_even(top / 2, 0) * 2 as line_top, count(*) as n from (select o_custkey as doc, (o_orderkey % 97)::double as top, o_orderkey % 50 - 5 as x, case when o_orderkey % 7 = 0 then null else o_orderkey % 3 <> 0 end as upright from orders) where x between 0 and 40 and top between 0 and 90 and coalesce(upright, true) group by 1, 2")
+def pdf_visible_glyphs(spark, sf):
+    g = Tables(spark, sf).orders.select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") % 97).cast("double").alias("top"), (F.col("o_orderkey") % 50 - 5).alias("x"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 3 != 0).alias("upright"), F.lit(40).alias("page_width"), F.lit(90).alias("page_height"))
+    return classify.visible_glyphs(g).groupBy("doc", (F.bround(F.col("top") / 2) * 2).alias("line_top")).agg(F.count("*").alias("n"))
+
+
+@query("with h as (select distinct e.id, r.name from eval_items e join (values ('fees', 'fee|fine'), ('hostel', 'hostel|hall|room')) r(name, pattern) on regexp_matches(lower(e.question), r.pattern)) select e.id as query_id, concat_ws(chr(10) || chr(10), (select string_agg('about ' || h.name, chr(10) || chr(10) order by h.name) from h where h.id = e.id), 'context of ' || e.id) as context from eval_items e")
+def curated_routing(spark, sf):
+    e = Tables(spark, sf).eval_items
+    rules = spark.createDataFrame([("fees", "fee|fine"), ("hostel", "hostel|hall|room")], "name string, pattern string")
+    texts = rules.select("name", F.concat(F.lit("about "), "name").alias("text"))
+    return retrieval.curated_routing(e.select(F.col("id").alias("query_id"), F.col("question").alias("query")), rules, texts, e.select(F.col("id").alias("query_id"), F.concat(F.lit("context of "), "id").alias("context")))

@@ -512,3 +512,49 @@ def test_plain_text_tables(spark):
     doc = ["a | b | c", "x", "k    v", "a    1", "b    2", "one    two", "", "p | q | r", "s | t | u"]
     d = spark.createDataFrame([("d", i, x) for i, x in enumerate(doc)], "doc_id string, pos int, line string")
     assert {(r.kind, r.first_pos, r.n_lines) for r in lines.text_tables(d).collect()} == {("pipe", 0, 1), ("aligned", 2, 4), ("pipe", 7, 2)}
+
+
+def test_embedding_hook_keeps_errors(spark):
+    from tarvos.plans import pipeline
+
+    def encode(texts):
+        if "bad" in texts:
+            raise RuntimeError("service down")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    d = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "bad"), ("d", "y")], "chunk_id string, text string").coalesce(1)
+    got = {r.chunk_id: (r.embedding, r.error, r.point_id) for r in pipeline.embed(d, encode, batch=2).collect()}
+    assert got["a"][:2] == ([2.0, 1.0], None) and got["b"][0] == [0.0, 1.0] and got["c"][0] is None and got["d"][1] == "RuntimeError: service down"
+    assert got["a"][2] == str(uuid.uuid5(uuid.NAMESPACE_URL, "a"))
+
+
+def test_fetch_settings_are_checked():
+    import pytest
+
+    assert http.FetchConfig().concurrency == 4
+    for bad in ({"concurrency": 0}, {"max_retries": -1}, {"base_delay": 5.0, "max_delay": 1.0}, {"timeout": 0}):
+        with pytest.raises(ValueError):
+            http.FetchConfig(**bad)
+
+
+def test_syllabus_tables(spark):
+    from tarvos.operators import classify
+
+    text = "Teaching Scheme\n1. CS-101 Networks L T P\nCredit Hours 4\n2. MA-102 Algebra\n3. PH-103 Optics and the rest of the page" + " x" * 30
+    pages = spark.createDataFrame([("d", 1, text), ("d", 2, text), ("d", 3, "nothing of the kind on this page, which is long enough to be looked at all the same" * 2)], "doc_id string, page int, text string")
+    cells = [("d", p, t, 0, c, "x") for p, t, n in ((1, 0, 3), (1, 1, 16), (2, 2, 3), (3, 3, 3)) for c in range(n)]
+    got = classify.syllabus_tables(pages, spark.createDataFrame(cells, "doc_id string, page int, tab int, row int, col int, cell string")).collect()
+    assert [(r.page, r.tab, r.heading) for r in got] == [(1, 0, "Teaching Scheme")]
+
+
+def test_older_section_chunker(spark):
+    prose = "A sentence of the rules that stands here. " * 80
+    table = "\n".join(["Code | Name | Fee"] + [f"C{i} | {'word ' * 30}| {i}" for i in range(14)])
+    body = f"{prose}\n{table}\nafter the table"
+    s = spark.createDataFrame([("d", 0, "Small", 1, "few words"), ("d", 1, "Big", 2, body), ("d", 2, "Small", 1, "few words")], "doc_id string, section_no int, heading string, page int, body string")
+    got = chunking.chunk_sections(s, spark.createDataFrame([("d",)], "doc_id string")).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == [f"auto_{i:03}" for i in range(len(got))] and got[0].text == "Section: Small\n\nfew words"
+    groups = [r.text for r in got if "[Headers: " in r.text]
+    assert len(groups) == 3 and all(t.startswith("Section: Big\n\n[Headers: Code | Name | Fee]\nC") for t in groups) and [t.count("| ") - 2 for t in groups] == [12, 12, 4]
+    assert got[-1].text.endswith("after the table") and [r.chunk_index for r in got if r.section_heading == "Big"] == list(range(len(got) - 1))
+    assert chunking.chunk_statistics(spark.createDataFrame([(50,), (700,), (150,)], "token_count bigint")).first().asDict() == {"n": 3, "mean_tokens": 300, "least_tokens": 50, "most_tokens": 700, "over": 1, "under": 1}
