@@ -38,39 +38,42 @@ def shingle_set(title: str | None, text: str | None, n: int = 3) -> set[tuple[st
     return set(zip(*(w[i:] for i in range(n))))
 
 
+class Hashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, w: str) -> int:
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
 class Signer:
     """Signatures of whole batches: all shingles of a batch lie in one array, minima and maxima come from ``reduceat``."""
 
     def __init__(self, shingle: int, bands: int, rows: int, sketch: int = 0, seed: int = 7):
-        self.n, self.bands, self.rows, self.seen = shingle, bands, rows, {}
+        self.n, self.bands, self.rows, self.seen = shingle, bands, rows, Hashes()
         self.values = max(bands * rows, sketch)
         rng = np.random.default_rng(seed)
         k = (self.values + 1) // 2
         self.a = rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, k, dtype=np.uint64)
 
-    def word_hashes(self, w: list[str]) -> list[int]:
-        seen, out = self.seen, []
-        for x in w:
-            h = seen.get(x)
-            if h is None:
-                if len(seen) > 500_000:
-                    seen.clear()
-                h = seen[x] = xxhash.xxh3_64_intdigest(x)
-            out.append(h)
-        return out
+    def word_hashes(self, w: list[str]) -> np.ndarray:
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        return np.fromiter(map(self.seen.__getitem__, w), np.uint64, len(w))
 
     def shingles(self, w: list[str]) -> np.ndarray:
         """Sorted 64-bit values of the distinct shingles of a list of words."""
         n = self.n
         if len(w) < n:
             return np.empty(0, np.uint64)
-        h = np.array(self.word_hashes(w), dtype=np.uint64)
+        h = self.word_hashes(w)
         s = h[: len(h) - n + 1].copy()
         with np.errstate(over="ignore"):
             for j in range(1, n):
                 s = s * np.uint64(0x100000001B3) ^ h[j : len(h) - n + 1 + j]
-        return np.unique(s)
+        s.sort()  # the values that differ from the one before
+        return s[np.append(True, s[1:] != s[:-1])]
 
     def __call__(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which docs have shingles, a fingerprint of each one's shingle set, and its signature (docs x values)."""

@@ -98,7 +98,8 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from .mixing import TOKENIZER_DIR, mix
 
-    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+    folder = spark.conf.get("tarvos.tokenizers", TOKENIZER_DIR)
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"), f"{folder}/byte_bpe_50k.tiktoken")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +135,20 @@ r(x, y) as (select distinct chunk_id, chunk_id from chunks where chunk_id is not
 l as (select e.a, count(distinct y.k) as n_links from e join n x on x.chunk_id = e.a join n y on y.chunk_id = e.b where x.k <> y.k group by 1)
 select x as id, min(y) as class_id, count(*) as class_size, coalesce(any_value(n_links), 0) as n_links from r left join l on l.a = r.x group by x""".replace("\n", " ")
 
+# The common words, written out for the other engine.
+COMMON = (
+    "a an the and or but if of to in on at by for from with without under over after before during until while as is are was were be been has have had "
+    "will shall should may might must can could not no any all each every this that these those which who whom whose when where it its their his her they "
+    "he she we you i so than then once only also such per into about between up out off "
+    "के का की को में से पर ने है हैं हो होने और या तक लिए बाद साथ द्वारा अनुसार यह वह एक इस उस कर करें करेंगे सकते जाएगा नहीं भी ही पहले भीतर दौरान"
+)
+STATISTICS = r"""with t as (select chunk_id, coalesce(text, '') as t from html_corpus), w as (select chunk_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') as l, length(regexp_replace(t, '\s+', '', 'g')) as c from t)
+select chunk_id, len(w)::bigint as n_words, len(l)::bigint as n_lines, round(case when len(w) > 0 then c::double / len(w) else 0 end, 6) as mean_word_length, round(case when c > 0 then length(regexp_replace(t, '[\p{L}\p{M}\p{N}\s]+', '', 'g'))::double / c else 0 end, 6) as symbol_ratio,
+round(case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?।॥。！？]\s*$')))::double / len(l) else 0 end, 6) as ends_in_punctuation, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(string_split('COMMON', ' '), lower(regexp_replace(x, '[^\p{L}\p{M}]', '', 'g')))))::double / len(w) else 0 end, 6) as common_share from w""".replace("\n", " ").replace("COMMON", COMMON)
+
 SQL: dict[str, str] = {
     "p1_groups": CLASSES,
+    "p4_statistics": STATISTICS,
     "p1_found": f"with s as materialized ({SHINGLES}), n as (select chunk_id, count(*) as n from s group by 1), c as (select a.chunk_id as a, b.chunk_id as b, count(*) as k from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2) select a as chunk_id_a, b as chunk_id_b from c join n x on x.chunk_id = a join n y on y.chunk_id = b where k >= 0.5 * (x.n + y.n - k)",
     "p2_found": f"with l as (select chunk_id, source_url, {SITE} as site, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from html_corpus where text is not null), w as (select *, {WORDING} as w from l where site <> ''), p as (select site, count(distinct source_url) as pages from (select {SITE} as site, source_url from html_corpus) where site <> '' group by 1), d as (select site, w, count(distinct source_url) as n from w where length(w) >= 3 group by 1, 2) select distinct chunk_id, line_no::int as line_no from w join d using (site, w) join p using (site) where d.n >= 3 and d.n >= 0.05 * p.pages",
     "p6_found": "with i as (select distinct id as item_id, unnest(" + RUNS + ") as g from (select id, " + ITEM_WORDS.format("passage") + " as w from eval_items union all select id, " + ITEM_WORDS.format("question") + " from eval_items) where len(w) >= 12), d as (select distinct doc_id, unnest(" + RUNS + ") as g from (select doc_id, " + ITEM_WORDS.format("text") + " as w from documents) where len(w) >= 12) select distinct doc_id, item_id from d join i using (g)",
