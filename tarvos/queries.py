@@ -208,6 +208,8 @@ def note_truncate(spark, sf):
 
 # ---- lines, sections, cleaning
 
+SQUASHED_OF = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{0085}}\x{{1680}}]+', ' ', 'g'))"
+
 REGULATION = r"(?i)^R\.\s*\d+\s*(\([A-Za-z]\))?\s*\.\s*\d+"
 REFUSED = [
     r"[=∑σ≥≤±×÷→←∫∝∂]", r"[.…]{3,}", r"[-–—]{4,}", r"[.,:;)]$", r"^\d+\.?\d*\s*$", r"^\(", r"^\p{Ll}", r"(?i)^(note|provided|table|figure)", r"(?i)^([a-d]\)|(i|ii|iii|iv|v|vi|vii|viii|ix|x|xx|xxx)\))",
@@ -298,7 +300,14 @@ def clean_trivial_filter(spark, sf):
     return p.where(~cleaning.trivial()).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 
-@query()
+# the normal form of the characters that the tables hold: full width, Thai am, ligature, ellipsis, fixed blank
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace(chr(39), 2 * chr(39))
+FORM = f"nfc_normalize(replace(replace(translate(text, '{WIDE}', '{NARROW}'), chr(3635), chr(3661) || chr(3634)), chr(64257), 'fi'))"
+MAPPED = f"regexp_replace(replace(translate({FORM}, '‘’‚‛“”„‟•●◦', repeat(chr(39), 4) || repeat(chr(34), 4) || '---'), '…', '...'), '[–—]', ' - ', 'g')"
+
+
+@query("select doc_id, sha256(" + SQUASHED_OF.format(r"regexp_replace(" + MAPPED + r", '[\x{ad}\x{200b}-\x{200d}\x{feff}]', '', 'g')") + ") as text_hash from documents")
 def clean_normalize_nfkc(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", F.sha2(tx.normalize(F.col("text")), 256).alias("text_hash"))
 

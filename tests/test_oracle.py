@@ -14,7 +14,6 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings manifest stage_events crawl_records chunks html_corpus quality_labels eval_items mix_targets".split()
 # What no SQL can say, and what its rows must be instead: a number of rows and a test on each.
 CHECKED = {
-    "clean_normalize_nfkc": (100, lambda r: len(r.text_hash) == 64),
     "html_blocks": (1_100, lambda r: r.kind in ("heading", "paragraph", "list") and (r.kind != "list" or r.list_items == "one|two")),
     "run_pipeline": (120, lambda r: r.context.startswith("[Chunk 1 | Section: ")),
 }
