@@ -127,7 +127,7 @@ def band_recall(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-MARK = -(2**63)  # fingerprint of the row that says a bucket is hot; it sorts before the bucket's members
+MARK = -(2**63)  # fingerprint of the row that says a bucket is hot
 
 
 def _sign(shingle: int, bands: int, rows: int, hot_limit: int):
@@ -206,17 +206,32 @@ def _agreeing(x: np.ndarray, y: np.ndarray | None, least: int, step: int = 512)
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Rows with each fingerprint once, without marks."""
+    rows = rows[rows[:, 0] != MARK]
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """(smaller, larger) fingerprints of the pairs a[..] and b[..] that differ and whose sketches agree."""
+    same = 128 - (np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[..., 2] ^ b[..., 2]).view(np.uint64)))
+    ok = (same >= least) & (a[..., 0] != b[..., 0])
+    return np.sort(np.stack([a[..., 0][ok], b[..., 0][ok]], 1), axis=1)
+
+
 def _bucket_pairs(cap: int, least: int):
-    """Pairs of each run of equal bucket hashes in a sorted stream whose sketches agree (kind 0: a, b); members of runs above the cap
-    (kind 1: bucket, fingerprint, sketch); rows with an id pass (kind 2: fingerprint, id)."""
+    """Pairs of each run of equal bucket hashes in a stream sorted by them whose sketches agree (kind 0: a, b); members of runs above the cap
+    or with a mark (kind 1: bucket, fingerprint, sketch); rows with an id pass (kind 2: fingerprint, id). Members of a run come in any order,
+    copies of one from several tasks among them."""
     none = {"s1": 0, "s2": 0, "id": None}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_h, held, size, hot, last = None, [], 0, False, None
+        held_h, held, size, hot = None, [], 0, False
 
         near: list[np.ndarray] = []
 
         def small(rows: np.ndarray) -> None:
+            rows = _once(rows)
             if len(rows) > 1:
                 near.append(_agreeing(rows, None, least))
 
@@ -226,8 +241,9 @@ def _bucket_pairs(cap: int, least: int):
             if len(p):
                 yield pd.DataFrame({"kind": 0, "a": p[:, 0], "b": p[:, 1], **none})
 
-        def large(h: int, rows: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"kind": 1, "a": h, "b": rows[:, 0], "s1": rows[:, 1], "s2": rows[:, 2], "id": None})
+        def large(h: int, rows: np.ndarray) -> Iterator[pd.DataFrame]:
+            if len(rows):
+                yield pd.DataFrame({"kind": 1, "a": h, "b": rows[:, 0], "s1": rows[:, 1], "s2": rows[:, 2], "id": None})
 
         for pdf in batches:
             named = pdf["id"].notna().to_numpy()
@@ -239,57 +255,46 @@ def _bucket_pairs(cap: int, least: int):
                     n = n[member]
                     yield pd.DataFrame({"kind": 1, "a": [int(x[1:]) for x in n["id"]], "b": n["fp"], "s1": n["s1"], "s2": n["s2"], "id": None})
             h, x = pdf["h"].to_numpy()[~named], pdf[["fp", "s1", "s2"]].to_numpy(np.int64)[~named]
-            if not len(h):
-                continue
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (x[1:, 0] != x[:-1, 0])
-            if last == (h[0], x[0, 0]):
-                fresh[0] = False
-            last = (h[-1], x[-1, 0])
-            h, x = h[fresh], x[fresh]
             if not len(h):
                 continue
             cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
             count = np.diff(cut)
+            marked = np.add.reduceat((x[:, 0] == MARK).astype(np.int64), cut[:-1]) > 0
             inner = np.arange(1, len(count) - 1)
-            hots = inner[x[cut[inner], 0] == MARK]
-            inner = inner[x[cut[inner], 0] != MARK]
+            hots = inner[marked[inner]]
+            inner = inner[~marked[inner]]
             two = cut[inner[count[inner] == 2]]
             if len(two):
-                a, b = x[two], x[two + 1]
-                same = 128 - (np.bitwise_count((a[:, 1] ^ b[:, 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[:, 2] ^ b[:, 2]).view(np.uint64)))
-                p = np.stack([a[:, 0], b[:, 0]], 1)[same >= least]
-                near.append(np.sort(p, axis=1))
+                near.append(_alike(x[two], x[two + 1], least))
             # runs of one length are compared together
             for n in np.unique(count[inner][(count[inner] > 2) & (count[inner] <= 32)]):
                 rows = x[cut[inner[count[inner] == n]][:, None] + np.arange(n)]
                 i, j = np.triu_indices(n, 1)
                 for lo in range(0, len(rows), 4096):
-                    a, b = rows[lo : lo + 4096, i], rows[lo : lo + 4096, j]
-                    same = 128 - (np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64)).astype(np.int16) + np.bitwise_count((a[..., 2] ^ b[..., 2]).view(np.uint64)))
-                    near.append(np.sort(np.stack([a[..., 0], b[..., 0]], 2)[same >= least], axis=1))
+                    near.append(_alike(rows[lo : lo + 4096, i], rows[lo : lo + 4096, j], least))
             for k in sorted({0, len(count) - 1, *inner[count[inner] > 32].tolist(), *hots.tolist()}):
                 rows, hk = x[cut[k] : cut[k + 1]], h[cut[k]]
-                is_hot = rows[0, 0] == MARK
-                rows = rows[1:] if is_hot else rows
                 if k not in (0, len(count) - 1):
-                    if len(rows) > cap or is_hot:
-                        yield large(hk, rows)
+                    if marked[k] or len(rows) > cap and len(_once(rows)) > cap:
+                        yield from large(hk, _once(rows))
                     else:
                         small(rows)
                     continue
                 if held_h != hk:  # the first and last run of a batch may go on in its neighbours
                     if not hot and held:
                         small(np.concatenate(held))
-                    held_h, held, size, hot = hk, [], 0, is_hot
+                    held_h, held, size, hot = hk, [], 0, False
+                if not hot:
+                    held.append(rows)
+                    size += len(rows)
+                    if size > cap:  # copies do not make a run large
+                        held = [_once(np.concatenate(held))]
+                        size = len(held[0])
+                    hot = bool(marked[k]) or size > cap
+                    rows = np.concatenate(held) if hot else rows
+                    held = [] if hot else held
                 if hot:
-                    yield large(hk, rows)
-                    continue
-                held.append(rows)
-                size += len(rows)
-                if size > cap:
-                    yield large(hk, np.concatenate(held))
-                    held, hot = [], True
+                    yield from large(hk, _once(rows))
             if len(near) > 64:
                 yield from drain()
         if not hot and held:
@@ -322,7 +327,7 @@ def similar_sets(df: DataFrame, id_col: str, text_col: str, title_col: str | Non
     docs = df.select(F.col(id_col).cast("string").alias("id"), (F.col(title_col) if title_col else F.lit(None).cast("string")).cast("string").alias("title"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     least = least_agreement(threshold)
     signed = docs.mapInPandas(_sign(shingle, bands, rows, bucket_cap), "h bigint, fp bigint, s1 bigint, s2 bigint, id string")
-    stream = signed.repartition("h").sortWithinPartitions("h", "fp")
+    stream = signed.repartition("h").sortWithinPartitions("h")  # one integer key: a radix sort
     found = materialize(stream.mapInPandas(_bucket_pairs(bucket_cap, least), "kind int, a bigint, b bigint, s1 bigint, s2 bigint, id string"), "candidates")
     members = found.where("kind = 2").select("id", F.col("a").alias("fp")).distinct()
     cand = found.where("kind = 0").select("a", "b")
