@@ -110,9 +110,10 @@ RECORD = ["chunk_id", "text", "source_url", "document_title", "section_heading",
 def section_blocks(blocks: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Blocks ``(id, pos, kind, text, level, items, ordered, rows, headers, caption, page)`` that are no headings, each with its section's
     number, heading (the last one before it, else the document's title, else 'Preamble'), breadcrumb (title and the chain of headings,
-    repeats in a row collapsed) and page (the heading's, else that of the section's first block)."""
+    repeats in a row collapsed), page (the heading's, else that of the section's first block) and ``_type``, the document's."""
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    b = blocks.join(docs.select(id_col, F.nullif("title", F.lit("")).alias("_title")), id_col)
+    kind = F.col("document_type") if "document_type" in docs.columns else F.lit(None).cast("string")
+    b = blocks.join(docs.select(id_col, F.nullif("title", F.lit("")).alias("_title"), kind.alias("_type")), id_col)
     head = F.when(F.col("kind") == "heading", F.struct("pos", F.col("text").alias("text"), F.col("page").alias("page")))
     b = b.withColumn("_h", F.max(head).over(w)).withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(w))
     chain = []
@@ -142,7 +143,7 @@ def chunk_blocks(blocks: DataFrame, docs: DataFrame, budget: int = 512, least: i
     date_published, date_scraped, source_format)``. All windows and groups are of one document: one shuffle."""
     from .grid import linearize_rows
 
-    b = section_blocks(blocks, docs, id_col).join(docs.select(id_col, F.col("document_type").alias("_type")), id_col)
+    b = section_blocks(blocks, docs, id_col)
     w = Window.partitionBy(id_col, "section").orderBy("pos")
     table = F.col("kind") == "table"
     ends = table | (F.col("_type").isin(*one_per_paragraph) & (F.col("kind") == "paragraph"))
