@@ -340,7 +340,8 @@ def header_evidence(scans: DataFrame, least_docs: int = 3) -> DataFrame:
 
 def classify(lines: list[str], heading: str | None, recurring: set[str], openings: set[str], closings: set[str]) -> list[str]:
     """Per line: '' (blank), 'page_no', 'header' or 'text'."""
-    kind = ["" if not x.strip() else "page_no" if PAGE_NO.match(x) else "text" for x in lines]
+    # a line of over 200 characters is no page number, whatever its marks
+    kind = ["" if not x.strip() else "page_no" if len(x) <= 200 and PAGE_NO.match(x) else "text" for x in lines]
     own = letters(heading or "")
     cand = [k == "text" and title_like(x) for k, x in zip(kind, lines)]
     full = [i for i, k in enumerate(kind) if k]

@@ -314,3 +314,13 @@ def test_a_line_broken_at_both_ends_is_repaired_once():
     lines = "the commit-\ntee shall pub-\nlish, the list."
     cases, fixed = ocr_repair.find_noise(lines, ["text"] * 3, ocr_repair.Lexicon({}, ocr_repair.Model()))
     assert cases == [(0, "hyphen"), (1, "hyphen")] and fixed == ["the committee", "shall publish,", "the list."]
+
+
+def test_long_lines_take_no_long_time():
+    import time
+
+    for t in ("." * 300_000, "a" * 300_000, "ab-" * 100_000, "1" * 300_000, "x" + " " * 300_000 + "y", "Abc 12. " * 40_000):
+        began = time.time()
+        kind = ocr_repair.classify(t.split("\n"), "", set(), set(), set())
+        assert kind == ["text"] and ocr_repair.words_to_link(t, kind) is not None and ocr_repair.find_noise(t, kind, ocr_repair.Lexicon({}, ocr_repair.Model()))[0] == []
+        assert sentences.events(t) is not None and leaks.tokens(t) is not None and time.time() - began < 5
