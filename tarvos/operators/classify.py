@@ -24,7 +24,7 @@ RULES = [
         [(r"(?i)placement highlight|placement stat|placement record", 1)], [(r"(?i)No\.?\s*of Offers|number of offers", 1)], [(r"(?i)Average CTC|Median CTC|Highest CTC|Maximum CTC|LPA|lakh per annum", 1)],
         [(r"(?i)Students Registered for Placement|eligible students", 1)], [(r"(?i)placement coordinator|Training.*Placement|T&P|TPC|TNP", 1)], [(r"(?i)campus recruit|on.campus|off.campus", 1)],
         [(r"(?i)placement brochure|placement policy|placement procedure", 1)], [(r"(?i)top recruiter|hiring partner|dream offer|super dream", 1)], [(r"(?i)final.?placement.?report|placement.?season|placement.?overview", 1)],
-        [(r"\bCTC\b", 1), (r"(?i)placement|MBA|package|salary", 1)], [(r"(?i)recruiters?|recruiting companies|companies? visit", 1), (r"(?i)DTU|campus|placement", 1)],
+        [(r"\bCTC\b", 1), (r"(?i)placement|MBA|package|salary", 1)], [(r"(?i)recruiters?|recruiting companies|companies? visit", 1), (r"(?i)campus|placement", 1)],
         [(r"(?i)\bplaced\b", 1), (r"(?i)placement|T&P|students", 1)],
     ]),
     ("admissions", 2, [

@@ -521,7 +521,7 @@ CASCADE = [
     ("placement", 2, [
         _any("(?i)placement highlight|placement stat|placement record"), _any(r"(?i)No\.?\s*of Offers|number of offers"), _any("(?i)Average CTC|Median CTC|Highest CTC|Maximum CTC|LPA|lakh per annum"), _any("(?i)Students Registered for Placement|eligible students"),
         _any("(?i)placement coordinator|Training.*Placement|T&P|TPC|TNP"), _any("(?i)campus recruit|on.campus|off.campus"), _any("(?i)placement brochure|placement policy|placement procedure"), _any("(?i)top recruiter|hiring partner|dream offer|super dream"),
-        _any("(?i)final.?placement.?report|placement.?season|placement.?overview"), _any(r"\bCTC\b", "(?i)placement|MBA|package|salary"), _any("(?i)recruiters?|recruiting companies|companies? visit", "(?i)DTU|campus|placement"), _any(r"(?i)\bplaced\b", "(?i)placement|T&P|students"),
+        _any("(?i)final.?placement.?report|placement.?season|placement.?overview"), _any(r"\bCTC\b", "(?i)placement|MBA|package|salary"), _any("(?i)recruiters?|recruiting companies|companies? visit", "(?i)campus|placement"), _any(r"(?i)\bplaced\b", "(?i)placement|T&P|students"),
     ]),
     ("admissions", 2, [
         _any("(?i)joint admission|JAC Delhi|admission counsell"), _any("(?i)seat matrix|choice filling|allotment"), _any("(?i)JEE Main|JEE rank|All India Rank|opening rank|closing rank"), _any("(?i)online registration", "(?i)admission|rank|seat|counsel"),
